@@ -7,6 +7,25 @@ from .language_id import op1_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op6_mix_sources
 from .near_dedup import op5_minhash_near_dedup
+from .perplexity import op4_quality_rules
+from .private_data import op3_private_data
+from .quality import op2_quality_classifier
+from .secrets import op10_secrets
+from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_minhash_near_dedup, op6_mix_sources, op7_benchmark_decontamination, op9_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_quality_classifier,
+        op3_private_data,
+        op4_quality_rules,
+        op5_minhash_near_dedup,
+        op6_mix_sources,
+        op7_benchmark_decontamination,
+        op8_toxicity,
+        op9_line_dedup,
+        op10_secrets,
+    )
+}
 ORACLE_SQL = {"op7_benchmark_decontamination": OP7_SQL, "op9_line_dedup": OP9_SQL}
