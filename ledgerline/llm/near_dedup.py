@@ -106,7 +106,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _block_links(percent: int):
     """Compares two blocks of a bucket across components; returns links that join components, no more than are needed."""
 
-    def links(key, rows: pa.Table) -> pa.Table:
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
         least = _least_agreement(percent)
         low, high = key[1].as_py(), key[2].as_py()
         ids, comps, block = (rows.column(c).to_numpy() for c in ("id", "component", "block"))
