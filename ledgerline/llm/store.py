@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A text table is handed to Python in batches of so many rows, which bounds a worker's memory.
-ROWS_PER_BATCH = 500
+#: Rows are handed to Python in batches of at most so many rows and about so many bytes, which bounds the
+#: memory of a worker and of the JVM's Arrow buffers (a longer row is a batch of its own).
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 4 << 20
 
 _own: dict[str, str] = {}
 
@@ -38,7 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts don't fill a worker's memory."""
+    """Bounds the rows and bytes of an Arrow batch, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
 
 
