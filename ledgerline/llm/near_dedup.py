@@ -16,10 +16,11 @@ from .store import broadcast_if_small, small_batches, table, written
 
 #: 32 bands of 4 minima: a pair of similarity 0.8 shares no band with a probability of 5e-8.
 BANDS, ROWS = 32, 4
-#: Leaders that each bucket tries on all its members before what is left is compared in blocks.
-LEADER_ROUNDS = 3
+#: Leaders, drawn by hash, that an open bucket tries on all members of other components, round by round; what is
+#: still open then is compared in blocks.
+LEADERS = (8,)
 #: Documents in a block of the exact fallback.
-BLOCK = 200
+BLOCK = 512
 
 _SKETCH = "id long, n_shingles long, h1 long, h2 long, bands array<long>"
 _SETS = "id long, signature binary, shingles binary"
@@ -133,14 +134,28 @@ def _block_links(percent: int):
     return links
 
 
-def _in_blocks(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components in buckets that the leaders left open: block against block, no pairs written."""
-    sized = open_buckets.join(open_buckets.groupBy("key").agg(F.count("*").alias("size")), "key")
-    blocked = sized.withColumn("blocks", F.ceil(F.col("size") / (BLOCK / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (blocked.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-             .select("key", "low", "high", "block", "component", F.col("rep").alias("id")).join(sets, "id"))
-    return dealt.groupBy("key", "low", "high").applyInArrow(_block_links(percent), "u long, v long")
+def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (key, rep) of buckets of several components, with their component and the bucket's size."""
+    rows = members.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    still = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    return written(rows.join(still.select("key", "size"), "key"), "buckets")
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in buckets that the leaders left open: block against block, no pairs written.
+
+    The members of a bucket's largest component are compared with the others only, not among themselves.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    per_block = F.lit(BLOCK // 2)
+    rows = members.drop("size").join(main, "key").withColumn("in_main", F.col("component") == F.col("main.component"))
+    rows = rows.withColumn("minors", F.ceil((F.col("all") - F.col("main.n")) / per_block).cast("int")).withColumn("mains", F.ceil(F.col("main.n") / per_block).cast("int"))
+    block = F.when(F.col("in_main"), F.col("minors") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int")
+    last = F.when(F.col("in_main"), F.col("minors")).otherwise(F.col("minors") + F.col("mains")) - 1
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", F.col("rep").alias("id"))
+    return dealt.join(sets, "id").groupBy("key", "low", "high").applyInArrow(_block_links(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -153,8 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        into their least id, so a group of copies of any size is one row from here on.
     2. Each band bucket proposes its least member to all others; pairs are checked by signature, then on the
        full sets. Components follow by large-star and small-star.
-    3. Buckets that still hold several components try two further leaders, and what is then left is
-       compared block by block inside tasks, which writes no pairs. So every pair that shares a band is
+    3. Buckets that still hold several components try some more leaders on the members of other components,
+       and what is then left is compared block by block inside tasks, which writes no pairs. So every pair that shares a band is
        either checked or already in one component: no link between components is lost.
 
     Returns id_col, n_shingles (long, size of the set), component_id (long, the least id reachable, itself
@@ -176,22 +191,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = buckets.select(F.col("rep").alias("id")).distinct()
     sets = written(source.join(members.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_set_maker(words), _SETS), "sets")
 
-    found = []
-    comps = None
-    for turn in range(LEADER_ROUNDS):
-        pairs = buckets.filter("rep > leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    pairs = buckets.filter("rep > leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    found = [written(_verified(pairs, sets, percent), "links")]
+    comps = written(components(found[0]), "components")
+    members = _still_open(buckets.filter("rep > leader"), comps)
+    for turn, n in enumerate(LEADERS):
+        if members.isEmpty():
+            break
+        leads = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(n << 30)) / F.col("size")
+        leaders = members.filter(leads).select("key", F.col("rep").alias("leader"), F.col("component").alias("other"))
+        across = members.join(leaders, (members["key"] == leaders["key"]) & (F.col("component") != F.col("other")))
+        pairs = across.select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct()
         found.append(written(_verified(pairs, sets, percent), "links"))
         comps = written(components(reduce(DataFrame.union, found)), "components")
-        rest = buckets.filter("rep > leader").select("key", "rep")
-        rest = rest.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        still = rest.groupBy("key").agg(F.min("rep").alias("leader"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key", "leader")
-        buckets = written(rest.join(still, "key").select("key", "leader", "rep", "component"), "buckets")
-        if buckets.isEmpty():
-            break
-    else:
-        found.append(written(_in_blocks(buckets, sets, percent), "links"))
-        if not found[-1].isEmpty():
-            comps = written(components(reduce(DataFrame.union, found)), "components")
+        members = _still_open(members.filter(~leads), comps)
+    if not members.isEmpty():
+        found.append(written(_in_blocks(members, sets, percent), "links"))
+        comps = written(components(reduce(DataFrame.union, found)), "components")
 
     moved = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"), "rep", "copies")
     moved = moved.filter("copies > 1 or component_id < rep").select("h1", "h2", "component_id")
