@@ -52,6 +52,7 @@ def _tokens(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shapes = tv.span_hash(tv.prefix_hash(shape[keep]), upto[starts], upto[ends])
     again = np.zeros(len(words), np.uint64)
     again[1:] = words[1:] == words[:-1]
+    again[firsts[:-1][firsts[:-1] < len(again)]] = 0
     shapes = tv.mix(shapes * np.uint64(2) + again)
     return (words % np.uint64(WORD_BUCKETS)).astype(np.int64), (shapes % np.uint64(SHAPE_BUCKETS)).astype(np.int64) + WORD_BUCKETS, firsts
 
