@@ -58,13 +58,13 @@ def _feature_counter(n_categories: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = np.array(batch.column(0).to_pylist(), float).reshape(-1, n_categories)
-            for texts in tv.chunks(batch.column(1), 1 << 22):
+            for texts in tv.chunks(batch.column(1)):
                 values, firsts = _features(texts)
                 own = np.repeat(y[texts.first_row : texts.first_row + len(texts)], np.diff(firsts), axis=0)
                 found, back = np.unique(values, return_inverse=True)
                 hits = [np.bincount(back, own[:, c], len(found)).astype(np.int64) for c in range(n_categories)]
-                rows = np.stack(hits, 1) if len(found) else np.zeros((0, n_categories), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(back, minlength=len(found))), pa.array(rows.tolist(), pa.list_(pa.int64()))], ["feature", "n", "hits"])
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * n_categories), pa.array(np.stack(hits, 1).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(back, minlength=len(found))), rows], ["feature", "n", "hits"])
 
     return count
 
