@@ -31,6 +31,8 @@ TRAIN_ROWS = 1500
 MOST_LANGUAGES = 256
 #: Rounds of expectation and maximisation.
 ROUNDS = 3
+#: Distinct spans whose sums a task holds at once.
+SPANS_AT_ONCE = 16_384
 #: A document is accepted from this posterior on.
 LEAST_SCORE = 0.5
 
@@ -118,10 +120,15 @@ class Model:
         self.languages, self.pieces, self.p = languages, pieces, p
 
 
-def _distinct_spans(lookup: tv.Lookup, texts: tv.Texts) -> tuple[Lattice, np.ndarray, np.ndarray]:
+def _distinct_spans(lookup: tv.Lookup, texts: tv.Texts) -> tuple[list[Lattice], np.ndarray, np.ndarray]:
+    """Lattices of the distinct spans, longest first; for each span of the texts its number in them, and its document."""
     prefix, starts, ends, doc = _spans(texts)
     _, first, back = np.unique(tv.span_hash(prefix, starts, ends), return_index=True, return_inverse=True)
-    return Lattice(lookup, prefix, starts[first], ends[first]), back, doc
+    order = np.argsort(starts[first] - ends[first], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    starts, ends = starts[first[order]], ends[first[order]]
+    return [Lattice(lookup, prefix, starts[i : i + SPANS_AT_ONCE], ends[i : i + SPANS_AT_ONCE]) for i in range(0, len(order), SPANS_AT_ONCE)], place[back], doc
 
 
 def _expecter(model: Model):
@@ -130,11 +137,11 @@ def _expecter(model: Model):
         for batch in batches:
             langs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for texts in tv.chunks(batch.column(1)):
-                lattice, back, doc = _distinct_spans(lookup, texts)
-                if lattice.n:
-                    counts = np.zeros((lattice.n, len(model.languages)))
-                    np.add.at(counts, (back, langs[texts.first_row + doc]), 1)
-                    total += lattice.expected(model.p, counts)
+                lattices, back, doc = _distinct_spans(lookup, texts)
+                counts = np.zeros((sum(x.n for x in lattices), len(model.languages)))
+                np.add.at(counts, (back, langs[texts.first_row + doc]), 1)
+                for i, lattice in enumerate(lattices):
+                    total += lattice.expected(model.p, counts[i * SPANS_AT_ONCE :][: lattice.n])
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "uses"])
 
@@ -188,9 +195,9 @@ def _identifier(model: Model, text_at: int):
             for texts in tv.chunks(batch.column(text_at), 1 << 21):
                 n, n_lang = len(texts), len(model.languages)
                 logs, letter = np.zeros((n, n_lang)), _has_letter(texts)
-                lattice, back, doc = _distinct_spans(lookup, texts)
-                if lattice.n and n_lang:
-                    each = np.log(lattice.totals(lattice.forward(model.p)))
+                lattices, back, doc = _distinct_spans(lookup, texts)
+                if lattices and n_lang:
+                    each = np.log(np.concatenate([x.totals(x.forward(model.p)) for x in lattices]))
                     for j in range(n_lang):
                         logs[:, j] = np.bincount(doc, each[back, j], n)
                 if not n_lang:

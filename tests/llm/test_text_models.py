@@ -36,15 +36,16 @@ def spoken(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
+    monkeypatch.setattr(li, "SPANS_AT_ONCE", 3)
     pieces = li.Pieces()
     rng = np.random.default_rng(2)
     p = rng.random((len(pieces), 2)) + 1e-3
     p /= p.sum(0)
     by_hash = dict(zip(pieces.hashes.tolist(), p, strict=True))
     texts = next(tv.chunks(pa.array(["the thing", "où? naïve x", None, "y" * 40])))
-    lattice, back, doc = li._distinct_spans(tv.Lookup(pieces.hashes), texts)
-    got = lattice.totals(lattice.forward(p))[back]
+    lattices, back, doc = li._distinct_spans(tv.Lookup(pieces.hashes), texts)
+    got = np.concatenate([x.totals(x.forward(p)) for x in lattices])[back]
 
     def prob(span: bytes) -> np.ndarray:
         data = np.frombuffer(span, np.uint8)
@@ -67,7 +68,7 @@ def test_expected_counts_add_up_to_the_bytes():
     pieces = li.Pieces()
     p = np.full((len(pieces), 1), 1 / len(pieces))
     texts = next(tv.chunks(pa.array(["several words of various lengths", "more"])))
-    lattice, back, _ = li._distinct_spans(tv.Lookup(pieces.hashes), texts)
+    (lattice,), back, _ = li._distinct_spans(tv.Lookup(pieces.hashes), texts)
     counts = np.bincount(back, minlength=lattice.n).astype(float)[:, None]
     used = lattice.expected(p, counts)
     assert abs((used[:, 0] * pieces.lengths).sum() - sum(len(w) for w in "several words of various lengths more".split())) < 1e-6
