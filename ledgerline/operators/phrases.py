@@ -54,14 +54,20 @@ def tokens(text: str, delimiters: str = DELIMITERS) -> list[tuple[str, int, int]
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def runs(tokens_col: str, first: int | None = None) -> Column:
-    """Hashes of all runs of three tokens, or of those that start at the first positions, by position."""
-    last = F.size(tokens_col) - RUN + 1
+def runs(tokens_col: str, first: int | None = None, length: int = RUN) -> Column:
+    """Hashes of all runs of ``length`` tokens, or of those that start at the first positions, by position."""
+    last = F.size(tokens_col) - length + 1
     ends = last if first is None else F.least(last, F.lit(first))
-    at = lambda i: F.xxhash64(*[F.element_at(F.col(tokens_col), i + k) for k in range(RUN)])
+    at = lambda i: F.xxhash64(*[F.element_at(F.col(tokens_col), i + k) for k in range(length)])
     return F.when(ends > 0, F.transform(F.sequence(F.lit(1), ends), at))
 
 
+def _heads(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, n, t, run: the runs of one, two and three tokens of a text. Only hashes are exploded, not the tokens."""
+    each = [df.select(key, F.lit(n).alias("n"), F.posexplode(runs(column, length=n)).alias("t", "run")) for n in range(1, RUN + 1)]
+    return each[0].union(each[1]).union(each[2])
+
+
 def candidates(files: DataFrame, phrases: DataFrame) -> DataFrame:
     """pfile_fk, rf_pk, t, s: a run of the text at t equals one of the phrase at s (S3, S4); phrases of up to three tokens at s = 0.
 
@@ -71,9 +77,9 @@ def candidates(files: DataFrame, phrases: DataFrame) -> DataFrame:
     index = phrases.filter(F.size("tokens") > RUN).select("rf_pk", F.posexplode(runs("tokens", MOST_LEADING + 1)).alias("s", "run"))
     texts = files.select("pfile_fk", F.posexplode(runs("tokens")).alias("t", "run"))
     long = texts.join(index, "run").select("pfile_fk", "rf_pk", "t", "s")
-    short = phrases.filter((F.size("tokens") > 0) & (F.size("tokens") <= RUN)).select("rf_pk", "tokens", F.element_at("tokens", 1).alias("first"))
-    words = files.select("pfile_fk", F.posexplode("tokens").alias("t", "first"), F.col("tokens").alias("all"))
-    exact = words.join(short, "first").filter(F.slice("all", F.col("t") + 1, F.size("tokens")) == F.col("tokens"))
+    short = phrases.filter((F.size("tokens") > 0) & (F.size("tokens") <= RUN))
+    whole = _heads(short.select("rf_pk", "tokens"), "rf_pk", "tokens").join(short.select("rf_pk", F.size("tokens").alias("n")), ["rf_pk", "n"], "left_semi")
+    exact = _heads(files, "pfile_fk", "tokens").join(whole.select("rf_pk", "n", "run"), ["n", "run"])
     return long.union(exact.select("pfile_fk", "rf_pk", "t", F.lit(0).alias("s")))
 
 
@@ -272,14 +278,13 @@ def phrase_hits(files: DataFrame, phrases: DataFrame) -> DataFrame:
     Candidates share the phrase's first run of up to three tokens; the rest is compared on the spot.
     """
     p = phrases.select("phrase_pk", token_array(F.col("text")).alias("wanted")).filter(F.size("wanted") > 0)
-    p = p.withColumn("n", F.least(F.size("wanted"), F.lit(RUN)))
     f = files.filter("text is not null").select("pfile_fk", token_array(F.col("text")).alias("tokens"))
-    lengths = F.explode(F.array(*[F.lit(i) for i in range(1, RUN + 1)])).alias("n")
-    spots = f.select("pfile_fk", "tokens", lengths).select("pfile_fk", "tokens", "n", F.posexplode("tokens").alias("t", "_w"))
-    spots = spots.withColumn("run", F.xxhash64(F.slice("tokens", F.col("t") + 1, F.col("n"))))
-    heads = p.withColumn("run", F.xxhash64(F.slice("wanted", F.lit(1), F.col("n"))))
-    same = F.slice("tokens", F.col("t") + 1, F.size("wanted")) == F.col("wanted")
-    return spots.join(heads, ["n", "run"]).filter(same).select("pfile_fk", "phrase_pk").distinct()
+    first = p.select("phrase_pk", F.slice("wanted", 1, RUN).alias("head"))
+    heads = _heads(first, "phrase_pk", "head").filter("t = 0").join(first.select("phrase_pk", F.size("head").alias("n")), ["phrase_pk", "n"], "left_semi")
+    spots = _heads(f, "pfile_fk", "tokens").join(heads.select("phrase_pk", "n", "run"), ["n", "run"])
+    per_file = spots.groupBy("pfile_fk", "phrase_pk").agg(F.collect_list("t").alias("spots")).join(p, "phrase_pk")
+    same = F.exists("spots", lambda t: F.slice("tokens", t + 1, F.size("wanted")) == F.col("wanted"))
+    return per_file.join(f, "pfile_fk").filter(same).select("pfile_fk", "phrase_pk")
 
 
 def phrase_licenses(hits: DataFrame, phrase_map: DataFrame) -> DataFrame:

@@ -77,7 +77,12 @@ def described_scanner(description: str, default: str = "match") -> tuple[str, in
 
 def contact_findings(files: DataFrame, key: str, text: Column, kinds: tuple[str, ...] = ("url", "email", "author", "ecc", "ipra", "keyword")) -> DataFrame:
     """Findings of the configured scanners, cleaned and hashed: key, type, content, hash."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(GROUPS.get(k, 0))), lambda x, k=k: F.struct(F.lit(k).alias("type"), cleaned(x, k).alias("content"))) for k in kinds]
+
+    def found(kind: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(GROUPS.get(kind, 0)))
+        return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("type"), cleaned(x, kind).alias("content")))
+
+    each = [found(k) for k in kinds]
     rows = files.select(key, F.explode(F.concat(*each)).alias("f")).select(key, "f.type", "f.content").filter("content != ''")
     return rows.withColumn("hash", F.md5("content"))
 
