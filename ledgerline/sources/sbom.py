@@ -19,7 +19,7 @@ def read_spdx_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spdx_tags(spark: SparkSession, path: str) -> DataFrame:
     """The same of SPDX 2 tag-value documents: one record from each FileName line to the next."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     blocks = text.select(F.explode(F.slice(F.split("value", r"(?m)^FileName: *"), 2, 1 << 30)).alias("b"))
     one = lambda tag: F.nullif(F.regexp_extract("b", rf"(?m)^{tag}: *(.+)$", 1), F.lit(""))
     name = F.trim(F.regexp_extract("b", r"^(.*)", 1))
@@ -29,7 +29,7 @@ def read_spdx_tags(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spdx_rdf(spark: SparkSession, path: str) -> DataFrame:
     """The same of SPDX 2 RDF/XML documents with files in place; licenses by the last part of their reference."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     files = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<spdx:File\b.*?</spdx:File>"), F.lit(0))).alias("b"))
     one = lambda p: F.nullif(F.regexp_extract("b", p, 1), F.lit(""))
     return files.select(
