@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = buckets.filter("rep > leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
     found = [written(_verified(pairs, sets, percent), "links")]
-    comps = written(components(found[0]), "components")
+    comps = components(found[0])
     members = _still_open(buckets.filter("rep > leader"), comps)
     for turn, n in enumerate(LEADERS):
         if members.isEmpty():
@@ -203,11 +203,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         across = members.join(leaders, (members["key"] == leaders["key"]) & (F.col("component") != F.col("other")))
         pairs = across.select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct()
         found.append(written(_verified(pairs, sets, percent), "links"))
-        comps = written(components(reduce(DataFrame.union, found)), "components")
+        comps = components(reduce(DataFrame.union, found))
         members = _still_open(members.filter(~leads), comps)
     if not members.isEmpty():
         found.append(written(_in_blocks(members, sets, percent), "links"))
-        comps = written(components(reduce(DataFrame.union, found)), "components")
+        comps = components(reduce(DataFrame.union, found))
 
     moved = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"), "rep", "copies")
     moved = moved.filter("copies > 1 or component_id < rep").select("h1", "h2", "component_id")
