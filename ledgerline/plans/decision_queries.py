@@ -56,8 +56,13 @@ _FOUND = "SELECT DISTINCT i.item, f.rf_fk % 100 AS rf_fk FROM m_files i JOIN m_f
 _CLEARINGS = f"SELECT coalesce(e.item, f.item) AS item, coalesce(e.rf_fk, f.rf_fk) AS rf_fk, coalesce(e.removed, FALSE) AS removed, e.item IS NOT NULL AS by_event, f.item IS NOT NULL AS by_scanner FROM ({_EFFECTIVE}) e FULL JOIN ({_FOUND}) f ON e.item = f.item AND e.rf_fk = f.rf_fk"
 
 
-def _found(spark, sf):
-    files = m.items(spark, sf).filter("mode & 805306368 = 0 and item < 20000")
+# The same over all files. The queries named after a cut have their SQL as it was; whole_ ones have no cut.
+_ALL_FOUND = _FOUND.removesuffix(" AND i.item < 20000")
+_ALL_CLEARINGS = _CLEARINGS.replace(_FOUND, _ALL_FOUND)
+
+
+def _found(spark, sf, which="item < 20000"):
+    files = m.items(spark, sf).filter("mode & 805306368 = 0").filter(which)
     return files.join(m.findings(spark, sf), "pfile_fk").filter("rf_fk is not null").selectExpr("item", "rf_fk % 100 rf_fk").distinct()
 
 
@@ -76,12 +81,28 @@ def unhandled_findings(spark, sf):
     return D.unhandled(_found(spark, sf), m.events(spark, sf))
 
 
+@query(_ALL_CLEARINGS)
+def whole_current_clearings(spark, sf):
+    return D.current_clearings(m.events(spark, sf), _found(spark, sf, "true"))
+
+
+@query(f"SELECT item, rf_fk FROM ({_ALL_FOUND}) f WHERE NOT EXISTS (SELECT 1 FROM m_events e WHERE e.item = f.item AND e.rf_fk = f.rf_fk)")
+def whole_unhandled_findings(spark, sf):
+    return D.unhandled(_found(spark, sf, "true"), m.events(spark, sf))
+
+
 @query(f"SELECT i.item, 5 AS decision_type, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM m_files i LEFT JOIN (SELECT * FROM ({_CLEARINGS}) WHERE NOT removed) c ON i.item = c.item WHERE i.item < 20000 GROUP BY 1")
 def decisions_from_events(spark, sf):
     out = D.decide(m.items(spark, sf).filter("mode & 805306368 = 0 and item < 20000"), m.events(spark, sf), _found(spark, sf), D.IDENTIFIED)
     return out.select("item", "decision_type", F.array_join("licenses", ",").alias("licenses"))
 
 
+@query(f"SELECT i.item, 5 AS decision_type, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM m_files i LEFT JOIN (SELECT * FROM ({_ALL_CLEARINGS}) WHERE NOT removed) c ON i.item = c.item GROUP BY 1")
+def whole_decisions_from_events(spark, sf):
+    out = D.decide(m.items(spark, sf).filter("mode & 805306368 = 0"), m.events(spark, sf), _found(spark, sf, "true"), D.IDENTIFIED)
+    return out.select("item", "decision_type", F.array_join("licenses", ",").alias("licenses"))
+
+
 @query("""SELECT item, coalesce(a, b).pk AS decision_pk, coalesce(a, b).t AS decision_type FROM (SELECT i.item, a, b FROM m_items i LEFT JOIN (SELECT item, arg_max({pk: decision_pk, t: decision_type}, decision_pk) AS a FROM m_decisions WHERE scope = 0 GROUP BY 1) x ON i.item = x.item
     LEFT JOIN (SELECT pfile_fk, arg_max({pk: decision_pk, t: decision_type}, decision_pk) AS b FROM m_decisions WHERE scope = 1 GROUP BY 1) y ON i.pfile_fk = y.pfile_fk) WHERE coalesce(a, b).t <> 4""")
 def decision_map(spark, sf):
@@ -113,12 +134,27 @@ def bulk_history(spark, sf):
     return D.bulk_history(bulks, n, m.events(spark, sf).filter("event_type = 2").selectExpr("4 * (event_pk % 7) + 1 bulk_pk", "item"))
 
 
+@query("""SELECT coalesce(t.bulk_pk, h.bulk_pk) AS bulk_pk, coalesce(t.item, h.item) AS item, t.item IS NOT NULL AS tried, h.item IS NOT NULL AS matched FROM
+    (SELECT b.item AS bulk_pk, i.item FROM m_nested b JOIN m_nested i ON b.upload_fk = i.upload_fk AND i.lft BETWEEN b.lft AND b.rgt WHERE b.depth = 1) t
+    FULL JOIN (SELECT DISTINCT 4 * (event_pk % 7) + 1 AS bulk_pk, item FROM m_events WHERE event_type = 2) h ON t.bulk_pk = h.bulk_pk AND t.item = h.item""")
+def whole_bulk_history(spark, sf):
+    n = m.nested(spark, sf)
+    bulks = n.filter("depth = 1").withColumnRenamed("item", "bulk_pk")
+    return D.bulk_history(bulks, n, m.events(spark, sf).filter("event_type = 2").selectExpr("4 * (event_pk % 7) + 1 bulk_pk", "item"))
+
+
 @query("SELECT fk, item, content, is_enabled FROM m_overlay WHERE fk >= 20 UNION ALL SELECT t.fk, t.item, o.content, FALSE FROM m_texts t LEFT JOIN m_overlay o ON t.fk = o.fk WHERE t.fk < 20")
 def edited_texts(spark, sf):
     old = m.overlay(spark, sf).select("fk", "item", F.lit("").alias("hash"), "content", "is_enabled")
     return D.edited_texts(old, m.texts(spark, sf).filter("fk < 20").select("fk", "item", "hash"), "delete").select("fk", "item", "content", "is_enabled")
 
 
+@query("SELECT fk, item, content, is_enabled FROM m_overlay WHERE fk NOT IN (SELECT fk FROM m_texts) UNION ALL SELECT t.fk, t.item, o.content, FALSE FROM m_texts t LEFT JOIN m_overlay o ON t.fk = o.fk")
+def whole_edited_texts(spark, sf):
+    old = m.overlay(spark, sf).select("fk", "item", F.lit("").alias("hash"), "content", "is_enabled")
+    return D.edited_texts(old, m.texts(spark, sf).select("fk", "item", "hash"), "delete").select("fk", "item", "content", "is_enabled")
+
+
 _COVERED = "SELECT item FROM (SELECT item, license, count(*) FILTER (scanner = 'tag') > 0 AND count(*) FILTER (scanner = 'keyword' AND rf_fk NOT IN (SELECT x.rf_fk FROM m_matches x WHERE x.item = m.item AND x.license = m.license AND x.scanner = 'tag')) = 0 AS ok FROM m_matches m GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(ok)"
 _INSIDE = """SELECT item FROM (SELECT item, license, bool_or(scanner = 'keyword') AND bool_or(scanner = 'phrase') AS twice FROM m_matches GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(twice)
     EXCEPT SELECT item FROM m_matches k WHERE scanner = 'keyword' AND NOT EXISTS (SELECT 1 FROM m_matches p WHERE p.scanner = 'phrase' AND p.item = k.item AND p.license = k.license AND k.region_start >= p.region_start AND k.region_end <= p.region_end)"""
@@ -175,6 +211,13 @@ def files_by_hash(spark, sf):
     return R.by_hash(entries, docs.withColumnRenamed("doc_id", "item")).select("entry", "item")
 
 
+@query("SELECT p.doc_id AS entry, c.doc_id AS item FROM (SELECT doc_id, sha1(text) AS h FROM documents) p JOIN (SELECT doc_id, sha1(text) AS h FROM documents) c ON p.h = c.h")
+def whole_files_by_hash(spark, sf):
+    docs = m.table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("sha1"))
+    entries = docs.select(F.col("doc_id").alias("entry"), F.upper("sha1").alias("hash"))
+    return R.by_hash(entries, docs.withColumnRenamed("doc_id", "item")).select("entry", "item")
+
+
 @query("SELECT coalesce(d.u, c.u) AS upload_fk, coalesce(d.l, c.l) AS license, CASE WHEN d.u IS NULL THEN 'missing' WHEN c.u IS NULL THEN 'unused' ELSE 'used' END AS status FROM (SELECT DISTINCT l_orderkey AS u, l_returnflag AS l FROM lineitem WHERE l_linenumber < 4) d FULL JOIN (SELECT DISTINCT l_orderkey AS u, l_returnflag AS l FROM lineitem WHERE l_linenumber >= 4) c ON d.u = c.u AND d.l = c.l")
 def set_used_unused_missing(spark, sf):
     l = m.table(spark, sf, "lineitem").selectExpr("l_orderkey upload_fk", "l_returnflag license", "l_linenumber")
@@ -186,8 +229,11 @@ _RULES = "(SELECT least(p_type, CASE WHEN p_size % 2 = 0 THEN 'STANDARD' ELSE 'P
 _VERDICTS = f"SELECT p.a, p.b, coalesce(CASE WHEN p.b = p.a + 1 THEN p.a % 2 = 0 END, r.c, FALSE) AS compatible FROM (SELECT DISTINCT a, b FROM ({_PAIRS})) p JOIN m_licenses la ON la.rf_pk = p.a JOIN m_licenses lb ON lb.rf_pk = p.b LEFT JOIN {_RULES} r ON least(la.license_type, lb.license_type) = r.t1 AND greatest(la.license_type, lb.license_type) = r.t2"
 
 
-def _rules(spark, sf):
-    kinds = m.table(spark, sf, "part").filter("p_partkey < 50").selectExpr("cast(null as bigint) first_rf_fk", "cast(null as bigint) second_rf_fk", "p_type first_type", "if(p_size % 2 = 0, 'STANDARD', 'PROMO') second_type", "p_size % 4 <> 0 compatibility")
+_ALL_VERDICTS = _VERDICTS.replace(_RULES, _RULES.replace(" WHERE p_partkey < 50", ""))
+
+
+def _rules(spark, sf, which="p_partkey < 50"):
+    kinds = m.table(spark, sf, "part").filter(which).selectExpr("cast(null as bigint) first_rf_fk", "cast(null as bigint) second_rf_fk", "p_type first_type", "if(p_size % 2 = 0, 'STANDARD', 'PROMO') second_type", "p_size % 4 <> 0 compatibility")
     ids = m.licenses(spark, sf).selectExpr("rf_pk + 1 first_rf_fk", "rf_pk second_rf_fk", "cast(null as string) first_type", "cast(null as string) second_type", "rf_pk % 2 = 0 compatibility")
     return kinds.union(ids)
 
@@ -212,6 +258,17 @@ def file_compatibility(spark, sf):
     return C.file_verdicts(pairs, C.verdicts(pairs, m.licenses(spark, sf), _rules(spark, sf)))
 
 
+@query(_ALL_VERDICTS)
+def whole_pairwise_compatibility(spark, sf):
+    return C.verdicts(_pairs(spark, sf), m.licenses(spark, sf), _rules(spark, sf, "true"))
+
+
+@query(f"SELECT p.pfile_fk, count(*) AS pairs, count(*) FILTER (NOT compatible) AS conflicts, bool_and(compatible) AS compatible FROM ({_PAIRS}) p JOIN ({_ALL_VERDICTS}) v ON p.a = v.a AND p.b = v.b GROUP BY 1")
+def whole_file_compatibility(spark, sf):
+    pairs = _pairs(spark, sf)
+    return C.file_verdicts(pairs, C.verdicts(pairs, m.licenses(spark, sf), _rules(spark, sf, "true")))
+
+
 @query("SELECT item, 1 AS bucket FROM m_fileset WHERE list_has_all(licenses, ['ECONOMY', 'PROMO']) OR list_has_all(licenses, ['STANDARD', 'SMALL', 'LARGE'])")
 def bucket_match_every(spark, sf):
     return B.leaf_buckets(m.fileset(spark, sf), [B.Bucket(1, "every", sets=[["ECONOMY", "PROMO"], ["STANDARD", "SMALL", "LARGE"]])])
@@ -263,3 +320,8 @@ def fuzzy_name_match(spark, sf):
 @query(f"SELECT t.item, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM (SELECT DISTINCT item FROM m_events WHERE job_fk = 7) t LEFT JOIN (SELECT * FROM ({_CLEARINGS}) WHERE NOT removed) c ON t.item = c.item GROUP BY 1")
 def decisions_of_job(spark, sf):
     return D.decisions_of_job(m.events(spark, sf), 7, _found(spark, sf)).select("item", F.array_join("licenses", ",").alias("licenses"))
+
+
+@query(f"SELECT t.item, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM (SELECT DISTINCT item FROM m_events WHERE job_fk = 7) t LEFT JOIN (SELECT * FROM ({_ALL_CLEARINGS}) WHERE NOT removed) c ON t.item = c.item GROUP BY 1")
+def whole_decisions_of_job(spark, sf):
+    return D.decisions_of_job(m.events(spark, sf), 7, _found(spark, sf, "true")).select("item", F.array_join("licenses", ",").alias("licenses"))

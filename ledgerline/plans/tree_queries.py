@@ -145,12 +145,21 @@ def subtree_tags(spark, sf):
     return I.tags_of(m.items(spark, sf), file_tags, item_tags)
 
 
+def _natural_places(tree):
+    rows = tree.filter("mode & 805306368 = 0 and upload_fk = 2 and name not like '%.%'")
+    keyed = rows.select("upload_fk", "item", "name", natural_key(F.col("name")).alias("_key"), F.lit(1).cast("long").alias("_one"))
+    placed = T.running_total(keyed, "upload_fk", [F.col("_key"), F.col("item")], "_one", "_earlier")
+    return placed.select("item", "name", (F.col("_earlier") + 1).alias("place"))
+
+
 @query("""SELECT item, name, row_number() OVER (ORDER BY regexp_replace(lower(name), '\\d+', '', 'g'), CAST(regexp_extract(name, '\\d+') AS BIGINT)) AS place FROM m_items WHERE mode & 805306368 = 0 AND upload_fk = 2 AND name NOT LIKE '%.%' AND item < 20000 ORDER BY 3""".replace("\\\\", "\\"))
 def natural_order(spark, sf):
-    from pyspark.sql import Window
+    return _natural_places(m.items(spark, sf).filter("item < 20000"))
+
 
-    rows = m.items(spark, sf).filter("mode & 805306368 = 0 and upload_fk = 2 and name not like '%.%' and item < 20000")
-    return rows.select("item", "name", F.row_number().over(Window.orderBy(natural_key(F.col("name")))).cast("long").alias("place"))
+@query("""SELECT item, name, row_number() OVER (ORDER BY regexp_replace(lower(name), '\\d+', '', 'g'), CAST(regexp_extract(name, '\\d+') AS BIGINT)) AS place FROM m_items WHERE mode & 805306368 = 0 AND upload_fk = 2 AND name NOT LIKE '%.%' ORDER BY 3""".replace("\\\\", "\\"))
+def whole_natural_order(spark, sf):
+    return _natural_places(m.items(spark, sf))
 
 
 @query("SELECT item, CAST(event_pk AS BIGINT) event_pk FROM (SELECT item, event_pk, row_number() OVER (PARTITION BY item, rf_fk ORDER BY event_pk) n FROM m_events) WHERE n > 1")

@@ -1,0 +1,43 @@
+"""The queries without a cut, on tables whose ids all lie beyond the cuts of the other ones."""
+
+import duckdb
+import pytest
+
+from ledgerline import plans
+
+from ..conftest import SMALL
+from .test_queries import TABLES, rows_of
+
+FAR = 1_000_000
+SHIFTED = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_partkey"], "events": ["user_id"], "part": ["p_partkey"]}
+CUT = ["current_clearings", "unhandled_findings", "decisions_from_events", "decisions_of_job", "natural_order", "edited_texts", "pairwise_compatibility", "file_compatibility", "bulk_history", "files_by_hash"]
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """The folder of the small tables with shifted keys, and DuckDB over it."""
+    folder, con = tmp_path_factory.mktemp("far"), duckdb.connect()
+    for t in TABLES:
+        shifted = ", ".join(f"{c} + {FAR} AS {c}" for c in SHIFTED.get(t, []))
+        # Documents are numbered so that none is a multiple of ten.
+        shifted = shifted or ("10 * doc_id + 3 AS doc_id" if t == "documents" else "")
+        con.execute(f"COPY (SELECT * {f'REPLACE ({shifted})' if shifted else ''} FROM '{SMALL}/{t}.parquet') TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", CUT)
+def test_whole_query_has_the_far_rows(spark, far, name):
+    folder, con = far
+    df = plans.QUERIES[f"whole_{name}"](spark, folder)
+    got = rows_of(df.columns, df.collect())
+    cur = con.execute(plans.ORACLE_SQL[f"whole_{name}"])
+    assert got == rows_of([c[0] for c in cur.description], cur.fetchall())
+    assert got[1]
+    cut = plans.QUERIES[name](spark, folder)
+    assert got[1] != rows_of(cut.columns, cut.collect())[1]
+
+
+@pytest.mark.parametrize("name", ["natural_order", "whole_natural_order"])
+def test_places_need_no_single_task(spark, name):
+    assert "SinglePartition" not in plans.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
