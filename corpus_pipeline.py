@@ -17,6 +17,11 @@ from ledgerline.llm.near_dedup import without_near_duplicates
 from ledgerline.llm.store import table, written
 
 
+#: A line is boilerplate if it is on more than this share of its source's documents, which is the support it needs
+#: in a large source; in a small one it needs line_dedup.LEAST_PAGES. op9's own ratio is fixed by its SQL.
+STAGE_RATIO = 0.05
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     return accepted_languages(docs)
@@ -24,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate in their source; n_chars is counted anew."""
-    clean = drop_boilerplate(docs.withColumn("_text", F.col("text")), text_lines(F.col("text")), F.col("source"))
+    clean = drop_boilerplate(docs.withColumn("_text", F.col("text")), text_lines(F.col("text")), F.col("source"), STAGE_RATIO)
     text = F.when(F.col("_text").isNotNull(), F.col("clean_text"))
     return clean.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
