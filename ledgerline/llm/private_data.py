@@ -24,35 +24,83 @@ LEAST_SUPPORT = 3
 LEAST_CONFIDENCE = 0.7
 #: Rounds in which patterns and instances score each other.
 ROUNDS = 3
-#: What may be an identifier: a word without outer punctuation, in characters, with an @ or so many digits.
-CANDIDATE_CHARS, CANDIDATE_DIGITS = (6, 64), 3
+#: What may be an identifier: a word or a run of digit groups, without outer punctuation, of so many characters at
+#: least, with an @ or so many digits.
+CANDIDATE_CHARS, CANDIDATE_DIGITS = 6, 3
 
 _MARK = re.compile("[0-9@]")
 _DIGITS = re.compile("[0-9]")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Digit groups joined by a space, hyphen or dot or by brackets; and groups of four behind a country and check digits.
+_RUN = re.compile(r"[0-9]+(?:(?:[)\]][\x20.-]?|[\x20.-]?[(\[]|[\x20.-])[0-9]+)+")
+_ACCOUNT = re.compile(r"(?<![^\W_])[A-Z]{2}[0-9]{2}(?:[\x20-][A-Z0-9]{4})+(?:[\x20-][A-Z0-9]{1,3})?(?![^\W_])")
+_PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 _HIT = "array<struct<kind:int,start:long,end:long,instance:string,patterns:array<string>>>"
 _SCHEMA = f"doc_id long, row_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, hits {_HIT}"
 
 
+def _word_around(text: str, a: int, b: int, free: int) -> tuple[int, int]:
+    """The bounds widened to whole words, not before ``free``."""
+    while a > free and not text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and not text[b].isspace():
+        b += 1
+    return a, b
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """The bounds without outer punctuation; a bracket whose partner is inside stays."""
+    while a < b and text[a] in "([{<\"'" and (text[a] not in _PAIRS or _PAIRS[text[a]] not in text[a : b - 1]):
+        a += 1
+    while b > a and text[b - 1] in ".,;:!?)]}>\"'":
+        b -= 1
+    return a, b
+
+
+def _is_candidate(text: str, a: int, b: int) -> bool:
+    return b - a >= CANDIDATE_CHARS and ("@" in text[a:b] or len(_DIGITS.findall(text, a, b)) >= CANDIDATE_DIGITS)
+
+
 def _candidates(text: str) -> list[tuple[int, int]]:
+    """Single words, ascending and disjoint."""
     found, free = [], 0
     for m in _MARK.finditer(text):
         if m.start() < free:
             continue
-        a = b = m.start()
-        while a > free and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
+        a, b = _word_around(text, m.start(), m.start(), free)
         free = b
         while a < b and text[a] in "([{<\"'":
             a += 1
         while b > a and text[b - 1] in ".,;:!?)]}>\"'":
             b -= 1
-        if CANDIDATE_CHARS[0] <= b - a <= CANDIDATE_CHARS[1] and ("@" in text[a:b] or len(_DIGITS.findall(text, a, b)) >= CANDIDATE_DIGITS):
+        if _is_candidate(text, a, b):
+            found.append((a, b))
+    return found
+
+
+def _runs(text: str) -> list[tuple[int, int]]:
+    """Identifiers of several words, ascending and disjoint: runs of digit groups, and accounts with letters."""
+    found, free = [], 0
+    for m in sorted([*_RUN.finditer(text), *_ACCOUNT.finditer(text)], key=lambda m: (m.start(), -m.end())):
+        if m.start() < free:
+            continue
+        a, b = _word_around(text, m.start(), m.end(), free)
+        free = b
+        a, b = _bare(text, a, b)
+        if any(c.isspace() for c in text[a:b]) and _is_candidate(text, a, b):
             found.append((a, b))
     return found
 
 
+def _instance(value: str) -> str:
+    """What identifies a run: its digits, or all of it where it has letters."""
+    return value.lower() if _LETTER.search(value) else "".join(_DIGITS.findall(value))
+
+
+def _hashed(instance: str) -> str:
+    return hashlib.sha256(instance.encode()).hexdigest()[:32]
+
+
 def _word(word: str) -> str:
     return _DIGITS.sub("0", word.lower()[:40])
 
@@ -78,8 +126,9 @@ def _finder():
                 out["sha"].append(hashlib.sha256(joined(base, KINDS).encode()).hexdigest())
                 for k, kind in enumerate(KINDS):
                     out[kind].append(sum(x[0] == k for x in base))
-                hits = [(k, a, b, value) for k, a, b, value in base] + [(-1, a, b, text[a:b].lower()) for a, b in free_spots(_candidates(text), base)]
-                out["hits"].append([{"kind": k, "start": a, "end": b, "instance": value[:64], "patterns": _patterns(text, a, b)} for k, a, b, value in hits])
+                hits = base + [(-1, a, b, text[a:b].lower()) for a, b in free_spots(_candidates(text), base)]
+                hits += [(-1, a, b, _instance(text[a:b])) for a, b in free_spots(_runs(text), base)]
+                out["hits"].append([{"kind": k, "start": a, "end": b, "instance": _hashed(value), "patterns": _patterns(text, a, b)} for k, a, b, value in hits])
             struct = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(out[k], pa.int64()) for k in KINDS], pa.array(out["sha"], pa.string()), pa.array(out["hits"], struct)], ["doc_id", "row_hash", *[f"n_{k}" for k in KINDS], "base_sha256", "hits"])
 
@@ -119,7 +168,8 @@ def private_data(docs: DataFrame, least_confidence: float = LEAST_CONFIDENCE) ->
     Returns, for every row, doc_id, n_email, n_ip, n_card, n_phone (long, base spans), base_sha256 (of the base
     spans), n_added (long) and spans: array of (kind, start, end, added), by kind as listed and then start;
     offsets are code points, ends exclusive. Base spans are those of spans.private_spans. Added spans are words
-    like identifiers that overlap no base span and stand in a context whose confidence for the kind is at least
+    and runs of digit groups like identifiers that overlap no base span (of a run and its words that are both
+    claimed, the run) and stand in a context whose confidence for the kind is at least
     ``least_confidence``; if several contexts or kinds claim a span, the most confident wins, then the first
     kind. Null and empty texts have no span. Rows that repeat stay; rows of one id but other texts are kept
     apart. An empty table gives no rows; other columns are ignored.
@@ -132,6 +182,8 @@ def private_data(docs: DataFrame, least_confidence: float = LEAST_CONFIDENCE) ->
     claims = hit.filter("kind < 0").drop("kind", "instance").join(sure, "pattern")
     best = claims.groupBy("doc_id", "row_hash", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("minus"))).alias("best"))
     added = best.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.collect_list(F.struct((-F.col("best.minus")).alias("kind"), "start", "end", F.lit(True).alias("added"))).alias("more"))
+    whole = lambda x: ~F.exists("more", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))
+    added = added.withColumn("more", F.filter("more", whole))
     joined_rows = found.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
     base = F.transform(F.filter("hits", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(False).alias("added")))
     spans = F.array_sort(F.concat(base, F.coalesce(F.col("more"), F.array().cast("array<struct<kind:int,start:long,end:long,added:boolean>>"))))
