@@ -17,7 +17,7 @@ def _stars(pairs: DataFrame) -> DataFrame:
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _stars(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 def _settled(edges: DataFrame) -> bool:
     """Whether the edges (u, v), u > v, are stars: every u has one partner, and that is nobody's u."""
-    as_u = edges.groupBy("u").agg(F.count("*").alias("n")).select(F.col("u").alias("node"), "n")
-    as_v = edges.groupBy("v").agg(F.lit(1).cast("long").alias("n")).select(F.col("v").alias("node"), "n")
-    return as_u.union(as_v).groupBy("node").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("n"), F.lit(0).alias("head"))
+    ends = ends.union(edges.select(F.col("v").alias("node"), F.lit(0).alias("n"), F.lit(1).alias("head")))
+    return ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("head").alias("head")).filter("n + head > 1").isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

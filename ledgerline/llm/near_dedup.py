@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +15,8 @@ from .store import broadcast_if_small, small_batches, table, written
 
 #: 32 bands of 4 minima: a pair of similarity 0.8 shares no band with a probability of 5e-8.
 BANDS, ROWS = 32, 4
-#: Leaders, drawn by hash, that an open bucket tries on all members of other components, round by round; what is
-#: still open then is compared in blocks.
-LEADERS = (8,)
-#: Documents in a block of the exact fallback.
-BLOCK = 512
+#: What one side of an exact comparison inside a task holds at most: bytes of shingles on average, and documents.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 4096
 
 _SKETCH = "id long, n_shingles long, h1 long, h2 long, bands array<long>"
 _SETS = "id long, signature binary, shingles binary"
@@ -105,12 +101,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(percent: int):
-    """Compares two blocks of a bucket across components; returns links that join components, no more than are needed."""
+    """Compares two blocks of a bucket across components; returns links (of components) that join them, no more than are needed."""
 
     def links(key: tuple, rows: pa.Table) -> pa.Table:
         least = _least_agreement(percent)
         low, high = key[1].as_py(), key[2].as_py()
-        ids, comps, block = (rows.column(c).to_numpy() for c in ("id", "component", "block"))
+        comps, block = (rows.column(c).to_numpy() for c in ("component", "block"))
         signs = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in rows.column("signature")])
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("shingles")]
         parent = {c: c for c in comps.tolist()}
@@ -123,39 +119,37 @@ def _block_links(percent: int):
         found = []
         right = np.flatnonzero(block == high)
         for i in np.flatnonzero(block == low):
-            near = right[(signs[right] == signs[i]).sum(1) >= least]
-            for j in near:
+            agree = (signs[right] == signs[i]).sum(1)
+            near = agree >= least
+            for j in right[near][np.argsort(-agree[near], kind="stable")]:  # the likeliest first, as one link ends the rest
                 a, b = root(comps[i].item()), root(comps[j].item())
                 if a != b and _similar(sets[i], sets[j], percent):
                     parent[max(a, b)] = min(a, b)
-                    found.append((ids[i], ids[j]))
+                    found.append((max(a, b), min(a, b)))
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
     return links
 
 
-def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members (key, rep) of buckets of several components, with their component and the bucket's size."""
-    rows = members.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    still = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    return written(rows.join(still.select("key", "size"), "key"), "buckets")
+def _open_blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Buckets that hold several components, dealt into pairs of blocks: key, low, high, block, component, id.
 
-
-def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components in buckets that the leaders left open: block against block, no pairs written.
-
-    The members of a bucket's largest component are compared with the others only, not among themselves.
+    members: key, rep, n (shingles). Buckets of equal members are taken once. The members of a bucket's largest component
+    (main) are paired with the others only, not among themselves; a block has BLOCK_BYTES and BLOCK_ROWS at most, on average.
     """
-    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    per_block = F.lit(BLOCK // 2)
-    rows = members.drop("size").join(main, "key").withColumn("in_main", F.col("component") == F.col("main.component"))
-    rows = rows.withColumn("minors", F.ceil((F.col("all") - F.col("main.n")) / per_block).cast("int")).withColumn("mains", F.ceil(F.col("main.n") / per_block).cast("int"))
-    block = F.when(F.col("in_main"), F.col("minors") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("minors"))).cast("int")
+    rows = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = written(rows, "members")
+    by_component = rows.groupBy("key", "component").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    buckets = by_component.groupBy("key").agg(F.max(F.struct("n_rows", "component", "n")).alias("main"), F.sum("n_rows").alias("rows"), F.sum("n").alias("all"), F.bit_xor("who").alias("who"), F.count("*").alias("of")).filter("of > 1")
+    buckets = buckets.groupBy("rows", "all", "who").agg(F.min_by(F.struct("key", "main"), "key").alias("first")).select("first.key", "first.main", "rows", "all")
+    blocks = lambda n, count: F.greatest(F.ceil(n * 8 / BLOCK_BYTES), F.ceil(count / BLOCK_ROWS)).cast("int")
+    buckets = buckets.select("key", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.n_rows")).alias("mains"), blocks(F.col("all") - F.col("main.n"), F.col("rows") - F.col("main.n_rows")).alias("minors"))
+    dealt = rows.join(buckets, "key").withColumn("in_main", F.col("component") == F.col("main"))
+    place = F.xxhash64("rep")
+    block = F.when(F.col("in_main"), F.col("minors") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("minors"))).cast("int")
     last = F.when(F.col("in_main"), F.col("minors")).otherwise(F.col("minors") + F.col("mains")) - 1
-    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", F.col("rep").alias("id"))
-    return dealt.join(sets, "id").groupBy("key", "low", "high").applyInArrow(_block_links(percent), "u long, v long")
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", F.col("rep").alias("id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -166,52 +160,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Every document gets the hash of its whole set and its band hashes; documents of equal sets collapse
        into their least id, so a group of copies of any size is one row from here on.
-    2. Each band bucket proposes its least member to all others; pairs are checked by signature, then on the
-       full sets. Components follow by large-star and small-star.
-    3. Buckets that still hold several components try some more leaders on the members of other components,
-       and what is then left is compared block by block inside tasks, which writes no pairs. So every pair that shares a band is
-       either checked or already in one component: no link between components is lost.
+    2. Each band bucket proposes its least member to all others; a pair is proposed once however many bands it
+       shares, checked by signature and then on the full sets. Components follow by large-star and small-star.
+    3. What is left are pairs across components of a bucket that don't touch its leader. They are compared
+       inside tasks, block against block, where signatures pick the pairs whose full sets are compared; no
+       pairs are written, only links that join components. Those links are components' in turn.
+    So every pair that shares a band is either checked or already in one component: no link between components
+    is lost. A bucket of n members, m of them outside its largest component, sends each member to about
+    m / BLOCK_ROWS blocks (BLOCK_BYTES for long texts), one where m is below that.
 
     Returns id_col, n_shingles (long, size of the set), component_id (long, the least id reachable, itself
     included), kept (boolean: it is that least id), one row for every input row. Null and empty texts and
     texts without words have n_shingles 0, their own component and are kept. Rows that repeat an id and text
-    share a component; rows with a null id link nothing and have a null component and kept true. An empty
-    table gives no rows. Other columns are ignored.
+    share a component; of rows of one id and several texts each has the component of its own text, and texts
+    whose copies have the same least id count as linked. Rows with a null id link nothing and have a null component
+    and kept true. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = written(source.mapInArrow(_sketcher(words), _SKETCH), "sketch")
     full = sketch.filter("n_shingles > 0 and id is not null")
-    groups = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands"))
+    groups = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").cast("int").alias("n"), F.min_by("bands", "id").alias("bands"))
     groups = written(groups, "groups")
 
-    banded = groups.select(F.col("rep"), F.explode("bands").alias("key"))
+    banded = groups.select("rep", "n", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
     buckets = written(banded.join(leaders, "key"), "buckets")
     members = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = written(source.join(members.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_set_maker(words), _SETS), "sets")
+    sets = written(source.join(broadcast_if_small(members), "id", "left_semi").mapInArrow(_set_maker(words), _SETS), "sets")
 
     pairs = buckets.filter("rep > leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-    found = [written(_verified(pairs, sets, percent), "links")]
-    comps = components(found[0])
-    members = _still_open(buckets.filter("rep > leader"), comps)
-    for turn, n in enumerate(LEADERS):
-        if members.isEmpty():
-            break
-        leads = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(n << 30)) / F.col("size")
-        leaders = members.filter(leads).select("key", F.col("rep").alias("leader"), F.col("component").alias("other"))
-        across = members.join(leaders, (members["key"] == leaders["key"]) & (F.col("component") != F.col("other")))
-        pairs = across.select(F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")).distinct()
-        found.append(written(_verified(pairs, sets, percent), "links"))
-        comps = components(reduce(DataFrame.union, found))
-        members = _still_open(members.filter(~leads), comps)
-    if not members.isEmpty():
-        found.append(written(_in_blocks(members, sets, percent), "links"))
-        comps = components(reduce(DataFrame.union, found))
-
-    moved = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"), "rep", "copies")
-    moved = moved.filter("copies > 1 or component_id < rep").select("h1", "h2", "component_id")
-    out = sketch.join(moved, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")))
+    comps = components(written(_verified(pairs, sets, percent), "links"))
+    blocks = _open_blocks(buckets.filter("rep > leader").select("key", "rep", "n"), comps)
+    more = written(blocks.join(sets, "id").groupBy("key", "low", "high").applyInArrow(_block_links(percent), "u long, v long"), "links")
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    # A component of one document has no row in comps; it may be merged all the same.
+    groups = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = groups.join(broadcast_if_small(merged), "component", "left").withColumn("component_id", F.coalesce("_to", "component"))
+    moved = groups.filter("copies > 1 or component_id < rep").select("h1", "h2", "component_id")
+    out = sketch.drop("bands").join(moved, ["h1", "h2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

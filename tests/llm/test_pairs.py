@@ -89,9 +89,8 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_blocks_finish_what_leaders_leave(spark, monkeypatch):
-    monkeypatch.setattr(nd, "LEADERS", ())
-    monkeypatch.setattr(nd, "BLOCK", 6)
-    rows = list(enumerate(family(11, 60, 3)))
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 6)
+    rows = list(enumerate(family(11, 60, 3) + family(12, 60, 4)))
     want = brute_components(rows, 5, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
@@ -104,6 +103,10 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (None, None, True), (4, 1, False), (5, 5, True)], key=str)
     assert nd.near_duplicates(docs.limit(0)).count() == 0
     assert sorted(nd.without_near_duplicates(docs).columns) == ["doc_id", "key", "text"]
+    # One id, two texts: each row has the component of its own text; texts whose least ids are equal are linked.
+    rows = [(3, "a b c d e f"), (7, "a b c d e f"), (7, "other words are standing in here"), (9, "other words are standing in here")]
+    got = sorted((r.doc_id, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (7, 3), (7, 7), (9, 7)]
 
 
 def test_containment_matches_brute_force(spark):
