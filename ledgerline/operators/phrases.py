@@ -1,17 +1,18 @@
-"""Finding license texts in files: candidates by an equi-join on runs of tokens, then a diff of each candidate.
+"""Finding license texts in files: equi-joins on runs of tokens, one alignment a diagonal, survivors by dominance.
 
 Texts and phrases are split into tokens. Every run of three tokens of a text is looked up among the runs at the
-first eleven positions of all phrases (a join on hashes); only the hits reach the diff, which Python does for one
-file after the other.
+first eleven positions of all phrases (a join on hashes). Hits of a phrase on one diagonal (text position less
+phrase position) are one start. Equal spans are found in the JVM; the other starts are aligned by numpy over
+hashed tokens, each in a window as long as a match of sufficient rank can be. Which matches stay is a self-join
+by file.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ LONG_DELIMITERS = ["//", "/*", "*/", "::", '"""', "'''", "dnl"]
 IGNORED_TOKEN = "rem"
 # Phrases of these names are never searched.
 IGNORED_NAMES = ["Void", "No_license_found"]
+#: Neither are the texts that only say which scanner made the license up.
+IGNORED_TEXT = r"^License by \w+\.$"
 
 
 def delimiter_pattern(delimiters: str = DELIMITERS) -> str:
@@ -83,168 +86,160 @@ def candidates(files: DataFrame, phrases: DataFrame) -> DataFrame:
     return long.union(exact.select("pfile_fk", "rf_pk", "t", F.lit(0).alias("s")))
 
 
-@cache
-def visiting_order(size: int = MOST_DIFF) -> list[tuple[int, int]]:
-    """Offsets (text, phrase) in the order a diff tries them: by the last time a quarter circle of growing radius passes."""
-    last, time = {}, 0
-    step = math.pi / 4 / size
-    for half in range(2 * size):
-        theta, r = 0.0, half / 2
-        while theta < math.pi / 2:
-            time += 1
-            x, y = math.floor(r * math.sin(theta)), math.floor(r * math.cos(theta))
-            if 0 <= x < size and 0 <= y < size:
-                last[x, y] = time
-            theta += step
-    last.pop((0, 0), None)
-    return sorted(last, key=last.get)
+def nearest_agreement(text: np.ndarray, phrase: np.ndarray, most: int = MOST_DIFF, run: int = RUN) -> tuple[int, int] | None:
+    """The offsets (text, phrase) below ``most``, least distant from the start, from which ``run`` tokens agree.
 
+    Past the end of either nothing is asked. Of equal distances the one of fewer text tokens is taken; None if
+    there is none.
+    """
+    same = text[: most + run - 1, None] == phrase[None, : most + run - 1]
+    alike = same.copy()
+    for k in range(1, run):
+        after = np.ones_like(same)
+        after[:-k, :-k] = same[k:, k:]
+        alike &= after
+    down, right = np.nonzero(alike[:most, :most])
+    if not len(down):
+        return None
+    best = np.argmin(down * down + right * right)
+    return int(down[best]), int(right[best])
 
-def _same(text: list[str], t: int, phrase: list[str], s: int, wanted: int) -> bool:
-    """Whether ``wanted`` tokens are equal, or as many as either list still has; at least one."""
-    n = min(wanted, len(text) - t, len(phrase) - s)
-    return n > 0 and text[t : t + n] == phrase[s : s + n]
 
+def aligned(text: np.ndarray, phrase: np.ndarray, s: int = 0) -> tuple[int, int, list[tuple]] | None:
+    """How text, from its first token on, spells phrase from token s on (S6): matched, added and segments.
+
+    Stretches that agree alternate with edits that lead to the nearest agreement. Segments are (kind, text start,
+    text length, phrase start, phrase length); what the phrase has more at either end is removed, up to MOST_DIFF
+    tokens at its end. None where more than that is left over.
+    """
+    out = [("removal", 0, 0, 0, s)] if s else []
+    i, j, matched, added = 0, s, 0, 0
+    while i < len(text) and j < len(phrase):
+        n = min(len(text) - i, len(phrase) - j)
+        unlike = np.flatnonzero(text[i : i + n] != phrase[j : j + n])
+        n = int(unlike[0]) if len(unlike) else n
+        if n:
+            out.append(("match", i, n, j, n))
+        i, j, matched = i + n, j + n, matched + n
+        if i == len(text) or j == len(phrase):
+            break
+        step = nearest_agreement(text[i:], phrase[j:])
+        if step is None:
+            break
+        out.append(({(True, False): "addition", (False, True): "removal"}.get((step[0] > 0, step[1] > 0), "replace"), i, step[0], j, step[1]))
+        i, j, added = i + step[0], j + step[1], added + step[0]
+    left = len(phrase) - j
+    if left >= MOST_DIFF:
+        return None
+    return matched, added, out + ([("removal", i, 0, j, left)] if left else [])
 
-def _next_common(text: list[str], t: int, phrase: list[str], s: int, most: int, run: int) -> tuple[int, int] | None:
-    """The first offset, in visiting order, from which both lists go on alike."""
-    for dt, ds in visiting_order():
-        if dt < most and ds < most and _same(text, t + dt, phrase, s + ds, run):
-            return t + dt, s + ds
-    return None
 
+def _aligner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        out = []
+        for pfile, license, t, s, text, phrase in rows[["pfile_fk", "rf_pk", "t", "s", "window", "phrase"]].itertuples(index=False, name=None):
+            if (got := aligned(text, phrase, s)) is None:
+                continue
+            matched, added, segments = got
+            rank = 100.0 * matched / (len(phrase) + added)
+            end = segments[-1][1] + segments[-1][2]
+            out.append((pfile, license, rank, t, t + end, [{"kind": k, "start": t + a, "len": n, "rf_start": b, "rf_len": m} for k, a, n, b, m in segments]))
+        yield pd.DataFrame(out, columns=["pfile_fk", "rf_pk", "rank", "start", "end", "segments"])
 
-def diff(text: list[str], phrase: list[str], t: int, s: int, most: int = MOST_DIFF, run: int = RUN) -> dict | None:
-    """A match of the phrase from token t of the text on, if every token of the phrase is matched or removed.
 
-    Returns matched, added, rank and segments (kind, text start, text length, phrase start, phrase length).
+_SEGMENTS = "array<struct<kind:string,start:int,len:int,rf_start:int,rf_len:int>>"
+_ALIGNED = f"pfile_fk long, rf_pk long, rank double, start int, end int, segments {_SEGMENTS}"
+MATCH_SCHEMA = f"pfile_fk long, rf_pk long, full boolean, pct int, start int, end int, segments {_SEGMENTS}"
+
+
+def token_matches(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """All matches of sufficient rank, overlapping ones too: pfile_fk, rf_pk, full, rank, start, end (tokens), segments.
+
+    files: pfile_fk, tokens; catalogue: rf_pk, tokens. A match that adds more tokens than LEAST_RANK allows is none,
+    so an alignment sees a window of so many tokens only, whatever the length of the text.
     """
-    segments, matched, added, removed = [], 0, 0, 0
-    if s:
-        segments.append(("removal", t, 0, 0, s))
-        removed = s
-    while t < len(text) and text[t] != phrase[s]:
-        t += 1
-    start = (t, s)
-    while t < len(text) and s < len(phrase):
-        if text[t] == phrase[s]:
-            t, s, matched = t + 1, s + 1, matched + 1
-            continue
-        segments.append(("match", *_lengths(start, t, s)))
-        found = _next_common(text, t, phrase, s, most, run)
-        start = (t, s)
-        if not found:
-            break
-        dt, ds = found[0] - t, found[1] - s
-        segments.append(("addition" if not ds else "removal" if not dt else "replace", t, dt, s, ds))
-        added, removed = added + dt, removed + ds
-        t, s = start = found
-    if t > start[0]:
-        segments.append(("match", *_lengths(start, t, s)))
-    left = len(phrase) - s
-    if 0 < left < most:
-        segments.append(("removal", t, 0, s, left))
-        removed += left
-    if matched + removed != len(phrase):
-        return None
-    return {"matched": matched, "added": added, "rank": 100.0 * matched / (len(phrase) + added), "segments": segments}
-
-
-def _lengths(start: tuple[int, int], t: int, s: int) -> tuple[int, int, int, int]:
-    return start[0], t - start[0], start[1], s - start[1]
-
-
-class Match:
-    """A phrase found in a text: tokens from start to end, full or with differences."""
-
-    def __init__(self, license: int, phrase: list[str], found: dict):
-        self.license, self.phrase, self.segments = license, phrase, found["segments"]
-        self.full = len(self.segments) == 1 and self.segments[0][0] == "match"
-        self.start = self.segments[0][1]
-        self.end = self.segments[-1][1] + self.segments[-1][2]
-        self.rank = 100.0 if self.full else found["rank"]
-        self.percent = 100 if self.full else max(1, min(99, int(found["rank"])))
-
-    def covers(self, other: Match) -> bool:
-        return self.start <= other.start and self.end >= other.end
-
-
-def _holds(big: list[str], small: list[str]) -> bool:
-    return any(big[i : i + len(small)] == small for i in range(len(big) - len(small) + 1))
-
-
-def prefers(a: Match, b: Match) -> int:
-    """1 if a stands for b, -1 if b for a, 0 if both stay."""
-    if not (a.covers(b) or b.covers(a)):
-        return 0
-    if a.full and a.covers(b):
-        return 1
-    if b.full and b.covers(a):
-        return -1
-    if a.license != b.license:
-        if _holds(a.phrase, b.phrase):
-            return 1
-        if _holds(b.phrase, a.phrase):
-            return -1
-        if b.full and a.covers(b):
-            return 0
-    return 1 if a.rank >= b.rank else -1
-
-
-def maximal(matches: list[Match]) -> list[Match]:
-    """What is left when each match, in order, is held against all later ones."""
-    gone: set[int] = set()
-    for i, a in enumerate(matches):
-        for j in range(i + 1, len(matches)):
-            if i in gone:
-                break
-            if j not in gone and (way := prefers(a, matches[j])):
-                gone.add(j if way > 0 else i)
-    return [m for i, m in enumerate(matches) if i not in gone]
-
-
-MATCH_SCHEMA = "pfile_fk long, rf_pk long, full boolean, pct int, start int, end int, segments array<struct<kind:string,start:int,len:int,rf_start:int,rf_len:int>>"
-
-
-def _matcher(phrase_of: dict[int, list[str]]):
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for pfile, text, hits in zip(rows.pfile_fk, rows.text, rows.hits, strict=True):
-                spans = tokens(text)
-                words = [x[0] for x in spans]
-                found = []
-                for hit in sorted(hits, key=lambda h: (h["t"], h["short"], h["s"], h["rf_pk"])):
-                    phrase, t, s = phrase_of[hit["rf_pk"]], int(hit["t"]), int(hit["s"])
-                    got = diff(words, phrase, t, s, *((0, 1) if hit["short"] else (MOST_DIFF, RUN)))
-                    if got and (m := Match(hit["rf_pk"], phrase, got)).percent > LEAST_RANK:
-                        found.append(m)
-                for m in maximal(found):
-                    at = lambda i: spans[i][1] if i < len(spans) else len(text)  # noqa: B023, E731
-                    to = lambda i, n: spans[i + n - 1][2] if n else at(i)  # noqa: B023, E731
-                    segments = [{"kind": k, "start": at(a), "len": to(a, n) - at(a), "rf_start": b, "rf_len": c} for k, a, n, b, c in m.segments]
-                    out.append((pfile, m.license, m.full, m.percent, at(m.start), to(m.end - 1, 1) if m.end > m.start else at(m.start), segments))
-            yield pd.DataFrame(out, columns=["pfile_fk", "rf_pk", "full", "pct", "start", "end", "segments"])
-
-    return match
+    starts = candidates(files, catalogue).groupBy("pfile_fk", "rf_pk", (F.col("t") - F.col("s")).alias("diagonal")).agg(F.min("s").alias("s"))
+    starts = starts.withColumn("t", F.col("diagonal") + F.col("s"))
+    wide = F.ceil(F.size("wanted") * 100 / LEAST_RANK).cast("int") + 2 * RUN
+    spots = starts.join(catalogue.withColumnRenamed("tokens", "wanted"), "rf_pk").join(files, "pfile_fk")
+    spots = spots.select("pfile_fk", "rf_pk", "t", "s", "wanted", F.slice("tokens", F.col("t") + 1, wide).alias("window"))
+    same = (F.col("s") == 0) & (F.slice("window", 1, F.size("wanted")) == F.col("wanted"))
+    whole = F.array(F.struct(F.lit("match").alias("kind"), F.col("t").alias("start"), F.size("wanted").alias("len"), F.lit(0).alias("rf_start"), F.size("wanted").alias("rf_len")))
+    full = spots.filter(same).select("pfile_fk", "rf_pk", F.lit(True).alias("full"), F.lit(100.0).alias("rank"), F.col("t").alias("start"), (F.col("t") + F.size("wanted")).alias("end"), whole.alias("segments"))
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    rest = spots.filter(~same & (F.size("wanted") > RUN)).select("pfile_fk", "rf_pk", "t", "s", hashed("window").alias("window"), hashed("wanted").alias("phrase"))
+    near = rest.mapInPandas(_aligner, _ALIGNED).filter(F.col("rank").cast("int") > LEAST_RANK)
+    return full.unionByName(near.withColumn("full", F.lit(False)))
+
+
+def surviving(found: DataFrame, includes: DataFrame) -> DataFrame:
+    """The matches that no other one of the same file stands for.
+
+    found: pfile_fk, rf_pk, full, rank, start, end and more; includes: big, small (licenses whose phrase holds that
+    of another). Two matches compete if one's span holds the other's. Then a full match stands for all that
+    it holds; else a license that includes the other stands for it; else, if the one inside is a full match of
+    another license, both stay; else the higher rank wins. Ties go to the match of the earlier start, then the longer one,
+    then the least license. A match is dropped if any competitor stands for it.
+    """
+    keys = ("rf_pk", "start", "end")
+    found = found.withColumn("_best", F.struct("full", "rank")).groupBy("pfile_fk", *keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("pfile_fk", *keys)]), "_best").alias("_m")).select("pfile_fk", *keys, "_m.*")
+    side = lambda n: found.select("pfile_fk", *[F.col(c).alias(n + c) for c in (*keys, "full", "rank")])
+    a_holds, b_holds = F.expr("a_start <= b_start and a_end >= b_end"), F.expr("b_start <= a_start and b_end >= a_end")
+    other = F.col("a_rf_pk") != F.col("b_rf_pk")
+    pairs = side("a_").join(side("b_"), "pfile_fk").filter((a_holds | b_holds) & (other | (F.col("a_start") != F.col("b_start")) | (F.col("a_end") != F.col("b_end"))))
+    inside = includes.select("big", "small", F.lit(True).alias("yes"))
+    for a, b in (("a_", "b_"), ("b_", "a_")):
+        pairs = pairs.join(inside.select(F.col("big").alias(a + "rf_pk"), F.col("small").alias(b + "rf_pk"), F.col("yes").alias(a + "includes")), [a + "rf_pk", b + "rf_pk"], "left")
+    order = lambda n: F.struct(F.col(n + "start"), -F.col(n + "end"), F.col(n + "rf_pk"))
+    first = order("a_") < order("b_")
+    a_over, b_over = F.col("a_full") & a_holds, F.col("b_full") & b_holds
+    a_in, b_in = other & F.coalesce(F.col("a_includes"), F.lit(False)), other & F.coalesce(F.col("b_includes"), F.lit(False))
+    beside = other & ((F.col("b_full") & a_holds) | (F.col("a_full") & b_holds))
+    ranks = (F.col("a_rank") > F.col("b_rank")) | ((F.col("a_rank") == F.col("b_rank")) & first)
+    wins = F.when(a_over & b_over, first).when(a_over, True).when(b_over, False).when(a_in & b_in, first).when(a_in, True).when(b_in, False).when(beside, False).otherwise(ranks)
+    gone = pairs.filter(wins).select("pfile_fk", *[F.col("b_" + c).alias(c) for c in keys]).distinct()
+    return found.join(gone, ["pfile_fk", *keys], "left_anti")
+
+
+def _to_characters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Token positions of a file's matches as character positions."""
+    for rows in batches:
+        out = []
+        for pfile, text, found in rows[["pfile_fk", "text", "found"]].itertuples(index=False, name=None):
+            spans = np.array([(a, b) for _, a, b in tokens(text)] + [(len(text), len(text))])
+            for m in found:
+                segments = []
+                for x in m["segments"]:
+                    a = int(spans[x["start"], 0])
+                    b = int(spans[x["start"] + x["len"] - 1, 1]) if x["len"] else a
+                    segments.append({"kind": x["kind"], "start": a, "len": b - a, "rf_start": x["rf_start"], "rf_len": x["rf_len"]})
+                end = int(spans[m["end"] - 1, 1]) if m["end"] > m["start"] else int(spans[m["start"], 0])
+                out.append((pfile, m["rf_pk"], m["full"], 100 if m["full"] else min(99, max(1, int(m["rank"]))), int(spans[m["start"], 0]), end, segments))
+        yield pd.DataFrame(out, columns=["pfile_fk", "rf_pk", "full", "pct", "start", "end", "segments"])
+
+
+def searched(phrases: DataFrame, ignored_text: str = IGNORED_TEXT) -> DataFrame:
+    """rf_pk and tokens of the phrases that are searched: not of ignored names or texts, not null or without tokens."""
+    named = ~F.coalesce(F.col("shortname").isin(IGNORED_NAMES), F.lit(False))
+    kept = phrases.filter(named & F.col("text").isNotNull() & ~F.trim("text").rlike(ignored_text))
+    return kept.select("rf_pk", token_array(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
 def matches(files: DataFrame, phrases: DataFrame) -> DataFrame:
     """Matches of phrases(rf_pk, shortname, text) in files(pfile_fk, text): pfile_fk, rf_pk, full, pct, start, end, segments.
 
-    Offsets are characters. The overlap filter depends on order, so the candidates of one file are judged in one
-    call; files are independent and each is one row, whatever its number of copies elsewhere. Phrases are a
-    catalogue of license texts: their number is that of known licenses, not that of files, and it is the one
-    thing each task holds whole. Null texts have no match; null and empty phrases are never found.
+    Offsets are characters. Files and phrases meet in joins, on either side of which Spark may broadcast by size;
+    texts are handed to Python for surviving matches only, to count characters. Null texts have no match; null and
+    empty phrases are never found.
     """
-    phrases = phrases.filter(~F.coalesce(F.col("shortname").isin(IGNORED_NAMES), F.lit(False)) & F.col("text").isNotNull())
-    catalogue = phrases.select("rf_pk", token_array(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    phrase_of = {r.rf_pk: r.tokens for r in catalogue.collect()}
-    short = [k for k, v in phrase_of.items() if len(v) <= RUN]
+    catalogue = searched(phrases)
     split = files.filter("text is not null").select("pfile_fk", token_array(F.col("text")).alias("tokens"))
-    hit = F.struct("t", "s", "rf_pk", F.col("rf_pk").isin(short).alias("short"))
-    hits = candidates(split, catalogue).groupBy("pfile_fk").agg(F.collect_list(hit).alias("hits"))
-    return files.join(hits, "pfile_fk").select("pfile_fk", "text", "hits").mapInPandas(_matcher(phrase_of), MATCH_SCHEMA)
+    found = token_matches(split, catalogue)
+    as_texts = phrases.select("rf_pk", "text").join(catalogue.select("rf_pk"), "rf_pk", "left_semi")
+    held = phrase_hits(as_texts.withColumnRenamed("rf_pk", "pfile_fk"), as_texts.withColumnRenamed("rf_pk", "phrase_pk"))
+    kept = surviving(found, held.select(F.col("pfile_fk").alias("big"), F.col("phrase_pk").alias("small")))
+    by_file = kept.groupBy("pfile_fk").agg(F.collect_list(F.struct("rf_pk", "full", "rank", "start", "end", "segments")).alias("found"))
+    return files.join(by_file, "pfile_fk").select("pfile_fk", "text", "found").mapInPandas(_to_characters, MATCH_SCHEMA)
 
 
 def as_findings(files: DataFrame, found: DataFrame, agent: int) -> DataFrame:
@@ -267,6 +262,8 @@ def bulk_matches(items: DataFrame, files: DataFrame, phrase: str, delimiters: st
     wanted = [x[0] for x in tokens(phrase, unescaped(delimiters))]
     if not wanted:
         return items.select("item", "pfile_fk").limit(0)
+    # A text that lacks the longest token as it stands can't match; the others only are split.
+    files = files.filter(F.contains(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(max(wanted, key=len))))
     joined = F.concat(F.lit("\x1f"), F.array_join(token_array(F.col("text"), unescaped(delimiters)), "\x1f"), F.lit("\x1f"))
     hit = files.filter(joined.contains("\x1f" + "\x1f".join(wanted) + "\x1f")).select("pfile_fk")
     return items.join(hit, "pfile_fk", "left_semi").select("item", "pfile_fk")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text as X
@@ -101,29 +102,75 @@ def test_matcher(spark):
 
 
 def naive(words, phrases):
-    """All spots tried, without the index."""
-    found = []
-    for t in range(len(words)):
-        for s in range(P.MOST_LEADING + 1):
-            for k, p in phrases.items():
-                if len(p) > P.RUN and words[t : t + 3] == p[s : s + 3] and len(words[t : t + 3]) == 3 and len(p[s : s + 3]) == 3:
-                    if (d := P.diff(words, p, t, s)) and (m := P.Match(k, p, d)).percent > P.LEAST_RANK:
-                        found.append(m)
-        for k, p in phrases.items():
-            if len(p) <= P.RUN and words[t : t + len(p)] == p:
-                found.append(P.Match(k, p, P.diff(words, p, t, 0, 0, 1)))
-    return [(m.license, m.start, m.end, m.percent) for m in P.maximal(found)]
+    """All spots tried without an index, one a diagonal, and the matches that no other stands for; plain lists."""
+    found = {}
+
+    def put(k, start, end, rank, full):
+        if (k, start, end) not in found or found[k, start, end] < (full, rank):
+            found[k, start, end] = (full, rank)
+
+    def spell(text, phrase, s):
+        i, j, matched, added = 0, s, 0, 0
+        while i < len(text) and j < len(phrase):
+            if text[i] == phrase[j]:
+                i, j, matched = i + 1, j + 1, matched + 1
+                continue
+            steps = [(a * a + b * b, a, b) for a in range(min(P.MOST_DIFF, len(text) - i)) for b in range(min(P.MOST_DIFF, len(phrase) - j)) if all(i + a + k >= len(text) or j + b + k >= len(phrase) or text[i + a + k] == phrase[j + b + k] for k in range(P.RUN))]
+            if not steps:
+                break
+            _, a, b = min(steps)
+            i, j, added = i + a, j + b, added + a
+        return (matched, added, i) if len(phrase) - j < P.MOST_DIFF else None
+
+    for k, p in phrases.items():
+        if len(p) <= P.RUN:
+            for t in range(len(words)):
+                if words[t : t + len(p)] == p:
+                    put(k, t, t + len(p), 100.0, True)
+            continue
+        diagonals = {}
+        for t in range(len(words) - 2):
+            for s in range(min(P.MOST_LEADING + 1, len(p) - 2)):
+                if words[t : t + 3] == p[s : s + 3]:
+                    diagonals[t - s] = min(s, diagonals.get(t - s, s))
+        for d, s in diagonals.items():
+            t = d + s
+            if s == 0 and words[t : t + len(p)] == p:
+                put(k, t, t + len(p), 100.0, True)
+            elif got := spell(words[t : t + -(-len(p) * 100 // P.LEAST_RANK) + 2 * P.RUN], p, s):
+                rank = 100.0 * got[0] / (len(p) + got[1])
+                if int(rank) > P.LEAST_RANK:
+                    put(k, t, t + got[2], rank, False)
+    holds = lambda x, y: x[1] <= y[1] and x[2] >= y[2]
+    inside = lambda x, y: any(phrases[x][i : i + len(phrases[y])] == phrases[y] for i in range(len(phrases[x])))
+
+    def stands_for(x, y):
+        first = (x[1], -x[2], x[0]) < (y[1], -y[2], y[0])
+        over, under = found[x][0] and holds(x, y), found[y][0] and holds(y, x)
+        if over or under:
+            return first if over and under else over
+        if x[0] != y[0]:
+            more, less = inside(x[0], y[0]), inside(y[0], x[0])
+            if more or less:
+                return first if more and less else more
+            if found[x][0] or found[y][0]:
+                return False
+        return found[x][1] > found[y][1] or found[x][1] == found[y][1] and first
+
+    return [(*y, 100 if found[y][0] else min(99, max(1, int(found[y][1])))) for y in found if not any(x != y and (holds(x, y) or holds(y, x)) and stands_for(x, y) for x in found)]
 
 
 def test_matcher_against_all_spots(spark):
     rng = random.Random(3)
     base = [rng.choice(WORDS) for _ in range(40)]
-    phrases = {1: base[:14], 2: base[10:30], 3: base[5:7], 4: [rng.choice(WORDS) for _ in range(12)]}
+    phrases = {1: base[:14], 2: base[10:30], 3: base[5:7], 4: [rng.choice(WORDS) for _ in range(12)], 5: base[12:20]}
     files = []
     for i in range(12):
         w = [rng.choice(WORDS) for _ in range(10)] + base + phrases[4]
         for _ in range(rng.randrange(6)):
             w[rng.randrange(len(w))] = "changed"
+        for _ in range(rng.randrange(3)):
+            w.insert(rng.randrange(len(w)), "more")
         files.append((i, " ".join(w)))
     df = spark.createDataFrame(files, "pfile_fk long, text string")
     catalogue = spark.createDataFrame([(k, f"n{k}", " ".join(v)) for k, v in phrases.items()], "rf_pk long, shortname string, text string")
@@ -132,12 +179,40 @@ def test_matcher_against_all_spots(spark):
         spans = P.tokens(text)
         wanted = sorted((k, spans[a][1], spans[b - 1][2], pct) for k, a, b, pct in naive([x[0] for x in spans], phrases))
         assert sorted((r.rf_pk, r.start, r.end, r.pct) for r in rows if r.pfile_fk == i) == wanted
-
-
-def test_visiting_order():
-    order = P.visiting_order(8)
-    assert len(order) == len(set(order)) and (0, 0) not in order
-    assert order.index((0, 1)) < order.index((4, 4))
+    assert {r.pct for r in rows} > {100}
+
+
+def test_which_match_stands_for_which(spark):
+    """The sign table of the overlap filter. Phrases: 1 a, 2 b c, 3 a b; so 3 includes 1."""
+    cases = {
+        "full before differing, one license": ([(1, True, 100.0, 1, 2), (1, False, 100.0, 1, 3)], {(1, 1, 3)}),
+        "full before what it holds": ([(1, True, 100.0, 1, 3), (1, False, 100.0, 1, 2)], {(1, 1, 3)}),
+        "two full ones of one span": ([(2, True, 100.0, 1, 2), (3, True, 100.0, 1, 2)], {(2, 1, 2)}),
+        "the license that includes the other": ([(1, True, 100.0, 1, 2), (3, False, 100.0, 1, 3)], {(3, 1, 3)}),
+        "by rank, one license": ([(1, False, 100.0, 1, 2), (1, False, 90.0, 1, 8)], {(1, 1, 2)}),
+        "apart": ([(1, True, 100.0, 1, 2), (3, False, 100.0, 4, 8)], {(1, 1, 2), (3, 4, 8)}),
+        "a full one of another license inside": ([(1, True, 100.0, 3, 4), (2, False, 80.0, 1, 8)], {(1, 3, 4), (2, 1, 8)}),
+    }
+    rows = [(i, *m) for i, (found, _) in enumerate(cases.values()) for m in found]
+    found = spark.createDataFrame(rows, "pfile_fk long, rf_pk long, full boolean, rank double, start int, end int")
+    got = P.surviving(found, spark.createDataFrame([(3, 1), (1, 1), (2, 2), (3, 3)], "big long, small long")).collect()
+    for i, (name, (_, kept)) in enumerate(cases.items()):
+        assert {(r.rf_pk, r.start, r.end) for r in got if r.pfile_fk == i} == kept, name
+
+
+def test_nearest_agreement():
+    a, b = np.arange(300), np.concatenate([[900, 901], np.arange(300)])
+    assert P.nearest_agreement(a, b) == (0, 2) and P.nearest_agreement(b, a) == (2, 0)
+    assert P.nearest_agreement(a, a + 1000) is None
+    assert P.nearest_agreement(np.array([1, 2]), np.array([9, 2])) == (1, 1)
+    matched, added, segments = P.aligned(np.array([1, 2, 3, 7, 8, 4, 5, 6]), np.array([0, 1, 2, 3, 4, 5, 6]), 1)
+    assert (matched, added) == (6, 2)
+    assert segments == [("removal", 0, 0, 0, 1), ("match", 0, 3, 1, 3), ("addition", 3, 2, 4, 0), ("match", 5, 3, 4, 3)]
+
+
+def test_ignored_phrases(spark):
+    rows = [(1, "Void", "a b c d"), (2, "X", "License by Scanner."), (3, "Y", None), (4, "Z", ""), (5, "W", "License by Scanner and more.")]
+    assert [r.rf_pk for r in P.searched(spark.createDataFrame(rows, "rf_pk long, shortname string, text string")).collect()] == [5]
 
 
 def test_phrase_hits(spark):
