@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,9 +99,11 @@ def head_hex(text: Column, size: int = 32) -> Column:
 
 
 def java_regex(pattern: str) -> str:
-    """A POSIX or Perl-style pattern in Java's dialect: bracket classes, byte escapes and NUL-free runs."""
+    """A POSIX or Perl-style pattern, meant for any case, in Java's dialect: bracket classes, UTF-8 bytes, runs without NUL."""
     # POSIX classes and what Java calls them.
-    classes = {"alpha": r"\p{Alpha}", "digit": r"\d", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "space": r"\s", "punct": r"\p{Punct}", "print": r"\p{Print}"}
+    classes = {"alpha": r"\p{Alpha}", "digit": r"\d", "alnum": r"\p{Alnum}", "upper": r"\p{Alpha}", "lower": r"\p{Alpha}", "space": r"\s", "punct": r"\p{Punct}", "print": r"\p{Print}"}
     for name, java in classes.items():
         pattern = pattern.replace(f"[:{name}:]", java)
+    several = r"(?:\\x[C-F][0-9A-F])(?:\\x[89AB][0-9A-F])+"
+    pattern = re.sub(several, lambda m: bytes.fromhex(m[0].replace("\\x", "")).decode(), pattern)
     return pattern.replace(r"[^\0]*", r"[\s\S]*")

@@ -9,6 +9,7 @@ from ledgerline.functions.content import fingerprint
 from ledgerline.operators import ingest as G
 from ledgerline.operators import phrases as P
 from ledgerline.operators import scanners as S
+from ledgerline.operators import statements as C
 from ledgerline.streaming.incremental import to_scan
 
 from . import model as m
@@ -104,7 +105,7 @@ def contact_findings(spark, sf):
 
 @query()
 def copyright_statements(spark, sf):
-    return S.copyright_findings(m.texts(spark, sf).select("fk", F.col("content").alias("text")), "fk")
+    return C.copyright_findings(m.texts(spark, sf).select("fk", F.col("content").alias("text")), "fk")
 
 
 _LISTS = f"(SELECT pfile_fk, unnest(regexp_extract_all(text, '{S.TAG_LIST}', 1)) AS list FROM m_tagged)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import text as X
 from ledgerline.operators import phrases as P
 from ledgerline.operators import scanners as S
+from ledgerline.operators import statements as C
 
 
 def texts(spark, *values):
@@ -37,23 +38,57 @@ def test_contacts(spark):
     assert any(t == "author" and c.startswith("written by Jane") for _, t, c in rows)
     assert any(i == 3 and t == "ecc" and c.startswith("export control") for i, t, c in rows)
     assert {(3, "keyword", "patented"), (3, "keyword", "licensed under")} <= set(rows)
-
-
-def test_statements():
-    text = "Copyright (c) 2001-2003 Jane Roe <j@r.org>\n and others at Acme\n\nThe copyright holders are not liable.\n/* (C) 1999 Big Corp. All rights reserved. */\nSPDX-FileCopyrightText: 2020 Me\nnext line"
-    found = S.statements(text)
-    contents = [c for _, _, c, on in found if on]
-    assert contents[0].startswith("Copyright (c) 2001-2003 Jane Roe") and "Acme" in contents[0]
-    assert any("1999 Big Corp" in c and "reserved" not in c for c in contents)
-    assert any(c == "Copyright: 2020 Me" for c in contents)
-    assert not any("not liable" in c for c in contents)
-    assert S.statements("") == [] and S.statements("nothing") == []
+    rows = [(r.type, r.content) for r in S.contact_findings(texts(spark, PARAGRAPH), "id", F.col("text")).collect()]
+    assert [c for t, c in rows if t == "author"] == ["Written by: me, myself and Irene.", "Authors all the people at ABC", "Author1", "Author1 Author2 Author3", "Author4", "maintained by benjamin drieu <benj@debian.org>"]
+    assert [c for t, c in rows if t == "url"] == ["http://mysite.org/FAQ"] and [c for t, c in rows if t == "email"] == ["info@mysite.org", "benj@debian.org"]
+    assert [c for t, c in rows if t == "ecc"] == ["space vehicle designed by NASA"]
+    assert [c for t, c in rows if t == "keyword"] == ["licensed as", "stolen from"]
+
+
+PARAGRAPH = (
+    "© 2007 Hugh Jackman\n\nCopyright 2004 my company\n\nCopyrights by any strange people\n\n(C) copyright 2007-2011, 2013 my favourite company Google\n\n"
+    "(C) 2007-2011, 2013 my favourite company Google\n\nif (c) { return -1 } \n\nWritten by: me, myself and Irene.\n\nAuthors all the people at ABC\n\n"
+    "<author>Author1</author><head>All the people</head><author>Author1 Author2 Author3</author><author>Author4</author><b>example</b>Apache\n\n"
+    "This file is protected under pants 1 , 2 ,3\n\nDo not modify this document\n\nthe shuttle is a space vehicle designed by NASA\n\n"
+    "visit http://mysite.org/FAQ or write to info@mysite.org\n\nmaintained by benjamin drieu <benj@debian.org>\n\n"
+    "* Copyright (c) 1989, 1993\n* The Regents of the University of California. All rights reserved.\n\nto be licensed as a whole"
+    "/* Most of the following tests are stolen from RCS 5.7's src/conf.sh.  */"
+)
+
+
+def found_in(spark, *values):
+    rows = C.copyright_findings(texts(spark, *values), "id").orderBy("id", "start").collect()
+    return [[(v[r.start : r.end], r.is_enabled) for r in rows if r.id == i] for i, v in enumerate(values)]
+
+
+def test_statements(spark):
+    (got,) = found_in(spark, PARAGRAPH)
+    assert [t for t, on in got if on] == [
+        "© 2007 Hugh Jackman", "Copyright 2004 my company", "Copyrights by any strange people", "(C) copyright 2007-2011, 2013 my favourite company Google",
+        "(C) 2007-2011, 2013 my favourite company Google", "Copyright (c) 1989, 1993\n* The Regents of the University of California.",
+    ]
+    names = ["Copyright © .NET Foundation and contributors\n", "© .NET Foundation and contributors\n", "Copyright © 2021 .NET Foundation\n"]
+    names += ["Copyrighted (C) 1994 Normunds Saumanis (normunds@rx.tech.swh.lv)\n", "copyrighted 1990 Mark Adler\n", "Copyright (C) Torres Martinez\n", "Copyright (C) Tom Long Nguyen (tom.l.nguyen@intel.com)\n"]
+    assert found_in(spark, *names) == [[(x.strip("\n"), True)] for x in names]
+    assert found_in(spark, "copyright\n", "COPYRIGHT\n", "Copyrights\n", "", "nothing", "The copyright holders are not liable.") == [[]] * 6
+    assert not [x for found in found_in(spark, "© sjw¨noise\n", "© ZgU,µgarbage\n", "© KtCtdy\"sègarbage\n") for x in found if x[1]]
+
+
+def test_tagged_statements(spark):
+    lines = ["// SPDX-FileCopyrightText: 2026 Institut für Technik", "// SPDX-FileCopyrightText: 2026 Me"]
+    assert found_in(spark, "\n".join(lines)) == [[(x[3:], True) for x in lines]]
+    quoted = ['"2026 Fraunhofer für A",', '"2026 Hilscher mbH",', '"2026 Siemens AG",']
+    listed = "x\nSPDX-FileCopyrightText = [\n" + "\n".join(quoted) + "\n]\nCopyright 2021 Google LLC\n"
+    assert found_in(spark, listed) == [[("SPDX-FileCopyrightText = [", False), *[(q, True) for q in quoted], ("Copyright 2021 Google LLC", True)]]
+    (got,) = found_in(spark, 'SPDX-FileCopyrightText = [\n"2026 Company A",\nCopyright 2021 Google LLC\n')
+    assert ("Copyright 2021 Google LLC", True) in got and got[0][1] is False
 
 
 def test_copyright_findings(spark):
-    df = texts(spark, "Copyright 2001 Jane Roe", None, "", "x" * 100_000)
-    rows = S.copyright_findings(df, "id").collect()
-    assert [(r.id, r.content, r.is_enabled) for r in rows] == [(0, "Copyright 2001 Jane Roe", True)]
+    df = texts(spark, "Copyright 2001 Jane Roe", None, "", "x" * 100_000, "Copyright 1999 B\n" + "more words\n" * 20_000, "no\n" * 2000 + "copyright 2000 Big Corp. All rights reserved.")
+    rows = C.copyright_findings(df, "id").orderBy("id").collect()
+    assert [(r.id, r.content[:23], r.is_enabled) for r in rows] == [(0, "Copyright 2001 Jane Roe", True), (4, "Copyright 1999 B more w", True), (5, "copyright 2000 Big Corp", True)]
+    assert rows[1].end - rows[1].start == 300 and rows[2].start == 6000
 
 
 def test_line_scan(spark):
@@ -62,10 +97,11 @@ def test_line_scan(spark):
 
 
 def test_doctored(spark):
-    df = texts(spark, "// This is a li-\n// cence of the\ttest  string", "<!-- <b>MIT</b> License -->")
-    plain, markup = df.select(S.doctored(F.col("text")).alias("p"), S.doctored(F.col("text"), markup=True).alias("m")).collect()
-    assert plain.p == "This is a licence of the test string" or "li" in plain.p
-    assert markup.m == "MIT License"
+    df = texts(spark, "//Th- is is     a li-\n// cence of the test string", "<!-- <b>MIT</b> License --> &copy; Me", "dnl a (c) 2000, b. \\s+3big\\n x", 'printf "free"; footprint of GPL v2+ and LGPL+2', None, "")
+    plain = [r.p for r in df.orderBy("id").select(S.doctored(F.col("text")).alias("p")).collect()]
+    assert plain[0] == "This is a li cence of the test string"
+    assert plain[2] == " a (c) 2000 b big x" and plain[3] == " free footprint of GPL v2+ and LGPL 2" and plain[4:] == [None, ""]
+    assert df.filter("id = 1").select(S.doctored(F.col("text"), markup=True)).first()[0] == " b MIT /b License &copy Me"
 
 
 def test_config_and_rules():
