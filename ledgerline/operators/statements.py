@@ -57,26 +57,37 @@ def _class(characters: str) -> str:
     return "[" + re.sub(r"([\\\[\]^&-])", r"\\\1", characters) + "]"
 
 
-def judged(raw: Column) -> tuple[Column, Column]:
-    """What to do with a statement, and what is left of it.
+def _with(rows: Column, **new) -> Column:
+    """An array of structs with more fields, each a function of a struct; a step of its own, so that nothing is computed twice."""
+    return F.transform(rows, lambda x: reduce(lambda y, name: y.withField(name, new[name](x)), new, x))
+
+
+def judged(pieces: Column) -> Column:
+    """Structs with raw (a statement) with what to do with it, and left, what is left of it.
 
     What follows a license, a trademark or a reservation of rights goes. A statement is kept but deactivated where it is
     a template, noise, or, up to its second mark, another use of the word. Noise and outer punctuation
     go, the first word is spelled one way, and one ending goes; if nothing or the bare word is left it is discarded.
     """
-    cut = reduce(lambda c, n: F.regexp_replace(c, "(?is)" + _P[n] + (r"[\s\S]*" if n == _TRAILS[-1] else ""), ""), _TRAILS, raw)
-    first = F.regexp_extract(cut, r"(?is)\A(?:.*?copyright.*?(?=copyright)|.*\z)", 0)
-    off = _any(raw, ["REG_REMOVE_FILE_STATEMENT"]) | _any(cut, _NO_STATEMENTS) | _any(first, _OTHER_USES)
-    text = F.regexp_replace(cut, "|".join(map(re.escape, fixed.NOISE)), " ")
-    ends = _class(fixed.TRIMMED)
-    text = F.regexp_replace(text, f"^{ends}+|{ends}+\\z", "")
-    text = F.regexp_replace(text, f"^{_class(fixed.TRIMMED_AT_START)}+|{_class(fixed.TRIMMED_AT_END)}+\\z", "")
-    for word in fixed.FIRST_WORDS + fixed.FIRST_WORDS_TWICE:
-        text = F.replace(text, F.lit(word), F.lit(fixed.FIRST_WORD))
-    ending = reduce(lambda w, e: w.when(text.endswith(e) & (F.length(text) > len(e) + 1), F.lit(len(e))), fixed.ENDINGS, F.when(F.lit(False), F.lit(0)))
-    left = F.substr(text, F.lit(1), F.length(text) - F.coalesce(ending, F.lit(0)))
-    bare = (left == "") | F.lower(left).isin("copyright", "copyrights", "copyrighted")
-    return F.when(off, DEACTIVATE).when(bare, DISCARD).otherwise(KEEP), left
+    cut = lambda x: reduce(lambda c, n: F.regexp_replace(c, "(?is)" + _P[n] + (r"[\s\S]*" if n == _TRAILS[-1] else ""), ""), _TRAILS, x["raw"])
+    first = lambda x: F.regexp_extract(x["cut"], r"(?is)\A(?:.*?copyright.*?(?=copyright)|.*\z)", 0)
+
+    def text(x: Column) -> Column:
+        ends = _class(fixed.TRIMMED)
+        t = F.regexp_replace(x["cut"], "|".join(map(re.escape, fixed.NOISE)), " ")
+        t = F.regexp_replace(t, f"^{ends}+|{ends}+\\z", "")
+        t = F.regexp_replace(t, f"^{_class(fixed.TRIMMED_AT_START)}+|{_class(fixed.TRIMMED_AT_END)}+\\z", "")
+        return reduce(lambda t, word: F.replace(t, F.lit(word), F.lit(fixed.FIRST_WORD)), fixed.FIRST_WORDS + fixed.FIRST_WORDS_TWICE, t)
+
+    def left(x: Column) -> Column:
+        ending = reduce(lambda w, e: w.when(x["text"].endswith(e) & (F.length(x["text"]) > len(e) + 1), F.lit(len(e))), fixed.ENDINGS, F.when(F.lit(False), F.lit(0)))
+        return F.substr(x["text"], F.lit(1), F.length(x["text"]) - F.coalesce(ending, F.lit(0)))
+
+    def what(x: Column) -> Column:
+        off = x["head"] | _any(x["raw"], ["REG_REMOVE_FILE_STATEMENT"]) | _any(x["cut"], _NO_STATEMENTS) | _any(x["first"], _OTHER_USES)
+        return F.when(off, DEACTIVATE).when((x["left"] == "") | F.lower(x["left"]).isin("copyright", "copyrights", "copyrighted"), DISCARD).otherwise(KEEP)
+
+    return _with(_with(_with(_with(pieces, cut=cut), first=first, text=text), left=left), what=what)
 
 
 def copyright_findings(files: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -97,9 +108,7 @@ def copyright_findings(files: DataFrame, key: str, text: str = "text") -> DataFr
     tagged = line.rlike(f"(?i){_TAG}")
     opens = tagged & line.rlike(r"\[\s*\z")
     pieces = F.when(is_list, F.concat(F.array(piece(F.col("start"), line, line, F.lit(True), F.lit(True))), inner)).otherwise(F.array(piece(F.col("start"), F.col("found"), F.col("found"), opens, tagged)))
-    rows = hits.select(key, F.explode(pieces).alias("p")).select(key, "p.*")
-    what, left = judged(F.col("raw"))
-    rows = rows.withColumn("what", F.when(F.col("head"), DEACTIVATE).otherwise(what)).withColumn("left", left).filter(F.col("what") != DISCARD)
+    rows = hits.select(key, F.explode(judged(pieces)).alias("p")).select(key, "p.start", "p.shown", "p.tagged", "p.left", "p.what").filter(F.col("what") != DISCARD)
     reach = F.when((F.col("what") == KEEP) & ~F.col("tagged"), F.length("left")).otherwise(F.length("shown"))
     reach = F.least(reach, F.length("shown"), F.lit(fixed.LONGEST_STATEMENT))
     rows = rows.withColumn("content", cleaned(F.substr("shown", F.lit(1), reach), "statement")).filter("content != ''")

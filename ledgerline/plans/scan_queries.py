@@ -135,17 +135,43 @@ def word_counts(spark, sf):
     return _docs(spark, sf).select("doc_id", X.word_count(F.col("text")).alias("words"), X.head_hex(F.col("text")).alias("head"))
 
 
-@query()
+def _steps_sql(column, steps):
+    for pattern, to in steps:
+        column = f"regexp_replace({column}, '{_quoted(pattern)}', '{_quoted(to)}', 'g')"
+    return column
+
+
+@query(f"SELECT page_id, {_steps_sql('html', S.clean_up_steps(markup=True))} AS text FROM pages")
 def doctored_pages(spark, sf):
     return m.table(spark, sf, "pages").select("page_id", S.doctored(F.col("html"), markup=True).alias("text"))
 
 
+@query(f"SELECT doc_id, {_steps_sql('text', S.clean_up_steps())} AS text FROM documents")
+def doctored_documents(spark, sf):
+    return _docs(spark, sf).select("doc_id", S.doctored(F.col("text")).alias("text"))
+
+
 def _phrases(spark):
-    rows = [(i + 1, n, t) for i, (n, t) in enumerate([
-        ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."),
-        ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC", "Licensed under CC BY-NC 4.0."), ("Short", "rights reserved"),
-    ])]
-    return spark.createDataFrame(rows, "rf_pk long, shortname string, text string")
+    return spark.createDataFrame(_PHRASE_ROWS, "rf_pk long, shortname string, text string")
+
+
+_TOKENS = "list_filter(regexp_split_to_array({}, '(//|/\\*|\\*/|::|\"\"\"|''''''|dnl|[ \\t\\n\\r\\f#^%,*\\x00])+'), lambda x: x <> '' AND x <> 'rem')"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PHRASE_ROWS = [(i + 1, n, t) for i, (n, t) in enumerate([
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC", "Licensed under CC BY-NC 4.0."), ("Short", "rights reserved"),
+])]
+_PHRASE_SQL = "(VALUES " + ", ".join(f"({k}, '{t}')" for k, _, t in _PHRASE_ROWS) + ") p(rf_pk, text)"
+
+
+@query(f"""SELECT pfile_fk, rf_pk, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + len(w) AS INTEGER) AS "end" FROM
+    (SELECT pfile_fk, rf_pk, t, w, unnest(range(1, len(t) - len(w) + 2)) AS i FROM (SELECT doc_id AS pfile_fk, {_TOKENS.format(_LOW)} AS t FROM documents) d
+     JOIN (SELECT rf_pk, {_TOKENS.format(_LOW)} AS w FROM {_PHRASE_SQL}) p ON contains(chr(31) || array_to_string(t, chr(31)) || chr(31), chr(31) || array_to_string(w, chr(31)) || chr(31)))
+    WHERE t[i:i + len(w) - 1] = w""")
+def token_full_matches(spark, sf):
+    """Where license texts stand in documents without a difference, in tokens; overlapping ones too."""
+    files = _docs(spark, sf).select(F.col("doc_id").alias("pfile_fk"), P.token_array(F.col("text")).alias("tokens"))
+    return P.token_matches(files, P.searched(_phrases(spark))).filter("full").select("pfile_fk", "rf_pk", "start", "end")
 
 
 @query()
@@ -155,10 +181,6 @@ def token_fingerprint_match(spark, sf):
     return P.matches(files, _phrases(spark)).select("pfile_fk", "rf_pk", "full", "pct", "start", "end")
 
 
-_TOKENS = "list_filter(regexp_split_to_array({}, '(//|/\\*|\\*/|::|\"\"\"|''''''|dnl|[ \\t\\n\\r\\f#^%,*\\x00])+'), lambda x: x <> '' AND x <> 'rem')"
-_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 @query(f"SELECT doc_id AS pfile_fk, doc_id AS item FROM documents WHERE contains(chr(31) || array_to_string({_TOKENS.format(_LOW)}, chr(31)) || chr(31), chr(31) || 'released' || chr(31) || 'under' || chr(31) || 'the' || chr(31) || 'mit' || chr(31) || 'license.' || chr(31))")
 def bulk_phrase_matches(spark, sf):
     docs = _docs(spark, sf)
