@@ -21,18 +21,16 @@ from .store import small_batches, table, written
 
 #: A file of public byte-level pieces for many languages: base64 and rank on each line. Read by the driver.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Longer pieces of the vocabulary are left out, in bytes.
-LONGEST_PIECE = 10
-#: Longer words are cut into spans of so many bytes, each scored as a word, so that products don't underflow.
-LONGEST_SPAN = 24
+#: Sums over words of up to so many bytes are taken as they are; those of longer words as logarithms, as they'd underflow.
+PLAIN_SUMS = 24
+#: Numbers (positions x words x languages) that a task's tables of sums hold at once.
+SUMS_AT_ONCE = 2_000_000
 #: The model is fitted on at most about so many labelled rows of each language, those of least hash.
 TRAIN_ROWS = 1500
-#: Labels learned at most, the most frequent first.
-MOST_LANGUAGES = 256
+#: More labels than this are taken for a mistake, and raise an error.
+MOST_LABELS = 4096
 #: Rounds of expectation and maximisation.
 ROUNDS = 3
-#: Distinct spans whose sums a task holds at once.
-SPANS_AT_ONCE = 16_384
 #: A document is accepted from this posterior on.
 LEAST_SCORE = 0.5
 
@@ -43,7 +41,7 @@ class Pieces:
     def __init__(self, path: str = VOCABULARY):
         with open(path, "rb") as lines:
             found = {base64.b64decode(line.split()[0]).strip().lower() for line in lines if line.strip()}
-        kept = {x for x in found if 0 < len(x) <= LONGEST_PIECE and not tv.SPACE[list(x)].any()} | {bytes([b]) for b in range(256) if not tv.SPACE[b]}
+        kept = {x for x in found if x and not tv.SPACE[list(x)].any()} | {bytes([b]) for b in range(256) if not tv.SPACE[b]}
         texts = sorted(kept)
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
@@ -51,65 +49,96 @@ class Pieces:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.lengths = np.array([len(x) for x in texts])[order]
+        self.by_length = {int(k): tv.Lookup(self.hashes[self.lengths == k], 16) for k in np.unique(self.lengths)}
+        self.of_length = {k: np.flatnonzero(self.lengths == k) for k in self.by_length}
 
     def __len__(self) -> int:
         return len(self.hashes)
 
 
-def _spans(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix hashes, starts and ends of the words' spans, and the document of each."""
+def _words(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hashes, starts and ends of all words, and the document of each."""
     low = tv.Texts(tv.LOWER[texts.data], texts.offsets, texts.first_row)
     starts, ends, firsts = tv.word_bounds(low)
-    doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
-    parts = (ends - starts + LONGEST_SPAN - 1) // LONGEST_SPAN
-    if len(parts) and parts.max() > 1:
-        word = np.repeat(np.arange(len(starts)), parts)
-        within = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = starts[word] + within * LONGEST_SPAN
-        ends, doc = np.minimum(starts + LONGEST_SPAN, ends[word]), doc[word]
-    return tv.prefix_hash(low.data), starts, ends, doc
+    return tv.prefix_hash(low.data), starts, ends, np.repeat(np.arange(len(texts)), np.diff(firsts))
 
 
 class Lattice:
-    """All pieces in a set of distinct spans, by end and length, for the forward and backward sums."""
-
-    def __init__(self, lookup: tv.Lookup, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.order = np.argsort(starts - ends, kind="stable")  # the longest first
-        starts, lengths = starts[self.order], (ends - starts)[self.order]
-        self.lengths, self.n = lengths, len(starts)
-        self.longest = int(lengths.max(initial=0))
-        self.arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        reach = np.searchsorted(-lengths, -np.arange(self.longest + 1), side="right")  # spans of at least i bytes
-        for i in range(1, self.longest + 1):
-            own = starts[: reach[i]]
-            for k in range(1, min(i, LONGEST_PIECE) + 1):
-                rows, ids = lookup.hits(tv.span_hash(prefix, own + i - k, own + i))
-                if len(rows):
-                    self.arcs.append((i, k, rows, ids))
+    """All pieces in a set of distinct words, ordered by where they end, for the forward and backward sums.
+
+    The words are ordered by length, the longest first.
+    """
+
+    def __init__(self, pieces: Pieces, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.lengths, self.n = ends - starts, len(starts)
+        self.longest = int(self.lengths.max(initial=0))
+        found = []
+        for k, lookup in pieces.by_length.items():
+            if k > self.longest:
+                break
+            own = int(np.searchsorted(-self.lengths, -k, side="right"))  # words of at least k bytes
+            places = self.lengths[:own] - k + 1
+            word = np.repeat(np.arange(own), places)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(places) - places, places)
+            rows, ids = lookup.hits(tv.span_hash(prefix, starts[word] + at, starts[word] + at + k))
+            found.append((at[rows] + k, word[rows], np.full(len(rows), k), pieces.of_length[k][ids]))
+        end, word, size, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+        order = np.lexsort((word, end))
+        self.word, self.size, self.piece = word[order], size[order], piece[order]
+        #: Where the pieces begin that end at each position.
+        self.steps = np.searchsorted(end[order], np.arange(self.longest + 2))
+        self.logs = self.longest > PLAIN_SUMS
+
+    def _step(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        arcs = slice(self.steps[i], self.steps[i + 1])
+        return self.word[arcs], self.size[arcs], self.piece[arcs]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of each prefix: [bytes, span, language]."""
-        alpha = np.zeros((self.longest + 1, self.n, p.shape[1]))
-        alpha[0] = 1
-        for i, k, rows, ids in self.arcs:
-            alpha[i, rows] += alpha[i - k, rows] * p[ids]
-        return alpha
-
-    def totals(self, alpha: np.ndarray) -> np.ndarray:
-        out = np.empty(alpha.shape[1:])
-        out[self.order] = alpha[self.lengths, np.arange(self.n)]
-        return out
+        """Sums over the segmentations of each prefix: [position, word, language]; logarithms if self.logs."""
+        sums = np.full((self.longest + 1, self.n, p.shape[1]), -np.inf if self.logs else 0.0)
+        sums[0] = 0.0 if self.logs else 1.0
+        own = np.log(p) if self.logs else p
+        for i in range(1, self.longest + 1):
+            word, size, piece = self._step(i)
+            if not len(word):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            if self.logs:
+                each = sums[i - size, word] + own[piece]
+                most = np.maximum.reduceat(each, first, axis=0)
+                each = np.exp(each - np.repeat(most, np.diff(np.append(first, len(word))), axis=0))
+                sums[i, word[first]] = most + np.log(np.add.reduceat(each, first, axis=0))
+            else:
+                sums[i, word[first]] = np.add.reduceat(sums[i - size, word] * own[piece], first, axis=0)
+        return sums
+
+    def log_totals(self, sums: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum over all segmentations of each word."""
+        out = sums[self.lengths, np.arange(self.n)]
+        return out if self.logs else np.log(out)
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, where span i occurs counts[i] times in each language."""
-        alpha = self.forward(p)
-        beta = np.zeros_like(alpha)
-        beta[self.lengths, np.arange(self.n)] = counts[self.order] / alpha[self.lengths, np.arange(self.n)]
-        out = np.zeros_like(p)
-        for i, k, rows, ids in reversed(self.arcs):
-            flow = beta[i, rows] * p[ids]
-            beta[i - k, rows] += flow
-            np.add.at(out, ids, alpha[i - k, rows] * flow)
+        """Expected uses of each piece, where word i occurs counts[i] times in each language."""
+        sums = self.forward(p)
+        out, all_words = np.zeros_like(p), np.arange(self.n)
+        if self.logs:
+            with np.errstate(divide="ignore"):
+                back = np.full_like(sums, -np.inf)
+                back[self.lengths, all_words] = np.log(counts) - sums[self.lengths, all_words]
+            own = np.log(p)
+            for i in range(self.longest, 0, -1):
+                word, size, piece = self._step(i)
+                flow = back[i, word] + own[piece]
+                np.logaddexp.at(back, (i - size, word), flow)
+                np.add.at(out, piece, np.exp(sums[i - size, word] + flow))
+            return out
+        back = np.zeros_like(sums)
+        back[self.lengths, all_words] = counts / sums[self.lengths, all_words]
+        for i in range(self.longest, 0, -1):
+            word, size, piece = self._step(i)
+            flow = back[i, word] * p[piece]
+            np.add.at(back, (i - size, word), flow)
+            np.add.at(out, piece, sums[i - size, word] * flow)
         return out
 
 
@@ -120,28 +149,41 @@ class Model:
         self.languages, self.pieces, self.p = languages, pieces, p
 
 
-def _distinct_spans(lookup: tv.Lookup, texts: tv.Texts) -> tuple[list[Lattice], np.ndarray, np.ndarray]:
-    """Lattices of the distinct spans, longest first; for each span of the texts its number in them, and its document."""
-    prefix, starts, ends, doc = _spans(texts)
+def _distinct_words(pieces: Pieces, texts: tv.Texts, languages: int) -> tuple[list[Lattice], np.ndarray, np.ndarray]:
+    """Lattices of the distinct words, longest first; for each word of the texts its number in them, and its document.
+
+    A lattice holds as many words as SUMS_AT_ONCE allows at the length of its longest.
+    """
+    prefix, starts, ends, doc = _words(texts)
     _, first, back = np.unique(tv.span_hash(prefix, starts, ends), return_index=True, return_inverse=True)
     order = np.argsort(starts[first] - ends[first], kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     starts, ends = starts[first[order]], ends[first[order]]
-    return [Lattice(lookup, prefix, starts[i : i + SPANS_AT_ONCE], ends[i : i + SPANS_AT_ONCE]) for i in range(0, len(order), SPANS_AT_ONCE)], place[back], doc
+    lattices, i = [], 0
+    while i < len(order):
+        n = max(1, int(SUMS_AT_ONCE // ((ends[i] - starts[i] + 1) * max(1, languages))))
+        if ends[i] - starts[i] > PLAIN_SUMS:  # short words don't share a lattice with long ones
+            n = min(n, int(np.searchsorted(starts[i:] - ends[i:], -PLAIN_SUMS)))
+        lattices.append(Lattice(pieces, prefix, starts[i : i + n], ends[i : i + n]))
+        i += n
+    return lattices, place[back], doc
 
 
-def _expecter(model: Model):
+def _expecter(held):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = tv.Lookup(model.pieces.hashes), np.zeros_like(model.p)
+        model = held.value
+        total = np.zeros_like(model.p)
         for batch in batches:
             langs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for texts in tv.chunks(batch.column(1)):
-                lattices, back, doc = _distinct_spans(lookup, texts)
+                lattices, back, doc = _distinct_words(model.pieces, texts, len(model.languages))
                 counts = np.zeros((sum(x.n for x in lattices), len(model.languages)))
                 np.add.at(counts, (back, langs[texts.first_row + doc]), 1)
-                for i, lattice in enumerate(lattices):
-                    total += lattice.expected(model.p, counts[i * SPANS_AT_ONCE :][: lattice.n])
+                at = 0
+                for lattice in lattices:
+                    total += lattice.expected(model.p, counts[at : at + lattice.n])
+                    at += lattice.n
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "uses"])
 
@@ -152,14 +194,16 @@ def train(docs: DataFrame, labelled: Column, vocabulary: str = VOCABULARY, rows:
     """Fits piece probabilities by expectation-maximisation, each round one Spark aggregation.
 
     docs: doc_id, text, lang. Of the rows where ``labelled`` holds and lang is not null about ``rows`` of each
-    language are used, those of least hash of the doc_id; all of them if there are fewer. The labels are the
-    MOST_LANGUAGES most frequent ones. What reaches the driver is one number for each piece and language.
-    Without labelled rows the model has no language.
+    language are used, those of least hash of the doc_id; all of them if there are fewer. Every label is learned.
+    What reaches the driver, and is broadcast, is one number for each piece and language.
+    Without labelled rows the model has no language. More than MOST_LABELS labels raise a ValueError.
     """
     small_batches(docs.sparkSession)
     pieces = Pieces(vocabulary)
     own = docs.filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: lang does not name languages")
     languages = sorted(x.lang for x in sizes)
     if not languages:
         return Model([], pieces, np.zeros((len(pieces), 0)))
@@ -170,7 +214,7 @@ def train(docs: DataFrame, labelled: Column, vocabulary: str = VOCABULARY, rows:
     sample = written(sample, "language-sample").repartition(8 * len(languages))
     model = Model(languages, pieces, np.full((len(pieces), len(languages)), 1 / len(pieces)))
     for _ in range(rounds):
-        sums = sample.mapInArrow(_expecter(model), "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
+        sums = sample.mapInArrow(_expecter(docs.sparkSession.sparkContext.broadcast(model)), "piece long, lang long, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.zeros_like(model.p)
         uses[sums["piece"], sums["lang"]] = sums["uses"]
         # A hundredth of a use for each piece the language lacks, shared over the vocabulary's sizes.
@@ -187,23 +231,23 @@ def _has_letter(texts: tv.Texts) -> np.ndarray:
     return out
 
 
-def _identifier(model: Model, text_at: int):
+def _identifier(held, text_at: int):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = tv.Lookup(model.pieces.hashes)
+        model = held.value
         for batch in batches:
             preds, scores = [], []
-            for texts in tv.chunks(batch.column(text_at), 1 << 21):
+            for texts in tv.chunks(batch.column(text_at)):
                 n, n_lang = len(texts), len(model.languages)
-                logs, letter = np.zeros((n, n_lang)), _has_letter(texts)
-                lattices, back, doc = _distinct_spans(lookup, texts)
-                if lattices and n_lang:
-                    each = np.log(np.concatenate([x.totals(x.forward(model.p)) for x in lattices]))
-                    for j in range(n_lang):
-                        logs[:, j] = np.bincount(doc, each[back, j], n)
                 if not n_lang:
                     preds += ["und"] * n
                     scores += [0.0] * n
                     continue
+                logs, letter = np.zeros((n, n_lang)), _has_letter(texts)
+                lattices, back, doc = _distinct_words(model.pieces, texts, n_lang)
+                if lattices:
+                    each = np.concatenate([x.log_totals(x.forward(model.p)) for x in lattices])
+                    for j in range(n_lang):
+                        logs[:, j] = np.bincount(doc, each[back, j], n)
                 # Words are not independent: the evidence of w words counts as that of sqrt(w).
                 logs /= np.sqrt(np.maximum(1, np.bincount(doc, minlength=n)))[:, None]
                 odds = np.exp(logs - logs.max(1, keepdims=True))
@@ -225,7 +269,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     small_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "score")
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_identifier(model, rows.columns.index(text_col)), schema)
+    return rows.mapInArrow(_identifier(docs.sparkSession.sparkContext.broadcast(model), rows.columns.index(text_col)), schema)
 
 
 def is_held_out() -> Column:

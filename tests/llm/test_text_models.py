@@ -1,9 +1,11 @@
 """Language ID, quality, perplexity rules and toxicity: exact parts against brute force, models on held-out rows."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,42 +38,57 @@ def spoken(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, truth string")
 
 
+WORDY = ["the thing", "où? naïve x", None, "y" * 40 + " antidisestablishmentarianism, internationalisation", "日本語の文章は空白なしで書かれますので単語はとても長くなります" * 3]
+
+
 def test_forward_sums_all_segmentations(monkeypatch):
-    monkeypatch.setattr(li, "SPANS_AT_ONCE", 3)
+    """Whole words and all pieces, long words too: no cut."""
+    monkeypatch.setattr(li, "SUMS_AT_ONCE", 60)
     pieces = li.Pieces()
     rng = np.random.default_rng(2)
     p = rng.random((len(pieces), 2)) + 1e-3
     p /= p.sum(0)
     by_hash = dict(zip(pieces.hashes.tolist(), p, strict=True))
-    texts = next(tv.chunks(pa.array(["the thing", "où? naïve x", None, "y" * 40])))
-    lattices, back, doc = li._distinct_spans(tv.Lookup(pieces.hashes), texts)
-    got = np.concatenate([x.totals(x.forward(p)) for x in lattices])[back]
+    longest = int(pieces.lengths.max())
+    assert longest > 20
+    texts = next(tv.chunks(pa.array(WORDY)))
+    lattices, back, doc = li._distinct_words(pieces, texts, 2)
+    assert len(lattices) > 3 and {x.logs for x in lattices} == {True, False}
+    got = np.concatenate([x.log_totals(x.forward(p)) for x in lattices])[back]
 
     def prob(span: bytes) -> np.ndarray:
         data = np.frombuffer(span, np.uint8)
-        h = int(tv.span_hash(tv.prefix_hash(data), np.array([0]), np.array([len(span)]))[0])
-        return by_hash.get(h, np.zeros(2)) if len(span) <= li.LONGEST_PIECE else np.zeros(2)
-
-    def total(span: bytes) -> np.ndarray:
-        sums = [np.ones(2)]
-        for i in range(1, len(span) + 1):
-            sums.append(sum((sums[j] * prob(span[j:i]) for j in range(max(0, i - li.LONGEST_PIECE), i)), np.zeros(2)))
-        return sums[-1]
-
-    spans = [w[i : i + li.LONGEST_SPAN] for t in ("the thing", "où? naïve x", "y" * 40) for w in t.encode().split() for i in range(0, len(w), li.LONGEST_SPAN)]
-    assert len(spans) == len(got) and doc.tolist() == [0, 0, 1, 1, 1, 3, 3]
-    for s, g in zip(spans, got, strict=True):
+        return by_hash.get(int(tv.span_hash(tv.prefix_hash(data), np.array([0]), np.array([len(span)]))[0]), np.zeros(2))
+
+    def total(word: bytes) -> np.ndarray:
+        sums = [[Fraction(1)] * 2]
+        for i in range(1, len(word) + 1):
+            arcs = [(j, prob(word[j:i])) for j in range(max(0, i - longest), i)]
+            sums.append([sum((sums[j][c] * Fraction(float(q[c])) for j, q in arcs if q[c]), Fraction(0)) for c in range(2)])
+        return [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+
+    words = [w for t in WORDY if t for w in t.encode().lower().split()]
+    assert len(words) == len(got) and doc.tolist() == [0, 0, 1, 1, 1, 3, 3, 3, 4]
+    for s, g in zip(words[:-1], got, strict=False):
         np.testing.assert_allclose(g, total(s), rtol=1e-9)
+    assert np.isfinite(got).all()
 
 
 def test_expected_counts_add_up_to_the_bytes():
     pieces = li.Pieces()
     p = np.full((len(pieces), 1), 1 / len(pieces))
-    texts = next(tv.chunks(pa.array(["several words of various lengths", "more"])))
-    (lattice,), back, _ = li._distinct_spans(tv.Lookup(pieces.hashes), texts)
-    counts = np.bincount(back, minlength=lattice.n).astype(float)[:, None]
-    used = lattice.expected(p, counts)
-    assert abs((used[:, 0] * pieces.lengths).sum() - sum(len(w) for w in "several words of various lengths more".split())) < 1e-6
+    texts = next(tv.chunks(pa.array(["several words of various lengths", "more", WORDY[3], WORDY[4]])))
+    lattices, back, _ = li._distinct_words(pieces, texts, 1)
+    counts, at, used = np.bincount(back).astype(float)[:, None], 0, 0
+    for x in lattices:
+        used += (x.expected(p, counts[at : at + x.n])[:, 0] * pieces.lengths).sum()
+        at += x.n
+    assert abs(used - sum(len(w) for w in f"several words of various lengths more {WORDY[3]} {WORDY[4]}".encode().split())) < 1e-6
+
+
+def test_every_label_is_learned(spark):
+    rows = [(3 * i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9, f"l{i:03d}") for i in range(300)]
+    assert len(li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), rounds=1).languages) == 300
 
 
 def test_language_is_recognised_on_held_out_rows(spoken):
@@ -119,27 +136,86 @@ def test_base_rules_match_brute_force(spark):
     assert px.quality_rules(docs.limit(0)).count() == 0
 
 
-def test_kneser_ney_is_a_distribution_and_counts_are_whole(spark):
+def brute_kneser_ney(texts):
+    """Modified Kneser-Ney by its definition, one recursion; the texts of one language."""
+    k = px.ORDER
+    edges = lambda t: "\x02" * (k - 1) + t + "\x03"
+    counts = {k: Counter(edges(t)[i : i + k] for t in texts for i in range(len(t) + 1))}
+    for j in range(k - 1, 0, -1):
+        counts[j] = Counter(g[1:] for g in counts[j + 1])
+    cut = {}
+    for j, c in counts.items():
+        times = Counter(c.values())
+        n1, n2, n3, n4 = (times[i] for i in (1, 2, 3, 4))
+        if n1 and n2 and n3 and n4:
+            y = n1 / (n1 + 2 * n2)
+            d = [min(max(x, 0), i) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        else:
+            d = [0.5, 1.0, 1.5]
+        cut[j] = lambda n, d=d: d[min(n, 3) - 1]
+
+    def prob(g):
+        if not g:
+            return 1 / len(counts[1])
+        j = len(g)
+        same = {x: n for x, n in counts[j].items() if x[:-1] == g[:-1]}
+        total = sum(same.values())
+        return (counts[j][g] - cut[j](counts[j][g]) + sum(map(cut[j], same.values())) * prob(g[1:])) / total
+
+    return counts[k], prob
+
+
+def test_kneser_ney_by_its_definition(spark):
     rng = random.Random(4)
-    texts = ["".join(rng.choices("abc de.", k=200)) for _ in range(20)] + ["", "é"]
-    want = Counter()
-    for t in texts:
-        ids = [0, 0, *[int(px._class_table()[ord(c)]) for c in t], 0]
-        want.update((ids[i] * 64 + ids[i + 1]) * 64 + ids[i + 2] for i in range(len(ids) - 2))
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    rows = docs.select(F.lit(0).alias("model"), "text").mapInArrow(px._counter(1), "model int, code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    assert {r.code: r.n for r in rows} == dict(want)
-    model = px.KneserNey(np.array(list(want)), np.array(list(want.values())))
-    for a, b in ((0, 0), (1, 2), (63, 62)):
-        assert abs(model.prob((a * 64 + b) * 64 + np.arange(64), 3).sum() - 1) < 1e-5
-
-
-def test_perplexity_rejects_what_does_not_fit(spark):
+    texts = {"en": ["".join(rng.choices("abc de.", k=60)) for _ in range(12)] + ["", "é日"], "fr": ["".join(rng.choices("xyz", k=40)) for _ in range(5)]}
+    docs = spark.createDataFrame([(lang, t) for lang, own in texts.items() for t in own], "lang string, text string").repartition(3)
+    model = px.train(docs).collect()
+    for lang, own in texts.items():
+        counts, prob = brute_kneser_ney(own)
+        got = {r.run: r.p for r in model if r.lang == lang}
+        assert got.keys() == counts.keys()
+        for run, p in got.items():
+            assert abs(p - prob(run)) < 1e-9, (lang, run)
+
+
+def test_perplexity_is_the_same_broadcast_and_joined(spark):
+    rng = random.Random(8)
+    rows = [(i, speech(rng, rng.choice(["aa", "bb"]), rng.randrange(0, 30)), rng.choice(["aa", "bb", "cc"])) for i in range(60)]
+    rows += [(7, rows[7][1], rows[7][2]), (None, "ka to", "aa"), (8, "another text", "aa"), (9, "| " * 50, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = px.train(docs).persist()
+    key = lambda r: (str(r.doc_id), r.text, r.lang)
+    one, other = (sorted(px.with_perplexity(docs, model, size).collect(), key=key) for size in (1 << 20, 0))
+    assert len(one) == len(other) == len(rows)
+    for a, b in zip(one, other, strict=True):
+        assert key(a) == key(b) and abs(a.log_perplexity - b.log_perplexity) < 1e-5
+    _, prob = brute_kneser_ney([t for _, t, lang in rows if lang == "aa"])
+    for r in one[:40]:
+        if r.lang == "aa":
+            padded = "\x02" * 4 + r.text + "\x03"
+            want = -sum(math.log(prob(padded[i : i + 5])) for i in range(len(r.text) + 1)) / max(1, sum(any(c.isalnum() for c in w) for w in r.text.split()))
+            assert abs(r.log_perplexity - want) < 1e-3
+
+
+def test_both_bands_reject(spark):
     rng = random.Random(5)
-    rows = [(i, speech(rng, "aa", 80), "aa") for i in range(200)] + [(900, "".join(rng.choices("qxzwvj ~^", k=600)) + " q" * 60, "aa"), (901, "kkkk tttt kkkk " * 5 + speech(rng, "aa", 60), "aa")]
+    sound = lambda: speech(rng, "aa", rng.randrange(70, 90))
+    rows = [(i, sound(), "aa") for i in range(200)] + [(500 + i, speech(rng, "bb", 80), "bb") for i in range(60)]
+    rows += [(900, "".join(rng.choices("qxzwvj ~^", k=600)), "aa"), (901, " ".join(rng.choices("ka to mi re su kaka toto".split(), k=75)), "aa"), (902, sound().replace(" ", "### "), "aa")]
     out = {r.doc_id: r for r in px.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert not out[900].kept
-    assert np.mean([out[i].kept for i in range(200) if not out[i].base_failed]) == 1
+    assert not out[900].kept and not out[900].base_failed and out[900].log_perplexity > out[900].high
+    assert not out[901].kept and not out[901].base_failed and out[901].log_perplexity < out[901].low
+    assert not out[902].kept and out[902].log_perplexity > out[902].high
+    assert (out[1].low, out[1].high) != (out[501].low, out[501].high)
+    good = [out[i].kept for i in [*range(200), *range(500, 560)] if not out[i].base_failed]
+    assert len(good) > 200 and np.mean(good) > 0.97
+
+
+def test_rules_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b c", None, 5)] * 3 + [(None, None, "en", 6), (2, "x" * 200_000, "en", 7)]
+    out = px.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang int"))
+    assert [r.doc_id for r in out.orderBy(F.col("doc_id").asc_nulls_last()).collect()] == [1, 1, 1, 2, None]
+    assert not [r for r in out.collect() if r.kept]
 
 
 def test_quality_learns_what_labels_mark(spark):
