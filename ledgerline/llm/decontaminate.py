@@ -16,21 +16,15 @@ from .store import broadcast_if_small, small_batches, table, written
 
 #: Shingles of test items that one pass over the documents holds in a task (8 bytes each, some three times over).
 SHINGLES_PER_BLOCK = 2_000_000
-#: A document that holds the asked share of an item misses all its probed minima at most this often.
-MISS = 1e-9
+#: Passes over the documents at most; more items than they hold meet the documents in joins, with the same result.
+MOST_PASSES = 4
 
 _HITS = "doc_id long, item_id long, n_matched long, n_item long, containment double"
 
 
 def minima_for(size: int, percent: int) -> int:
-    """Probes for items of up to ``size`` shingles.
-
-    The least shingle of an item under a hash function is a random one of its shingles, so a document that
-    contains the share c of the item holds it with probability c. One more probe than the shingles that may
-    be missing can't miss at all; large items need fewer for a miss rate of MISS.
-    """
-    sure = size - math.ceil(size * percent / 100) + 1
-    return max(1, min(sure, math.ceil(math.log(MISS) / math.log(1 - percent / 100)))) if percent < 100 else 1
+    """Probes for items of up to ``size`` shingles: one more than may be missing, so that no item is missed."""
+    return max(1, size - math.ceil(size * percent / 100) + 1)
 
 
 def _item_sets(k: int):
@@ -44,6 +38,13 @@ def _item_sets(k: int):
     return make
 
 
+def _probes(values: np.ndarray, percent: int) -> np.ndarray:
+    """The probed minima of one item: the least values of one hash function, as many as its size class asks for."""
+    n = minima_for(1 << int(len(values) - 1).bit_length(), percent)
+    order = np.argsort(tv.mix(values * np.uint64(0xA24BAED4963EE407)), kind="stable")
+    return values[order[:n]]
+
+
 class _Index:
     """A block of items: its probed minima, and its shingles with the items that hold them."""
 
@@ -51,16 +52,7 @@ class _Index:
         self.ids = np.array([x.item_id for x in items], np.int64)
         self.sizes = np.array([x.n_item for x in items], np.int64)
         sets = [np.frombuffer(x.shingles, np.uint64) for x in items]
-        by_class: dict[int, list[int]] = {}
-        for i, own in enumerate(sets):
-            by_class.setdefault(int(len(own) - 1).bit_length(), []).append(i)
-        probes = []
-        for size_class, members in by_class.items():
-            n = minima_for(1 << size_class, percent)
-            for i in members:
-                # The n least values of one hash function: n random shingles of the item, none twice.
-                order = np.argsort(tv.mix(sets[i] * np.uint64(0xA24BAED4963EE407)), kind="stable")
-                probes.append(sets[i][order[:n]])
+        probes = [_probes(own, percent) for own in sets]
         self.probes = np.unique(np.concatenate(probes)) if probes else np.zeros(0, np.uint64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -94,34 +86,74 @@ def _searcher(index: _Index, k: int, percent: int):
     return search
 
 
-def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, per_block: int = SHINGLES_PER_BLOCK) -> DataFrame:
+def _distinct_shingles(k: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in tv.chunks(batch.column(2)):
+                values, firsts = tv.distinct(*tv.shingles(*tv.word_hashes(texts, lower=True), k))
+                rows = pa.array(texts.first_row + np.repeat(np.arange(len(texts)), np.diff(firsts)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(values.view(np.int64))], ["doc_id", "row", "shingle"])
+
+    return make
+
+
+def _item_rows(percent: int):
+    """item_id, n_item, shingle and whether it is probed, from items' sets."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
+                probed = np.isin(values, _probes(values, percent))
+                same = [pa.array(np.full(len(values), batch.column(j)[i].as_py())) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(values.view(np.int64)), pa.array(probed)], ["item_id", "n_item", "shingle", "probed"])
+
+    return make
+
+
+def _joined(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidates by a join on probed minima, verified by a join on all shingles of the pairs."""
+    source = texts.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    held = written(source.mapInArrow(_distinct_shingles(words), "doc_id long, row long, shingle long"), "shingles")
+    rows = written(sets.mapInArrow(_item_rows(percent), "item_id long, n_item long, shingle long, probed boolean"), "item-shingles")
+    pairs = held.join(rows.filter("probed").select("item_id", "shingle"), "shingle").select("doc_id", "row", "item_id").distinct()
+    shared = pairs.join(held.distinct(), ["doc_id", "row"]).join(rows.drop("probed").distinct(), ["item_id", "shingle"])
+    counts = shared.groupBy("doc_id", "row", "item_id", "n_item").agg(F.count("*").alias("n_matched")).filter(100 * F.col("n_matched") >= percent * F.col("n_item"))
+    return counts.select("doc_id", "item_id", "n_matched", "n_item", (F.col("n_matched") / F.col("n_item")).alias("containment"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, per_block: int = SHINGLES_PER_BLOCK, most_passes: int = MOST_PASSES) -> DataFrame:
     """Which documents contain which test items.
 
     docs: doc_id, text; items: item_id, text. An item's shingles are its distinct runs of ``words`` words
     (A-Z lower-cased; a shorter text is one run, and then only a document that is that run as a whole holds
     it). A document contains an item if 100 * shared shingles >= percent * the item's shingles.
 
-    Items are partitioned by size; the partition sets how many minima of an item are probed. A document that
-    holds a probed minimum is a candidate, and candidates are verified by their exact shared shingles. Items
-    are dealt into blocks of about ``per_block`` shingles by their number, each block is one pass over the
-    documents, so what a task holds is bounded for any number of items. Documents are not shuffled.
+    Items are partitioned by size; the partition sets how many minima of an item are probed, always more than a
+    document may lack, so no item is missed. A document that holds a probed minimum is a candidate, and candidates are
+    verified by their exact shared shingles. Items are dealt into blocks of about ``per_block`` shingles by their
+    number; each block is one pass over the documents, which are not shuffled. Where that would take more than
+    ``most_passes``, or one item is more than a block, documents and items meet in joins instead; nothing then reaches
+    the driver.
 
-    Returns doc_id, item_id, n_matched, n_item (long), containment (double), one row for each pair (twice if
-    a doc_id or item_id repeats). Null, empty and word-less texts match nothing, nor do rows with a null id.
+    Returns doc_id, item_id, n_matched, n_item (long), containment (double), distinct rows, one for each pair
+    unless ids repeat with other texts. Null, empty and word-less texts match nothing, nor do rows with a null id.
     Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     source = items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null")
     sets = written(source.mapInArrow(_item_sets(words), "item_id long, n_item long, shingles binary").filter("n_item > 0"), "items")
-    total = sets.agg(F.sum("n_item")).first()[0] or 0
-    blocks = max(1, math.ceil(total / per_block))
+    total, largest = sets.agg(F.sum("n_item"), F.max("n_item")).first()
+    blocks = max(1, math.ceil((total or 0) / per_block))
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    if blocks > most_passes or (largest or 0) > per_block:
+        return _joined(texts, sets, words, percent).distinct()
     found = []
     for b in range(blocks):
         own = sets.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else sets
         found.append(texts.mapInArrow(_searcher(_Index(own.collect(), percent), words, percent), _HITS))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -285,8 +285,9 @@ def accepted_languages(docs: DataFrame, least_score: float = LEAST_SCORE) -> Dat
     model = train(docs.select("doc_id", "text", "lang"), ~is_held_out())
     if not model.languages:
         return docs
-    names = docs.columns
-    return identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(names)
+    aside = {c: "_" * (1 + max(map(len, docs.columns))) + c for c in ("lang_pred", "score") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(aside), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

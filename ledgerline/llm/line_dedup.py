@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from .store import table, written
 
-#: A line goes if it is on more than this share of its host's pages ...
-RATIO = 0.25
-#: ... and on at least so many of them: on hosts of few pages every line has a large share.
-LEAST_PAGES = 5
-#: Hosts' line hashes up to this number (16 MB) are broadcast; more are joined by host and line.
-BROADCAST_LINES = 1_000_000
+#: A line goes if it is on more than this percentage of its host's other pages, to which PRIOR_PAGES without it are
+#: added: so a host of one page loses nothing, and what is rare needs more pages to look like boilerplate.
+PERCENT = 10
+PRIOR_PAGES = 9
+#: Hosts' line hashes up to this number (16 MB) are broadcast; more are joined by host, with a host's pages dealt
+#: over so many parts.
+BROADCAST_LINES, PARTS = 1_000_000, 32
 
 
 def _key(line: Column) -> Column:
@@ -20,38 +21,46 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line hash) of lines on more than ``ratio`` of the host's pages. pages: host, lines (array).
+def boilerplate_lines(pages: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(host, line hash) of lines with 100 * (pages with the line - 1) > percent * (pages of the host + PRIOR_PAGES).
 
-    A line counts once a page; blank lines never count. The counts are pre-aggregated before the shuffle, so
-    a host that holds a third of all pages spreads by its lines.
+    pages: host, lines (array). A line counts once a page; blank lines never count. The counts are pre-aggregated
+    before the shuffle, so a host that holds a third of all pages spreads by its lines.
     """
     keys = F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _key))
     on_pages = pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("on_pages"))
     totals = pages.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("of_pages"))
-    frequent = on_pages.filter(F.col("on_pages") >= least_pages)
-    return frequent.join(totals, F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("on_pages") > ratio * F.col("of_pages")).select("host", "line")
+    frequent = on_pages.filter(100 * (F.col("on_pages") - 1) > percent * (PRIOR_PAGES + 1))
+    joined = frequent.join(totals, F.col("host").eqNullSafe(F.col("_host")))
+    return joined.filter(100 * (F.col("on_pages") - 1) > percent * (F.col("of_pages") + PRIOR_PAGES)).select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, lines: Column, host: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, lines: Column, host: Column, percent: int = PERCENT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Adds host, n_lines, n_dropped and clean_text (the kept lines, joined by newlines) to docs.
 
     lines: an array column of a row's lines; host: the site. A null or empty line array has no lines and an
     empty clean_text; a null host is a site of its own. Rows that repeat count as pages each. Blank lines
-    stay. Every row stays, with all its columns; those of the same names are replaced. The number of
-    boilerplate lines of a host is at most its mean number of lines divided by ``ratio``; their sum is
-    checked before it is broadcast, and beyond ``broadcast_lines`` each host's array is joined by host.
+    stay; a line just at the percentage stays. Every row stays, with all its columns; those of the same names are
+    replaced. The number of boilerplate lines of a host is at most its mean number of lines times 100 / ``percent``;
+    their sum is checked before it is broadcast, and beyond ``broadcast_lines`` each host's array is joined by host
+    and part, so that no task gets a large host whole.
     """
-    rows = docs.withColumn("host", host).withColumn("_lines", F.coalesce(lines, F.array().cast("array<string>")))
-    bad = written(boilerplate_lines(rows.select("host", F.col("_lines").alias("lines")), ratio, least_pages), "boilerplate")
-    by_host = bad.groupBy("host").agg(F.collect_list("line").alias("_bad")).withColumnRenamed("host", "_host")
+    mark = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any name, so it clashes with none
+    own, bad_name, kept_name, part, site = (mark + x for x in ("lines", "bad", "kept", "part", "host"))
+    rows = docs.withColumns({"host": host, own: F.coalesce(lines, F.array().cast("array<string>"))})
+    bad = written(boilerplate_lines(rows.select("host", F.col(own).alias("lines")), percent), "boilerplate")
+    by_host = bad.groupBy("host").agg(F.collect_list("line").alias(bad_name)).withColumnRenamed("host", site)
+    same = F.col("host").eqNullSafe(F.col(site))
     if bad.count() <= broadcast_lines:
-        by_host = F.broadcast(by_host)
-    joined = rows.join(by_host, F.col("host").eqNullSafe(F.col("_host")), "left")
-    stays = lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _key(x))
-    kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn("clean_text", F.array_join("_kept", "\n")).drop("_kept", "_lines", "_bad", "_host")
+        joined = rows.join(F.broadcast(by_host), same, "left")
+    else:
+        by_host = by_host.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        rows = rows.withColumn(part + "_", F.pmod(F.hash(own), F.lit(PARTS)))
+        joined = rows.join(by_host, same & (F.col(part) == F.col(part + "_")), "left").drop(part, part + "_")
+    stays = lambda x: (F.trim(x) == "") | ~F.array_contains(bad_name, _key(x))
+    kept = F.when(F.col(bad_name).isNull(), F.col(own)).otherwise(F.filter(own, stays))
+    out = joined.withColumn(kept_name, kept).withColumns({"n_lines": F.size(own).cast("long"), "n_dropped": (F.size(own) - F.size(kept_name)).cast("long")})
+    return out.withColumn("clean_text", F.array_join(kept_name, "\n")).drop(kept_name, own, bad_name, site)
 
 
 def html_lines(html: Column) -> Column:
@@ -80,7 +89,7 @@ WITH p AS (SELECT page_id, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:
                   list_filter(list_transform(string_split(regexp_replace(coalesce(html, ''), '(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM pages),
      n AS (SELECT host, count(*) AS of_pages FROM p GROUP BY host),
      c AS (SELECT host, line, count(DISTINCT page_id) AS on_pages FROM (SELECT page_id, host, unnest(lines) AS line FROM p) GROUP BY host, line),
-     b AS (SELECT c.host, list(line) AS bad FROM c JOIN n ON c.host IS NOT DISTINCT FROM n.host WHERE on_pages >= {LEAST_PAGES} AND on_pages > {RATIO} * of_pages GROUP BY c.host),
+     b AS (SELECT c.host, list(line) AS bad FROM c JOIN n ON c.host IS NOT DISTINCT FROM n.host WHERE 100 * (on_pages - 1) > {PERCENT} * (of_pages + {PRIOR_PAGES}) GROUP BY c.host),
      k AS (SELECT page_id, p.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept FROM p LEFT JOIN b ON p.host IS NOT DISTINCT FROM b.host)
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS clean_text FROM k
 """

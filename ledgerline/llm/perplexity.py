@@ -23,7 +23,7 @@ ORDER = 5
 #: distance of the median to the 10 % or 90 % quantile, whichever is on that side.
 BAND = 3.0
 #: A model up to this size is broadcast, as arrays; a larger one is joined, with the same result.
-MODEL_BYTES = 256 << 20
+MODEL_BYTES = 128 << 20
 #: Different runs that a task holds before it hands them on.
 RUNS_AT_ONCE = 1 << 20
 #: Runs in one array of the stored model.
@@ -60,10 +60,20 @@ def _runs(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(padded: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """One hash for each run; salt: one number for each, of its language."""
-    total = salt.copy()
+    wide = padded.astype(np.uint64) + np.uint64(1)
+    n = max(0, len(wide) - ORDER + 1)
+    total = np.zeros(n, np.uint64)
     for j in range(ORDER):
-        total += (padded[starts + j].astype(np.uint64) + np.uint64(1)) * _FACTORS[j]
-    return tv.mix(tv.mix(total) + salt)
+        total += wide[j : n + j] * _FACTORS[j]
+    return tv.mix(tv.mix(total[starts] + salt) + salt)
+
+
+def _strings(runs: np.ndarray) -> pa.Array:
+    """Rows of ORDER code points as strings."""
+    data = runs.astype("<u4").tobytes().decode("utf-32-le").encode()
+    sizes = (1 + (runs > 0x7F) + (runs > 0x7FF) + (runs > 0xFFFF)).sum(1)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(runs), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
 
 
 def _salts(langs: list[str]) -> np.ndarray:
@@ -79,7 +89,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         n = np.bincount(back, counts, len(found)).astype(np.int64)
         held[:] = [(found, n, langs[first], runs[first])]
-        return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(langs[first])), pa.array(runs[first].tolist(), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "run", "hash", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(langs[first])), _strings(runs[first]), pa.array(found.view(np.int64)), pa.array(n)], ["lang", "run", "hash", "n"])
 
     held: list = []
     names: list[str] = []
@@ -96,7 +106,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             padded, starts, firsts = _runs(texts)
             lang = np.repeat(code[texts.first_row : texts.first_row + len(texts)], np.diff(firsts))
             found, first, n = np.unique(_hashes(padded, starts, salts[lang]), return_index=True, return_counts=True)
-            runs = np.ascontiguousarray(padded[starts[first][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0]
+            runs = padded[starts[first][:, None] + np.arange(ORDER)]
             held.append((found, n, lang[first], runs))
             size += len(found)
             if size > RUNS_AT_ONCE:
@@ -167,16 +177,25 @@ def packed(model: DataFrame) -> DataFrame:
 
 
 class SortedModel:
-    """Log probabilities by hash."""
+    """Log probabilities by hash: an array of sorted hashes, and where in it those of each beginning stand."""
 
     def __init__(self, arrays: list):
         keys = np.concatenate([np.frombuffer(x.keys, np.uint64) for x in arrays]) if arrays else np.zeros(0, np.uint64)
         logs = np.concatenate([np.frombuffer(x.logs, np.float32) for x in arrays]) if arrays else np.zeros(0, np.float32)
         order = np.argsort(keys, kind="stable")
         self.keys, self.logs = keys[order], logs[order]
+        bits = max(8, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        return self.logs[np.searchsorted(self.keys, hashes)]
+        """All hashes must be there."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.keys[at] != hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != hashes[left]]
+        return self.logs[at]
 
 
 def _chunk_runs(batch: pa.RecordBatch, text_at: int, lang_at: int) -> Iterator[tuple[tv.Texts, np.ndarray, np.ndarray]]:

@@ -131,27 +131,30 @@ def test_containment_matches_brute_force(spark):
             if d is not None and i is not None and b and 100 * len(a & b) >= 80 * len(b):
                 want[d, i] = (len(a & b), len(b))
     df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for per_block in (10**6, 100):
-        got = {(r.doc_id, r.item_id): (r.n_matched, r.n_item) for r in contained_items(df, it, per_block=per_block).collect()}
-        assert got == want
+    twice = df.union(df.filter("doc_id < 5"))  # rows that repeat count once
+    for per_block, passes in ((10**6, 4), (400, 99), (10, 4)):
+        rows = contained_items(twice, it, per_block=per_block, most_passes=passes).collect()
+        assert {(r.doc_id, r.item_id): (r.n_matched, r.n_item) for r in rows} == want and len(rows) == len(want)
     assert len(want) > 30
     kept = decontaminate(df.withColumn("item_id", F.lit(1)), it)
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert contained_items(df.limit(0), it).count() == contained_items(df, it.limit(0)).count() == 0
 
 
-def test_small_items_cannot_be_missed():
-    for size in range(1, 40):
-        assert minima_for(size, 80) >= min(13, size - -(-size * 80 // 100) + 1)
+def test_no_item_can_be_missed():
+    for size in [*range(1, 200), 5000]:
+        assert minima_for(size, 80) > size - -(-size * 80 // 100)
 
 
 def test_lines_above_the_ratio_go(spark):
     rows = [(i, f"http://a.org/{i}", "<p>menu</p><script>menu2</script><p> own %d </p>\n\n<p>menu</p>" % i) for i in range(20)]
     rows += [(100 + i, "https://b.org", "menu\nmenu\nrare") for i in range(3)] + [(200, None, "menu"), (201, "nothing", None), (202, "http://a.org", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_kept", F.lit(1)).withColumn("host", F.lit("clash"))
+    rows += [(300 + i, "https://c.org", "two") for i in range(2)] + [(400 + i, "https://d.org", "four" if i < 3 else "a" * 300_000) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"_kept": F.lit(1), "host": F.lit("clash"), "_lines": F.lit(2), "_host": F.lit(3)})
     out = {r.page_id: r for r in drop_boilerplate(pages, html_lines(F.col("html")), host_of(F.col("url"))).collect()}
     assert out[3].clean_text == "own 3" and out[3].n_dropped == 2 and out[3].host == "a.org"
-    assert out[100].clean_text == "menu\nmenu\nrare" and out[200].clean_text == "menu"
+    assert out[100].clean_text == "" and out[200].clean_text == "menu"  # on 3 of 3 pages; on the only page
+    assert out[300].clean_text == "two" and out[400].clean_text == "four" and out[419].clean_text == ""
     assert out[201].n_lines == 0 and out[202].clean_text == ""
     assert len(out) == len(rows)
 
@@ -165,6 +168,13 @@ def test_line_joins_agree(spark):
     assert sorted(one) == sorted(other)
     by = boilerplate_lines(docs.select(F.col("source").alias("host"), lines.alias("lines"))).groupBy("host").count().collect()
     assert {r.host: r["count"] for r in by} == {"a": 3, None: 3}
+    oracle = Counter()
+    pages = [(h, {x.strip(" ") for x in t.split("\n")} - {""}) for _, h, t in rows]
+    for host in ("a", None):
+        own = [p for h, p in pages if h == host]
+        for line, n in Counter(x for p in own for x in p).items():
+            oracle[host] += 100 * (n - 1) > 10 * (len(own) + 9)
+    assert oracle == {"a": 3, None: 3}
     assert drop_boilerplate(docs.limit(0), lines, F.col("source")).count() == 0
 
 

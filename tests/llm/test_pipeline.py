@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_pairs import DOCS, WORDS, brute_components, shingle_set
 
-from ledgerline.llm.line_dedup import LEAST_PAGES, RATIO
+from ledgerline.llm.line_dedup import PRIOR_PAGES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,7 +37,7 @@ def test_line_dedup_drops_the_lines_above_the_ratio(steps):
     before, after = steps[1], steps[2]
     pages = Counter(r.source for r in before)
     on_pages = Counter((r.source, x) for r in before for x in {y.strip(" ") for y in (r.text or "").split("\n")} if x)
-    gone = {k for k, n in on_pages.items() if n >= LEAST_PAGES and n > RATIO * pages[k[0]]}
+    gone = {k for k, n in on_pages.items() if 100 * (n - 1) > corpus_pipeline.STAGE_PERCENT * (pages[k[0]] + PRIOR_PAGES)}
     want = Counter()
     for r in before:
         text = None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in gone)
@@ -92,3 +92,17 @@ def test_run_applies_all_stages_and_takes_an_empty_table(spark, steps, tmp_path)
     spark.read.parquet(f"{SMALL}/benchmark.parquet").filter(F.lit(False)).write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count() == 0
+
+
+def test_stages_take_clashing_columns_nulls_and_repeated_rows(spark, tmp_path):
+    names = ["_text", "size", "target", "source_size", "copies", "_h", "_of", "host", "clean_text", "row", "component_id", "score", "lang_pred"]
+    rows = [(i, f"several words {i % 7} of document {i} make it one of its own kind " * 3, "aa", "s" if i % 3 else None, 9) for i in range(30)]
+    rows += [rows[1], (None, None, None, None, None), (77, None, "aa", "s", 0), (78, "", "aa", "s", 0), (79, "word " * 40_000, "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit(n) for n in names})
+    spark.createDataFrame([(1, "never to be found in here at all"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns + ["copy"] * (name == "mixing"), name
+        kept = {r.doc_id for r in out.collect()}
+        assert kept <= {r[0] for r in rows} and len(kept) > (5 if name in ("MinHash near-dedup", "mixing") else 25), name
+        assert all(r[n] == n for r in out.collect() for n in names), name
