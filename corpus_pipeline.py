@@ -17,9 +17,13 @@ from ledgerline.llm.near_dedup import without_near_duplicates
 from ledgerline.llm.store import table, written
 
 
-#: A line is boilerplate if it is on more than this share of its source's documents, which is the support it needs
-#: in a large source; in a small one it needs line_dedup.LEAST_PAGES. op9's own ratio is fixed by its SQL.
-STAGE_RATIO = 0.05
+#: A line is boilerplate if it is on more than this percentage of its source's documents (see line_dedup.PERCENT).
+STAGE_PERCENT = 5
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    """Each row in one column, so that no name of docs meets one of an operator's."""
+    return docs.select(F.struct("*").alias("row"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate in their source; n_chars is counted anew."""
-    clean = drop_boilerplate(docs.withColumn("_text", F.col("text")), text_lines(F.col("text")), F.col("source"), STAGE_RATIO)
-    text = F.when(F.col("_text").isNotNull(), F.col("clean_text"))
-    return clean.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    clean = drop_boilerplate(_row(docs), text_lines(F.col("row.text")), F.col("row.source"), STAGE_PERCENT)
+    text = F.when(F.col("row.text").isNotNull(), F.col("clean_text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return clean.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as its copies say, with the number of the copy."""
-    mixed = with_copies(docs, F.col("source"), word_count(F.col("text")), F.xxhash64("doc_id", "text"))
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
+    """The mix: every document as often as its copies say, with the number of the copy; a column named copy is replaced."""
+    mixed = with_copies(_row(docs), F.col("row.source"), word_count(F.col("row.text")), F.xxhash64("row.doc_id", "row.text"))
+    copies = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "copy"], "copy")
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing", mixing)]
