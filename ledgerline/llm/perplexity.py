@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .store import small_batches, table, written
+from .store import broadcast_if_small, small_batches, table, written
 
 #: Characters in a run.
 ORDER = 5
@@ -25,7 +25,7 @@ BAND = 3.0
 #: A model up to this size is broadcast, as arrays; a larger one is joined, with the same result.
 MODEL_BYTES = 128 << 20
 #: Different runs that a task holds before it hands them on.
-RUNS_AT_ONCE = 1 << 20
+RUNS_AT_ONCE = 1 << 19
 #: Runs in one array of the stored model.
 RUNS_IN_ARRAY = 1 << 16
 #: Fixed values of the base rules: fewest words, and most words in repeated windows in a hundred.
@@ -148,7 +148,7 @@ def train(docs: DataFrame) -> DataFrame:
         levels.append(written(levels[-1].groupBy("lang", F.substr("run", F.lit(2)).alias("run")).agg(F.count("*").alias("n")), f"runs-{k}"))
     below = None
     for k, counts in enumerate(reversed(levels), 1):
-        rows = counts.join(_discounts(counts), "lang").withColumn("context", F.substr("run", F.lit(1), F.lit(k - 1)))
+        rows = counts.join(broadcast_if_small(_discounts(counts)), "lang").withColumn("context", F.substr("run", F.lit(1), F.lit(k - 1)))
         contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(_discounted("n")).alias("left"), F.count("*").alias("different"))
         rows = rows.join(contexts, ["lang", "context"])
         lower = 1 / F.col("different")

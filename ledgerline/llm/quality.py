@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .store import small_batches, table
+from .store import broadcast_if_small, small_batches, table
 
 #: Buckets of words and of shapes, and the length of a vector.
 WORD_BUCKETS, SHAPE_BUCKETS, DIMENSIONS = 8192, 2048, 32
@@ -159,14 +159,14 @@ def _feature_maker(vectors: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, vectors: np.ndarray, rows: int = TRAIN_ROWS) -> Network:
     """Fits the network. docs: doc_id, text; labels: doc_id, y (0 or 1, nulls left out).
 
-    Of the labels where ``allowed`` holds about ``rows`` are used, those of least hash of the doc_id; the
+    Of the labels where ``allowed`` holds, one of each doc_id (the greater), about ``rows`` are used, those of least hash of the doc_id; the
     sample is a bounded table, so it is broadcast to the documents and only its features reach the driver.
     """
-    own = labels.filter(allowed & F.col("y").isNotNull() & F.col("doc_id").isNotNull())
+    own = labels.filter(allowed & F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     total = own.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = own.filter(place < F.lit(1_000_000 * min(1.0, rows / max(1, total)))).select("doc_id", F.col("y").cast("double"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("place"), "y", "text")
+    chosen = docs.select("doc_id", "text").join(broadcast_if_small(sample, 2 * rows), "doc_id").select(F.xxhash64("doc_id").alias("place"), "y", "text")
     got = chosen.mapInArrow(_feature_maker(vectors), "place long, y double, x array<double>").toPandas().sort_values(["place", "y"], kind="stable")
     width = 2 * DIMENSIONS + 3
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, width))

@@ -2,7 +2,9 @@
 
 Categories are predicted one after another by linear models over hashed words and word beginnings; each model
 also sees the probabilities of the categories before it. For training those come from out-of-fold
-predictions, so that a later model sees them as uncertain as they will be on new text.
+predictions, so that a later model sees them as uncertain as they will be on new text. Where rows are labelled as
+toxic only, kinds of toxicity are learned from them: features that tell toxic rows apart fall into groups by
+which rows they share, and the kinds come first in the chain.
 """
 
 from __future__ import annotations
@@ -16,22 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .store import small_batches, table, written
+from .store import broadcast_if_small, small_batches, table, written
 
 #: The chain is fitted on at most about so many labelled rows, those of least hash.
 TRAIN_ROWS = 8_000
 #: Features kept: those that tell a category apart best, by chi-square, among those in so many rows.
 FEATURES, LEAST_ROWS = 2048, 3
 #: Beginnings of longer words, in bytes, so that inflected forms share a feature.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 FOLDS, STEPS, RATE, DECAY = 3, 200, 0.2, 1e-4
 #: Probabilities from here on are predicted 1.
-THRESHOLD = 0.5
+THRESHOLD = 0.35
 
-#: Categories of the query, in the order of the chain. labels has one toxicity label; the first two categories
-#: are the labelled toxic documents that hold such a word (plain English insults, a stated word list).
-INSULTS = ("idiot", "moron", "loser", "clown", "scum", "fool", "jerk", "creep", "imbecile", "coward")
-CONTEMPT = ("stupid", "pathetic", "worthless", "disgusting", "trash", "garbage", "useless", "dumb", "ugly", "vile")
+#: Kinds of toxicity told apart, and from how many of the most telling features.
+KINDS, TELLING = 2, 64
 
 #: ASCII that is neither letter nor digit separates words here.
 _PLAIN = tv.LOWER.copy()
@@ -136,21 +136,52 @@ def _flat(ids: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in ids for i in x], np.int64), np.repeat(np.arange(len(ids)), sizes)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = TRAIN_ROWS, derive: dict[str, Column] | None = None) -> Chain:
+def kinds_of(ids: list, toxic: np.ndarray, n_features: int, kinds: int = KINDS, telling: int = TELLING) -> np.ndarray:
+    """Rows x kinds: which kinds of toxicity the toxic rows are of, learned from their features alone.
+
+    The features that tell toxic rows apart best are projected on the leading directions in which toxic rows differ, and
+    dealt out by the direction on which they lie furthest on its positive side; a toxic row is of each
+    kind of which it holds a feature. Without toxic rows there is no kind.
+    """
+    out = np.zeros((len(ids), kinds))
+    flat, rows = _flat(ids)
+    if not toxic.any() or not len(flat):
+        return out
+    n, hits = np.bincount(flat, minlength=n_features), np.bincount(flat, toxic[rows], n_features)
+    expected = n * toxic.mean()
+    strength = np.where(hits > expected, (hits - expected) ** 2 / (expected + 1), 0.0)
+    best = np.sort(np.argsort(-strength, kind="stable")[:telling])
+    best = best[strength[best] > 0]
+    column = np.full(n_features, -1)
+    column[best] = np.arange(len(best))
+    x = np.zeros((len(ids), len(best)))
+    held = column[flat] >= 0
+    x[rows[held], column[flat[held]]] = 1
+    own = x[toxic > 0]
+    if not len(best):
+        return out
+    directions = np.linalg.svd(own - own.mean(0), full_matrices=False)[2][: max(1, kinds - 1)]
+    directions = directions * np.sign(directions[np.arange(len(directions)), np.abs(directions).argmax(1)])[:, None]
+    group = np.where(directions.max(0) > 0, directions.argmax(0) + 1, 0)[: len(best)] % kinds
+    for k in range(kinds):
+        out[:, k] = (toxic > 0) & (x[:, group == k].sum(1) > 0)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int = TRAIN_ROWS, allowed: Column | None = None, kinds: int = 0) -> Chain:
     """Fits a chain. docs: doc_id, text; labels: doc_id and a 0/1 column for each category (null: 0).
 
-    derive: columns for categories that labels lacks, over text and the columns of labels. About ``rows``
-    labels are used, those of least hash of the doc_id. That bounded sample is broadcast to the documents;
-    features are counted by Spark and the best FEATURES of them chosen; what reaches the driver is the sample
-    in those features.
+    kinds: so many kinds learned from the first category's rows stand before the categories in the chain. Of the
+    labels where ``allowed`` holds, one of each doc_id, about ``rows`` are used, those of least hash of the doc_id. That
+    bounded sample is joined to the documents; features are counted by Spark and the best FEATURES of those
+    in LEAST_ROWS rows of the sample chosen; what reaches the driver is the sample in those features.
     """
     small_batches(docs.sparkSession)
-    own = labels.filter(F.col("doc_id").isNotNull())
+    own = labels.filter(F.col("doc_id").isNotNull() if allowed is None else F.col("doc_id").isNotNull() & allowed)
+    own = own.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     total = own.count()
     sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, rows / max(1, total))))
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    for name, column in (derive or {}).items():
-        joined = joined.withColumn(name, column)
+    joined = docs.select("doc_id", "text").join(broadcast_if_small(sample, 2 * rows), "doc_id")
     y = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in categories])
     chosen = written(joined.select(F.xxhash64("doc_id").alias("place"), y.alias("y"), "text"), "toxicity-sample").repartition(16)
     k = len(categories)
@@ -164,8 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], rows: int =
     best = by_feature.withColumn("strength", F.greatest(*strength) if k > 1 else strength[0]).orderBy(F.desc("strength"), "feature").limit(FEATURES).select("feature").toPandas()
     features = np.sort(best["feature"].to_numpy(np.int64).view(np.uint64))
     got = chosen.mapInArrow(_vectoriser(features), "place long, y array<double>, ids array<int>").toPandas()
-    rows_in_order = sorted(zip(got["place"], got["y"].map(tuple), got["ids"].map(tuple), strict=True))
-    return Chain(features, [r[2] for r in rows_in_order], np.array([r[1] for r in rows_in_order], float).reshape(-1, k))
+    in_order = sorted(zip(got["place"], got["y"].map(tuple), got["ids"].map(tuple), strict=True))
+    ids, y_rows = [r[2] for r in in_order], np.array([r[1] for r in in_order], float).reshape(-1, k)
+    learned = kinds_of(ids, y_rows[:, 0], len(features), kinds) if kinds else np.zeros((len(ids), 0))
+    return Chain(features, ids, np.concatenate([learned, y_rows], 1))
 
 
 def _predictor(chain: Chain, categories: list[str], text_at: int):
@@ -195,15 +228,16 @@ def predict(docs: DataFrame, chain: Chain, categories: list[str]) -> DataFrame:
     return rows.mapInArrow(_predictor(chain, categories, rows.columns.index("text")), schema)
 
 
-def _holds(words: tuple[str, ...]) -> Column:
-    return F.coalesce((F.col("toxic") == 1) & F.lower("text").rlike(r"\b(" + "|".join(words) + r")\b"), F.lit(False)).cast("int")
+def is_held_out() -> Column:
+    """crc32 of the doc_id as text leaves 3 modulo 5; a null doc_id does not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 3, F.lit(False))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
-    """The toxicity of every document: insult, contempt, then the labelled category toxic."""
+    """The toxicity of every document, learned from four fifths of the labels: two learned kinds, then the labelled category."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null")
-    categories = ["insult", "contempt", "toxic"]
-    chain = train(docs, labels, categories, derive={"insult": _holds(INSULTS), "contempt": _holds(CONTEMPT)})
+    categories = [*(f"kind_{i + 1}" for i in range(KINDS)), "toxic"]
+    chain = train(docs, labels, ["toxic"], allowed=~is_held_out(), kinds=KINDS)
     found = predict(docs, chain, categories)
-    return found.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= THRESHOLD).cast("int").alias("predicted"), "p_insult", "p_contempt", "p_toxic")
+    return found.select("doc_id", is_held_out().alias("held_out"), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= THRESHOLD).cast("int").alias("predicted"), *[f"p_{c}" for c in categories])

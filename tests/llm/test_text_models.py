@@ -256,7 +256,7 @@ def test_chain_finds_toxic_texts_it_has_not_seen(spark):
             labels.append((i, int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame(labels[:600], "doc_id long, toxic int")
-    chain = tx.train(docs, known, ["insult", "toxic"], derive={"insult": tx._holds(tx.INSULTS)})
+    chain = tx.train(docs, known.union(known.limit(50)), ["toxic"], kinds=1)
     out = {r.doc_id: r for r in tx.predict(docs.withColumn("p_toxic", F.lit("clash")), chain, ["insult", "toxic"]).collect()}
     assert np.mean([(out[i].p_toxic >= 0.5) == y for i, y in labels[600:]]) > 0.97
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot"), (3, "ka " * 100_000)], "doc_id long, text string")
@@ -266,6 +266,97 @@ def test_chain_finds_toxic_texts_it_has_not_seen(spark):
     assert tx.predict(docs.limit(0), chain, ["insult", "toxic"]).count() == 0
 
 
+def test_chain_by_its_definition():
+    """Each category's model sees, for training, what models that haven't seen a row say of the categories before it."""
+    rng = np.random.default_rng(3)
+    n, f = 60, 9
+    ids = [tuple(np.flatnonzero(rng.random(f) < 0.3)) for _ in range(n)]
+    y = np.stack([np.array([2 in x for x in ids]), np.array([2 in x or 5 in x for x in ids])], 1).astype(float)
+    chain = tx.Chain(np.arange(f, dtype=np.uint64), ids, y)
+    x = np.zeros((n, f))
+    for i, own in enumerate(ids):
+        x[i, list(own)] = 1
+
+    def fit(x, dense, y):
+        """Logistic regression by Adam, on dense rows."""
+        z = np.concatenate([x, dense, np.ones((len(x), 1))], 1)
+        rate = (y.sum() + 0.5) / (len(y) + 1)
+        theta = np.zeros(z.shape[1])
+        theta[-1] = np.log(rate / (1 - rate))
+        m, v, decay = np.zeros_like(theta), np.zeros_like(theta), np.full(len(theta), tx.DECAY)
+        decay[-1] = 0
+        for step in range(1, tx.STEPS + 1):
+            grad = z.T @ (1 / (1 + np.exp(-z @ theta)) - y) / len(y) + decay * theta
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            theta = theta - tx.RATE * (1 - step / (tx.STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        return lambda x, dense: 1 / (1 + np.exp(-np.concatenate([x, dense, np.ones((len(x), 1))], 1) @ theta))
+
+    none, fold = np.zeros((n, 0)), np.arange(n) % tx.FOLDS
+    first = fit(x, none, y[:, 0])
+    guess = np.zeros((n, 1))
+    for k in range(tx.FOLDS):
+        guess[fold == k, 0] = fit(x[fold != k], none[fold != k], y[fold != k, 0])(x[fold == k], none[fold == k])
+    second = fit(x, guess, y[:, 1])
+    flat, rows = tx._flat(ids)
+    got = chain(flat, rows, n)
+    np.testing.assert_allclose(got[:, 0], first(x, none), atol=1e-6)
+    np.testing.assert_allclose(got[:, 1], second(x, first(x, none)[:, None]), atol=1e-6)
+
+
+def test_kinds_come_from_shared_rows():
+    """Two sets of features that never share a toxic row are two kinds."""
+    rng = np.random.default_rng(5)
+    ids, toxic = [], []
+    for i in range(200):
+        bad = i % 4 == 0
+        own = {10 + int(x) for x in rng.integers(0, 30, 4)}
+        own |= {int(x) for x in rng.choice(4, 2, replace=False) + (0 if i % 8 else 4)} if bad else set()
+        ids.append(tuple(sorted(own)))
+        toxic.append(float(bad))
+    kinds = tx.kinds_of(ids, np.array(toxic), 40, telling=8)
+    for row, own, bad in zip(kinds, ids, toxic, strict=True):
+        assert row.sum() == bad and (not bad or row.argmax() == kinds[0].argmax()) == (not bad or min(own) >= 4)
+    assert not tx.kinds_of(ids, np.zeros(200), 40).any() and not tx.kinds_of([], np.zeros(0), 0).any()
+
+
+def test_word_vectors_by_their_definition(spark):
+    """A token's vector is the sum of the index vectors of its neighbours, two on either side, over all documents."""
+    texts = ["A bb ccc dd bb", "ccc a", None, "", "one", "bb bb Bb 12,5 x"]
+    want = np.zeros((ql.BUCKETS, ql.DIMENSIONS))
+    index = np.zeros((ql.BUCKETS, ql.DIMENSIONS))
+    for j in range(2):
+        index[np.arange(ql.BUCKETS), ql._PLACES[:, j]] += ql._SIGNS[:, j]
+    for t in texts:
+        *streams, _ = ql._tokens(next(tv.chunks(pa.array([t], pa.string()))))
+        for s in streams:
+            for i in range(len(s)):
+                for j in range(max(0, i - 2), min(len(s), i + 3)):
+                    if i != j:
+                        want[s[i]] += index[s[j]]
+    want /= np.maximum(1, np.linalg.norm(want, axis=1, keepdims=True))
+    got = ql.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    np.testing.assert_allclose(got, want, atol=1e-6)
+    pooled = ql._pool(next(tv.chunks(pa.array(texts))), got)
+    words, shapes, firsts = ql._tokens(next(tv.chunks(pa.array(texts))))
+    for d in range(len(texts)):
+        own = [got[s[firsts[d] : firsts[d + 1]]].mean(0) if firsts[d + 1] > firsts[d] else np.zeros(ql.DIMENSIONS) for s in (words, shapes)]
+        np.testing.assert_allclose(pooled[d], [*own[0], np.linalg.norm(own[0]), *own[1], np.linalg.norm(own[1]), np.log1p(firsts[d + 1] - firsts[d])], atol=1e-6)
+
+
+def test_network_by_its_definition():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(200, 5)), (rng.random(200) < 0.6).astype(float)
+    y[x[:, 0] > 0.5] = 1
+    net = ql.Network(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    logits = np.array([max(0, 0) + sum(max(0.0, float(row @ net.weights[0][:, h] + net.weights[1][h])) * net.weights[2][h] for h in range(ql.HIDDEN)) + net.weights[3][0] for row in z])
+    np.testing.assert_allclose(net(x), 1 / (1 + np.exp(-logits / net.temperature)), atol=1e-9)
+    held = np.arange(200) < ql.CALIBRATION_SHARE * 200
+    loss = lambda t: np.logaddexp(0, np.where(y[held] > 0, -logits[held], logits[held]) / t).mean()
+    assert loss(net.temperature) <= min(loss(t) for t in np.geomspace(0.25, 8, 61)) + 1e-12
+    assert np.mean((net(x) >= 0.5) == y) > 0.75
+
+
 @pytest.mark.parametrize("query", [li.op1_language_id, ql.op2_quality_classifier, px.op4_quality_rules, tx.op8_toxicity])
 def test_queries_return_a_row_for_each_document(spark, query):
     out = query(spark, SMALL).toPandas()
