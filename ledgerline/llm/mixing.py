@@ -34,9 +34,14 @@ def targets(cells: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     one step a source; only sums reach the driver.
     """
     sums = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    ranged = written(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranged-sources")
+    earlier, offsets = 0, {}
+    for r in sorted(ranged.groupBy("part").agg(F.count("*").alias("n")).collect()):  # one row a partition
+        offsets[r.part], earlier = earlier, earlier + r.n
+    before = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("part")] if offsets else F.lit(0)
+    place = before + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    by_source = written(sums.withColumn("weight", weight), "sources")
+    by_source = written(ranged.withColumn("weight", weight).drop("part"), "sources")
     budget = share * (by_source.agg(F.sum("source_size")).first()[0] or 0)
     level, before = 0.0, None
     cap = most * F.col("source_size")
@@ -80,6 +85,8 @@ def tilts(cells: DataFrame, by_source: DataFrame, most: int = MOST_COPIES, steps
         state = new.drop("off")
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the tilts did not settle in {steps} steps: off by {worst:.3g} of a target")
     return state.select("source", "tilt", "mean")
 
 

@@ -6,6 +6,7 @@ patterns and instances in rounds, and patterns of high confidence mark identifie
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .spans import PRIVATE_KINDS as KINDS
 from .spans import free_spots, joined, private_spans
-from .store import small_batches, table, written
+from .store import broadcast_if_small, small_batches, table, written
 
 #: A pattern needs the weight of so many distinct instances of a kind ...
 LEAST_SUPPORT = 3
@@ -30,6 +31,7 @@ CANDIDATE_CHARS, CANDIDATE_DIGITS = 6, 3
 
 _MARK = re.compile("[0-9@]")
 _DIGITS = re.compile("[0-9]")
+_WORD = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: Digit groups joined by a space, hyphen or dot or by brackets; and groups of four behind a country and check digits.
 _RUN = re.compile(r"[0-9]+(?:(?:[)\]][\x20.-]?|[\x20.-]?[(\[]|[\x20.-])[0-9]+)+")
@@ -102,18 +104,30 @@ def _hashed(instance: str) -> str:
 
 
 def _word(word: str) -> str:
-    return _DIGITS.sub("0", word.lower()[:40])
+    """A word of a context: any case, digits alike; a long one by its hash."""
+    word = _DIGITS.sub("0", word.lower())
+    return word if len(word) <= 40 else _hashed(word)
 
 
-def _patterns(text: str, a: int, b: int) -> list[str]:
-    """The two words before a span, and the word on either side of it."""
-    left, right = text[max(0, a - 100) : a].split()[-2:], text[b : b + 50].split()[:1]
-    out = []
-    if len(left) == 2:
-        out.append("before " + " ".join(map(_word, left)))
-    if left and right:
-        out.append(f"between {_word(left[-1])} {_word(right[0])}")
-    return out
+class _Words:
+    """The words of a text, whole, to find those around a span."""
+
+    def __init__(self, text: str):
+        self.text, spans = text, [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """The two words before a span, and the word on either side of it; what touches the span counts as a word."""
+        i = bisect.bisect_left(self.starts, a)
+        left = [self.text[self.starts[j] : min(a, self.ends[j])] for j in range(max(0, i - 2), i)]
+        j = bisect.bisect_right(self.ends, b)
+        right = self.text[max(b, self.starts[j]) : self.ends[j]] if j < len(self.ends) else None
+        out = []
+        if len(left) == 2:
+            out.append("before " + " ".join(map(_word, left)))
+        if left and right:
+            out.append(f"between {_word(left[-1])} {_word(right)}")
+        return out
 
 
 def _finder():
@@ -128,7 +142,8 @@ def _finder():
                     out[kind].append(sum(x[0] == k for x in base))
                 hits = base + [(-1, a, b, text[a:b].lower()) for a, b in free_spots(_candidates(text), base)]
                 hits += [(-1, a, b, _instance(text[a:b])) for a, b in free_spots(_runs(text), base)]
-                out["hits"].append([{"kind": k, "start": a, "end": b, "instance": _hashed(value), "patterns": _patterns(text, a, b)} for k, a, b, value in hits])
+                words = _Words(text) if hits else None
+                out["hits"].append([{"kind": k, "start": a, "end": b, "instance": _hashed(value), "patterns": words.patterns(a, b)} for k, a, b, value in hits])
             struct = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(out[k], pa.int64()) for k in KINDS], pa.array(out["sha"], pa.string()), pa.array(out["hits"], struct)], ["doc_id", "row_hash", *[f"n_{k}" for k in KINDS], "base_sha256", "hits"])
 
@@ -156,7 +171,7 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         scores = weight.join(totals, "pattern").filter(F.col("weight") >= LEAST_SUPPORT).select("pattern", "kind", (F.col("weight") / (F.col("n") + 1)).alias("confidence"))
         scores = written(scores, "patterns")
         if i + 1 < rounds:
-            guessed = unknown.join(scores, "pattern").groupBy("instance", "kind").agg(_noisy_or(F.col("confidence")).alias("w"))
+            guessed = unknown.join(broadcast_if_small(scores), "pattern").groupBy("instance", "kind").agg(_noisy_or(F.col("confidence")).alias("w"))
             more = unknown.join(guessed, "instance").groupBy("pattern", "kind").agg(F.sum("w").alias("weight"))
             weight = known.union(more).groupBy("pattern", "kind").agg(F.sum("weight").alias("weight"))
     return scores
@@ -179,7 +194,7 @@ def private_data(docs: DataFrame, least_confidence: float = LEAST_CONFIDENCE) ->
     found = written(source.mapInArrow(_finder(), _SCHEMA), "private")
     hit = found.select("doc_id", "row_hash", F.explode("hits").alias("hit")).select("doc_id", "row_hash", "hit.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     sure = score_patterns(hit.select("pattern", "instance", "kind")).filter(F.col("confidence") >= least_confidence)
-    claims = hit.filter("kind < 0").drop("kind", "instance").join(sure, "pattern")
+    claims = hit.filter("kind < 0").drop("kind", "instance").join(broadcast_if_small(sure), "pattern")
     best = claims.groupBy("doc_id", "row_hash", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("minus"))).alias("best"))
     added = best.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.collect_list(F.struct((-F.col("best.minus")).alias("kind"), "start", "end", F.lit(True).alias("added"))).alias("more"))
     whole = lambda x: ~F.exists("more", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"]))

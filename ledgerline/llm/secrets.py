@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .spans import SECRET_KINDS as KINDS
 from .spans import entropy, free_spots, joined, secret_spans
-from .store import small_batches, table, written
+from .store import broadcast_if_small, small_batches, table, written
 
 #: A value that so many distinct owners hold is a copied example; fewer owners make it look live.
 EXAMPLE_OWNERS = 3
@@ -21,10 +21,26 @@ LEAST_ENTROPY = 2.5
 #: Bare words that may be a known value: of these characters, so long, with a letter and a digit.
 _BARE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
+#: A value may also be a part of a run: what stands between these, without outer dots and dashes.
+_PART = re.compile(r"[^/=]+")
 
 _SCHEMA = "doc_id long, owner string, row_hash long, n_assign long, n_access long, n_hex long, base_sha256 string, hits array<struct<kind:int,start:long,end:long,value:string,entropy:double>>"
 
 
+def _bare_values(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A run, and its parts, where they may be a value: so long, with a letter and a digit."""
+    found = {(a, b)}
+    for m in _PART.finditer(text, a, b):
+        start, end = m.span()
+        found.add((start, end))
+        while start < end and text[start] in "._-":
+            start += 1
+        while end > start and text[end - 1] in "._-":
+            end -= 1
+        found.add((start, end))
+    return sorted((x, y) for x, y in found if y - x >= 8 and _LETTER.search(text, x, y) and _DIGIT.search(text, x, y))
+
+
 def _finder():
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +53,8 @@ def _finder():
                     out[kind].append(sum(x[0] == k for x in base))
                 bare = []
                 if _DIGIT.search(text):
-                    bare = free_spots([(m.start(), m.end()) for m in _BARE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])], base)
+                    runs = free_spots([m.span() for m in _BARE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])], base)
+                    bare = [spot for a, b in runs for spot in _bare_values(text, a, b)]
                 hits = base + [(-1, a, b, text[a:b]) for a, b in bare]
                 # Values are compared by their hash, so that the corpus-wide tables hold no secrets.
                 out["hits"].append([{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for k, a, b, v in hits])
@@ -69,8 +86,9 @@ def secrets(docs: DataFrame, owner: Column, example_owners: int = EXAMPLE_OWNERS
     for every row, doc_id, n_assign, n_access, n_hex (long, base spans), base_sha256, n_live, n_example (long:
     spans whose value looks live, or is a widely copied example or too even to be a secret) and spans: array
     of (start, kind, end, added, live, n_repos, n_owners), by start and then kind; offsets are code points,
-    ends exclusive. Base spans are those of spans.secret_spans. Added spans are bare words equal to a value
-    that looks live and that a base pattern found elsewhere; they take that span's kind. Null and empty texts
+    ends exclusive. Base spans are those of spans.secret_spans. Added spans are bare words, or parts of them between
+    slashes and equals signs without outer dots and dashes, equal to a value that looks live and that a base pattern
+    found elsewhere (of one inside another the longer); they take that span's kind. Null and empty texts
     have no span; rows that repeat stay; rows of one id but other texts are kept apart; an empty table gives no
     rows; other columns are ignored.
     """
@@ -79,9 +97,11 @@ def secrets(docs: DataFrame, owner: Column, example_owners: int = EXAMPLE_OWNERS
     found = written(source.mapInArrow(_finder(), _SCHEMA), "secrets")
     hits = found.select("doc_id", "owner", "row_hash", F.explode("hits").alias("hit")).select("doc_id", "owner", "row_hash", "hit.*")
     known = written(ownership(hits, example_owners, least_entropy), "ownership").withColumnRenamed("kind", "known_kind")
-    judged = hits.join(known, "value").filter("kind >= 0 or live").dropDuplicates(["doc_id", "row_hash", "start", "end", "kind"])
+    judged = hits.join(broadcast_if_small(known), "value").filter("kind >= 0 or live").dropDuplicates(["doc_id", "row_hash", "start", "end", "kind"])
     span = F.struct("start", F.when(F.col("kind") < 0, F.col("known_kind")).otherwise(F.col("kind")).alias("kind"), "end", (F.col("kind") < 0).alias("added"), "live", "n_repos", "n_owners")
-    by_row = judged.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    by_row = judged.groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.array_sort(F.collect_list(span)).alias("all"))
+    inside = lambda x, y: y["added"] & (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    by_row = by_row.select("_id", "_hash", F.filter("all", lambda x: ~x["added"] | ~F.exists("all", lambda y: inside(x, y))).alias("spans"))
     out = found.join(by_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
     count = lambda live: F.coalesce(F.size(F.filter("spans", lambda x: x["live"] == live)), F.lit(0)).cast("long")
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:long,kind:int,end:long,added:boolean,live:boolean,n_repos:long,n_owners:long>>"))

@@ -104,6 +104,26 @@ def test_owners_tell_examples_from_live_secrets(spark):
     assert secrets(docs.limit(0), F.col("source")).count() == 0
 
 
+def test_parts_of_runs_are_found(spark):
+    live = "q7Xz91LmPw04TtBv"
+    rows = [(1, f"token: '{live}'", "me"), (2, f"see /x/{live}/y and auth={live} or {live}.", "me"), (3, f"x {live}{live}", "me"), (4, "z" * 100_000 + f" /{live}", "me")]
+    out = {r.doc_id: r for r in secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source")).collect()}
+    assert [rows[1][1][s.start : s.end] for s in out[2].spans] == [live] * 3
+    assert out[3].spans == [] and [(s.start, s.end) for s in out[4].spans] == [(100_002, 100_018)]
+
+
+def test_contexts_are_whole_words():
+    from ledgerline.llm.private_data import _Words
+
+    long = "w" * 300
+    text = f"start {long}1 (x@y) tail2"
+    before, between = _Words(text).patterns(text.index("x@y"), text.index("x@y") + 3)
+    other = _Words(text.replace("w1", "v1")).patterns(text.index("x@y"), text.index("x@y") + 3)
+    assert between == "between ( )" and before.endswith(" (") and before != other[0]
+    assert _Words("x@y z").patterns(0, 3) == [] and _Words("a x@y").patterns(2, 5) == []
+    assert _Words("a 12 x@y B").patterns(5, 8) == ["before a 00", "between 00 b"]
+
+
 def test_ownership_counts(spark):
     hits = [(1, "a", 0, "v", 4.0), (2, "a", -1, "v", 4.0), (2, "b", 1, "v", 4.0), (3, None, -1, "w", 4.0), (4, None, 2, "u", 4.0)]
     got = {r.value: (r.kind, r.n_repos, r.n_owners, r.live) for r in ownership(spark.createDataFrame(hits, "doc_id long, owner string, kind int, value string, entropy double")).collect()}
