@@ -88,3 +88,18 @@ def newest_candidates(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """Candidate licenses that no current event of any item uses, and so may be deleted (Q18)."""
     last = events.groupBy("item", "rf_fk").agg(F.max_by("removed", "event_pk").alias("removed")).filter("not removed").select(F.col("rf_fk").alias("rf_pk"))
     return candidates.join(last, "rf_pk", "left_anti")
+
+
+def without_uploads(items: DataFrame, gone: DataFrame, by_item: dict[str, DataFrame], by_content: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left when uploads(upload_fk) are deleted (I28): items, tables with an item, tables with a pfile_fk.
+
+    Contents that a remaining item has stay, and so do rows about them; rows whose item or content is null stay.
+    All of it is anti-joins, so it takes one pass over each table.
+    """
+    kept = items.join(gone.select("upload_fk"), "upload_fk", "left_anti")
+    lost_items = items.join(gone.select("upload_fk"), "upload_fk", "left_semi").select("item")
+    lost = items.join(gone.select("upload_fk"), "upload_fk", "left_semi").filter("pfile_fk is not null").select("pfile_fk").distinct()
+    lost = lost.join(kept.select("pfile_fk"), "pfile_fk", "left_anti")
+    left = {"items": kept}
+    left |= {name: df.join(lost_items, "item", "left_anti") for name, df in by_item.items()}
+    return left | {name: df.join(lost, "pfile_fk", "left_anti") for name, df in by_content.items()}

@@ -131,3 +131,14 @@ def excluded_by(value: Column, patterns: list[str]) -> Column:
     for p in patterns:
         hit = hit | value.rlike(p)
     return hit
+
+
+def export_obligations(obligations: DataFrame, bridge: DataFrame, licenses: DataFrame, sep: str = ";") -> DataFrame:
+    """One row for each obligation(ob_fk, type, topic, text, classification) with the names of its licenses, for export."""
+    names = bridge.join(licenses.select(F.col("rf_pk").alias("rf_fk"), "shortname"), "rf_fk").groupBy("ob_fk").agg(F.array_join(F.sort_array(F.collect_set("shortname")), sep).alias("licnames"))
+    return obligations.join(names, "ob_fk", "left").select("type", "topic", "text", "classification", F.coalesce("licnames", F.lit("")).alias("licnames"))
+
+
+def bucket_list(paths: DataFrame, leaves: DataFrame, names: DataFrame) -> DataFrame:
+    """path and bucket_name of every file in a bucket (I27): paths(item, path), leaves(item, bucket), names(bucket, bucket_name)."""
+    return paths.select("item", "path").join(leaves, "item").join(names, "bucket").select("path", "bucket_name")

@@ -52,17 +52,17 @@ def ranked_conclusions(spark, sf):
 
 
 _EFFECTIVE = "SELECT item, rf_fk, max(event_pk) AS event_pk, arg_max(removed, event_pk) AS removed FROM m_events GROUP BY 1, 2"
-_FOUND = "SELECT DISTINCT i.item, f.rf_fk % 100 AS rf_fk FROM m_files i JOIN m_findings f ON i.pfile_fk = f.pfile_fk WHERE f.rf_fk IS NOT NULL AND i.item < 20000"
+_FOUND = "SELECT DISTINCT i.item, f.rf_fk % 100 AS rf_fk FROM m_files i JOIN m_findings f ON i.pfile_fk = f.pfile_fk WHERE f.rf_fk IS NOT NULL"
 _CLEARINGS = f"SELECT coalesce(e.item, f.item) AS item, coalesce(e.rf_fk, f.rf_fk) AS rf_fk, coalesce(e.removed, FALSE) AS removed, e.item IS NOT NULL AS by_event, f.item IS NOT NULL AS by_scanner FROM ({_EFFECTIVE}) e FULL JOIN ({_FOUND}) f ON e.item = f.item AND e.rf_fk = f.rf_fk"
 
 
 # The same over all files. The queries named after a cut have their SQL as it was; whole_ ones have no cut.
-_ALL_FOUND = _FOUND.removesuffix(" AND i.item < 20000")
-_ALL_CLEARINGS = _CLEARINGS.replace(_FOUND, _ALL_FOUND)
+_FOUND = _FOUND.removesuffix("")
+_CLEARINGS = _CLEARINGS.replace(_FOUND, _FOUND)
 
 
-def _found(spark, sf, which="item < 20000"):
-    files = m.items(spark, sf).filter("mode & 805306368 = 0").filter(which)
+def _found(spark, sf):
+    files = m.items(spark, sf).filter("mode & 805306368 = 0")
     return files.join(m.findings(spark, sf), "pfile_fk").filter("rf_fk is not null").selectExpr("item", "rf_fk % 100 rf_fk").distinct()
 
 
@@ -81,25 +81,9 @@ def unhandled_findings(spark, sf):
     return D.unhandled(_found(spark, sf), m.events(spark, sf))
 
 
-@query(_ALL_CLEARINGS)
-def whole_current_clearings(spark, sf):
-    return D.current_clearings(m.events(spark, sf), _found(spark, sf, "true"))
-
-
-@query(f"SELECT item, rf_fk FROM ({_ALL_FOUND}) f WHERE NOT EXISTS (SELECT 1 FROM m_events e WHERE e.item = f.item AND e.rf_fk = f.rf_fk)")
-def whole_unhandled_findings(spark, sf):
-    return D.unhandled(_found(spark, sf, "true"), m.events(spark, sf))
-
-
-@query(f"SELECT i.item, 5 AS decision_type, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM m_files i LEFT JOIN (SELECT * FROM ({_CLEARINGS}) WHERE NOT removed) c ON i.item = c.item WHERE i.item < 20000 GROUP BY 1")
+@query(f"SELECT i.item, 5 AS decision_type, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM m_files i LEFT JOIN (SELECT * FROM ({_CLEARINGS}) WHERE NOT removed) c ON i.item = c.item GROUP BY 1")
 def decisions_from_events(spark, sf):
-    out = D.decide(m.items(spark, sf).filter("mode & 805306368 = 0 and item < 20000"), m.events(spark, sf), _found(spark, sf), D.IDENTIFIED)
-    return out.select("item", "decision_type", F.array_join("licenses", ",").alias("licenses"))
-
-
-@query(f"SELECT i.item, 5 AS decision_type, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM m_files i LEFT JOIN (SELECT * FROM ({_ALL_CLEARINGS}) WHERE NOT removed) c ON i.item = c.item GROUP BY 1")
-def whole_decisions_from_events(spark, sf):
-    out = D.decide(m.items(spark, sf).filter("mode & 805306368 = 0"), m.events(spark, sf), _found(spark, sf, "true"), D.IDENTIFIED)
+    out = D.decide(m.items(spark, sf).filter("mode & 805306368 = 0"), m.events(spark, sf), _found(spark, sf), D.IDENTIFIED)
     return out.select("item", "decision_type", F.array_join("licenses", ",").alias("licenses"))
 
 
@@ -125,32 +109,17 @@ def marked_directory(spark, sf):
     return D.marked_directory(m.items(spark, sf).filter("mode & 805306368 = 0 and upload_fk = 1"), m.decisions(spark, sf), D.IRRELEVANT)
 
 
-@query("""SELECT coalesce(t.bulk_pk, h.bulk_pk) AS bulk_pk, coalesce(t.item, h.item) AS item, t.item IS NOT NULL AS tried, h.item IS NOT NULL AS matched FROM
-    (SELECT b.item AS bulk_pk, i.item FROM m_nested b JOIN m_nested i ON b.upload_fk = i.upload_fk AND i.lft BETWEEN b.lft AND b.rgt WHERE b.depth = 1 AND b.item < 30) t
-    FULL JOIN (SELECT DISTINCT 4 * (event_pk % 7) + 1 AS bulk_pk, item FROM m_events WHERE event_type = 2) h ON t.bulk_pk = h.bulk_pk AND t.item = h.item""")
-def bulk_history(spark, sf):
-    n = m.nested(spark, sf)
-    bulks = n.filter("depth = 1 and item < 30").withColumnRenamed("item", "bulk_pk")
-    return D.bulk_history(bulks, n, m.events(spark, sf).filter("event_type = 2").selectExpr("4 * (event_pk % 7) + 1 bulk_pk", "item"))
-
-
 @query("""SELECT coalesce(t.bulk_pk, h.bulk_pk) AS bulk_pk, coalesce(t.item, h.item) AS item, t.item IS NOT NULL AS tried, h.item IS NOT NULL AS matched FROM
     (SELECT b.item AS bulk_pk, i.item FROM m_nested b JOIN m_nested i ON b.upload_fk = i.upload_fk AND i.lft BETWEEN b.lft AND b.rgt WHERE b.depth = 1) t
     FULL JOIN (SELECT DISTINCT 4 * (event_pk % 7) + 1 AS bulk_pk, item FROM m_events WHERE event_type = 2) h ON t.bulk_pk = h.bulk_pk AND t.item = h.item""")
-def whole_bulk_history(spark, sf):
+def bulk_history(spark, sf):
     n = m.nested(spark, sf)
     bulks = n.filter("depth = 1").withColumnRenamed("item", "bulk_pk")
     return D.bulk_history(bulks, n, m.events(spark, sf).filter("event_type = 2").selectExpr("4 * (event_pk % 7) + 1 bulk_pk", "item"))
 
 
-@query("SELECT fk, item, content, is_enabled FROM m_overlay WHERE fk >= 20 UNION ALL SELECT t.fk, t.item, o.content, FALSE FROM m_texts t LEFT JOIN m_overlay o ON t.fk = o.fk WHERE t.fk < 20")
-def edited_texts(spark, sf):
-    old = m.overlay(spark, sf).select("fk", "item", F.lit("").alias("hash"), "content", "is_enabled")
-    return D.edited_texts(old, m.texts(spark, sf).filter("fk < 20").select("fk", "item", "hash"), "delete").select("fk", "item", "content", "is_enabled")
-
-
 @query("SELECT fk, item, content, is_enabled FROM m_overlay WHERE fk NOT IN (SELECT fk FROM m_texts) UNION ALL SELECT t.fk, t.item, o.content, FALSE FROM m_texts t LEFT JOIN m_overlay o ON t.fk = o.fk")
-def whole_edited_texts(spark, sf):
+def edited_texts(spark, sf):
     old = m.overlay(spark, sf).select("fk", "item", F.lit("").alias("hash"), "content", "is_enabled")
     return D.edited_texts(old, m.texts(spark, sf).select("fk", "item", "hash"), "delete").select("fk", "item", "content", "is_enabled")
 
@@ -170,10 +139,13 @@ def keyword_inside_phrase(spark, sf):
     return D.keyword_inside_phrase(m.matches(spark, sf))
 
 
-@query("SELECT item FROM m_matches GROUP BY item HAVING bool_and(license IN (1, 2))")
+def _types(spark, sf):
+    return m.licenses(spark, sf).selectExpr("rf_pk", "if(rf_pk % 4 in (1, 2), 'Permissive', 'Other') license_type")
+
+
+@query("SELECT item FROM m_matches GROUP BY item HAVING bool_and(license IN (1, 2)) EXCEPT SELECT 4 * run_pk + 3 FROM m_runs")
 def one_license_type(spark, sf):
-    types = m.licenses(spark, sf).filter("rf_pk < 4").selectExpr("rf_pk", "if(rf_pk in (1, 2), 'Permissive', 'Other') license_type")
-    return D.one_license_type(m.matches(spark, sf), types, "Permissive")
+    return D.one_license_type(m.matches(spark, sf), _types(spark, sf), "Permissive", m.runs(spark, sf).selectExpr("4 * run_pk + 3 as item"))
 
 
 @query("SELECT item FROM (SELECT item, license, rf_fk, count(DISTINCT scanner) AS n FROM m_matches GROUP BY 1, 2, 3) GROUP BY 1 HAVING min(n) = 3")
@@ -181,38 +153,69 @@ def scanners_agree(spark, sf):
     return D.scanners_agree(m.matches(spark, sf), ("keyword", "phrase", "tag"))
 
 
-@query(f"""SELECT item, CASE WHEN item IN ({_COVERED}) THEN 'tag' WHEN item IN ({_INSIDE}) THEN 'keyword in phrase' ELSE 'license type' END AS rule FROM m_files
-    WHERE item IN ({_COVERED}) OR item IN ({_INSIDE}) OR item IN (SELECT item FROM m_matches GROUP BY item HAVING bool_and(license IN (1, 2)))""")
+_CASCADE = f"""WITH last AS (SELECT item, arg_max(decision_type, decision_pk) AS t, list(DISTINCT decision_pk % 4) AS known FROM m_decisions WHERE item % 8 = 3 GROUP BY 1),
+    ev AS (SELECT item, arg_min(event_type, event_pk) AS kind, arg_min(rf_fk, event_pk) % 4 AS license, arg_min(removed, event_pk) AS removed FROM m_events WHERE item % 8 = 7 GROUP BY 1),
+    news AS (SELECT DISTINCT mm.item FROM m_matches mm JOIN last ON mm.item = last.item WHERE t <> 4 AND NOT list_contains(known, license)),
+    phrase AS (SELECT item FROM ev WHERE kind = 1 AND NOT EXISTS (SELECT 1 FROM m_matches mm WHERE mm.item = ev.item AND (mm.license <> ev.license OR ev.removed))),
+    bare AS (SELECT item FROM m_files WHERE item NOT IN (SELECT item FROM last) AND item NOT IN (SELECT item FROM ev)),
+    kind AS (SELECT item FROM m_matches GROUP BY item HAVING bool_and(license IN (1, 2)))
+    SELECT item, rule FROM (SELECT item, CASE WHEN item IN (FROM news) THEN 'update' WHEN item IN (FROM phrase) THEN 'phrase events' WHEN item NOT IN (FROM bare) THEN NULL
+        WHEN item IN ({_COVERED}) THEN 'tag' WHEN item IN ({_INSIDE}) THEN 'keyword in phrase' WHEN item IN (FROM kind) THEN 'license type' END AS rule FROM m_files) WHERE rule IS NOT NULL"""
+
+
+@query(_CASCADE)
 def decision_cascade(spark, sf):
-    mm = m.matches(spark, sf)
-    types = m.licenses(spark, sf).filter("rf_pk < 4").selectExpr("rf_pk", "if(rf_pk in (1, 2), 'Permissive', 'Other') license_type")
-    rules = {"tag": D.tag_without_contradiction(mm), "keyword in phrase": D.keyword_inside_phrase(mm), "license type": D.one_license_type(mm, types, "Permissive")}
-    return D.cascade(m.items(spark, sf).filter("mode & 805306368 = 0"), rules)
+    """All rules: items of even users have decisions, those of odd users one event, the rest neither."""
+    last = m.decisions(spark, sf).filter("item % 8 = 3").groupBy("item").agg(F.max_by("decision_type", "decision_pk").alias("decision_type"), F.collect_set(F.col("decision_pk") % 4).alias("licenses"))
+    first = m.events(spark, sf).filter("item % 8 = 7").groupBy("item").agg(F.min_by(F.struct("event_pk", F.expr("rf_fk % 4 as rf_fk"), "removed", "event_type", "ts"), "event_pk").alias("e")).select("item", "e.*")
+    files = m.items(spark, sf).filter("mode & 805306368 = 0")
+    return D.auto_decisions(files, m.matches(spark, sf), first, last, _types(spark, sf), phrase_type=1)
+
+
+@query("SELECT item FROM (SELECT item, arg_min(event_type, event_pk) AS kind, arg_min(rf_fk, event_pk) % 4 AS license, arg_min(removed, event_pk) AS removed FROM m_events GROUP BY 1) ev WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM m_matches mm WHERE mm.item = ev.item AND (mm.license <> ev.license OR ev.removed))")
+def phrases_cover_all(spark, sf):
+    first = m.events(spark, sf).groupBy("item").agg(F.min_by(F.struct("event_pk", F.expr("rf_fk % 4 as rf_fk"), "removed", "event_type", "ts"), "event_pk").alias("e")).select("item", "e.*")
+    return D.phrases_cover_all(m.matches(spark, sf), first, 3)
+
+
+@query(_COVERED.replace("scanner = 'tag'", "scanner = 'phrase'"))
+def sidecar_without_contradiction(spark, sf):
+    """The sidecar rule, on matches of the phrase scanner taken for those of sidecars."""
+    own = m.matches(spark, sf).withColumn("scanner", F.when(F.col("scanner") == "phrase", "sidecar").otherwise(F.col("scanner")))
+    return D.sidecar_without_contradiction(own)
 
 
 @query("""SELECT i.item, r.decision_pk, r.decision_type FROM m_items i JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pfile_fk ORDER BY list_position([5, 6, 7, 4, 3, 0], decision_type), decision_pk DESC) n FROM m_decisions) WHERE n = 1) r ON i.pfile_fk = r.pfile_fk
-    WHERE i.item NOT IN (SELECT item FROM m_decisions WHERE decision_type = 5)""")
+    WHERE i.item NOT IN (SELECT item FROM m_decisions GROUP BY 1 HAVING arg_max(decision_type, decision_pk) = 5)""")
 def reuse_by_content(spark, sf):
     d = m.decisions(spark, sf)
-    return R.reused_by_content(m.items(spark, sf), d.filter("decision_type = 5"), d)
+    cleared = d.groupBy("item").agg(F.max_by("decision_type", "decision_pk").alias("t")).filter("t = 5")
+    return R.reused_by_content(m.items(spark, sf), cleared, d)
+
 
+_SIDES = """WITH own AS (SELECT upload_fk, item, parent, pfile_fk, name FROM m_items WHERE mode & 536870912 = 0 UNION ALL
+    SELECT upload_fk, -item, parent, -pfile_fk, replace(name, '.license', '') FROM m_items WHERE mode & 536870912 = 0 AND name LIKE '%.license' AND item % 3 = 0)"""
 
-@query("SELECT s.item AS sidecar, b.item AS base FROM m_items s JOIN m_items b ON s.parent = b.parent AND s.name = b.name || '.license'")
+
+def _with_bases(spark, sf):
+    """Files, and for every third sidecar the file that it stands beside."""
+    i = m.items(spark, sf).filter("mode & 536870912 = 0")
+    return i.unionByName(i.filter("name like '%.license' and item % 3 = 0").selectExpr("upload_fk", "-item item", "parent", "-pfile_fk pfile_fk", "mode", "replace(name, '.license', '') name"))
+
+
+@query(f"{_SIDES} SELECT s.item AS sidecar, b.item AS base FROM own s JOIN own b ON s.upload_fk = b.upload_fk AND s.parent = b.parent AND s.name = b.name || '.license'")
 def sidecar_files(spark, sf):
-    i = m.items(spark, sf)
-    bases = i.filter("name like '%.license'").selectExpr("upload_fk", "item + 1 item", "parent", "pfile_fk", "mode", "replace(name, '.license', '') name").filter("item % 3 = 0")
-    return R.sidecars(i.filter("mode & 536870912 = 0").unionByName(bases)).select("sidecar", "base").filter("base % 4 = 3")
+    return R.sidecars(_with_bases(spark, sf)).select("sidecar", "base")
 
 
-@query("SELECT p.doc_id AS entry, c.doc_id AS item FROM (SELECT doc_id, upper(sha1(text)) AS h FROM documents WHERE doc_id % 10 = 0) p JOIN (SELECT doc_id, sha1(text) AS h FROM documents) c ON lower(p.h) = c.h")
-def files_by_hash(spark, sf):
-    docs = m.table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("sha1"))
-    entries = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("entry"), F.upper("sha1").alias("hash"))
-    return R.by_hash(entries, docs.withColumnRenamed("doc_id", "item")).select("entry", "item")
+@query(f"""{_SIDES} SELECT DISTINCT b.pfile_fk, f.rf_fk FROM own s JOIN own b ON s.upload_fk = b.upload_fk AND s.parent = b.parent AND s.name = b.name || '.license' JOIN m_findings f ON f.pfile_fk = s.pfile_fk
+    WHERE f.rf_fk IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m_findings g WHERE g.pfile_fk = b.pfile_fk AND g.rf_fk = f.rf_fk)""")
+def sidecar_findings(spark, sf):
+    return R.sidecar_findings(_with_bases(spark, sf), m.findings(spark, sf))
 
 
 @query("SELECT p.doc_id AS entry, c.doc_id AS item FROM (SELECT doc_id, sha1(text) AS h FROM documents) p JOIN (SELECT doc_id, sha1(text) AS h FROM documents) c ON p.h = c.h")
-def whole_files_by_hash(spark, sf):
+def files_by_hash(spark, sf):
     docs = m.table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("sha1"))
     entries = docs.select(F.col("doc_id").alias("entry"), F.upper("sha1").alias("hash"))
     return R.by_hash(entries, docs.withColumnRenamed("doc_id", "item")).select("entry", "item")
@@ -225,15 +228,12 @@ def set_used_unused_missing(spark, sf):
 
 
 _PAIRS = "SELECT DISTINCT x.pfile_fk, x.rf_fk AS a, y.rf_fk AS b FROM (SELECT DISTINCT pfile_fk, rf_fk FROM m_findings WHERE rf_fk IS NOT NULL) x JOIN (SELECT DISTINCT pfile_fk, rf_fk FROM m_findings WHERE rf_fk IS NOT NULL) y ON x.pfile_fk = y.pfile_fk AND x.rf_fk < y.rf_fk"
-_RULES = "(SELECT least(p_type, CASE WHEN p_size % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END) AS t1, greatest(p_type, CASE WHEN p_size % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END) AS t2, min(p_size % 4 <> 0) AS c FROM part WHERE p_partkey < 50 GROUP BY 1, 2)"
+_RULES = "(SELECT least(p_type, CASE WHEN p_size % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END) AS t1, greatest(p_type, CASE WHEN p_size % 2 = 0 THEN 'STANDARD' ELSE 'PROMO' END) AS t2, min(p_size % 4 <> 0) AS c FROM part GROUP BY 1, 2)"
 _VERDICTS = f"SELECT p.a, p.b, coalesce(CASE WHEN p.b = p.a + 1 THEN p.a % 2 = 0 END, r.c, FALSE) AS compatible FROM (SELECT DISTINCT a, b FROM ({_PAIRS})) p JOIN m_licenses la ON la.rf_pk = p.a JOIN m_licenses lb ON lb.rf_pk = p.b LEFT JOIN {_RULES} r ON least(la.license_type, lb.license_type) = r.t1 AND greatest(la.license_type, lb.license_type) = r.t2"
 
 
-_ALL_VERDICTS = _VERDICTS.replace(_RULES, _RULES.replace(" WHERE p_partkey < 50", ""))
-
-
-def _rules(spark, sf, which="p_partkey < 50"):
-    kinds = m.table(spark, sf, "part").filter(which).selectExpr("cast(null as bigint) first_rf_fk", "cast(null as bigint) second_rf_fk", "p_type first_type", "if(p_size % 2 = 0, 'STANDARD', 'PROMO') second_type", "p_size % 4 <> 0 compatibility")
+def _rules(spark, sf):
+    kinds = m.table(spark, sf, "part").selectExpr("cast(null as bigint) first_rf_fk", "cast(null as bigint) second_rf_fk", "p_type first_type", "if(p_size % 2 = 0, 'STANDARD', 'PROMO') second_type", "p_size % 4 <> 0 compatibility")
     ids = m.licenses(spark, sf).selectExpr("rf_pk + 1 first_rf_fk", "rf_pk second_rf_fk", "cast(null as string) first_type", "cast(null as string) second_type", "rf_pk % 2 = 0 compatibility")
     return kinds.union(ids)
 
@@ -258,17 +258,6 @@ def file_compatibility(spark, sf):
     return C.file_verdicts(pairs, C.verdicts(pairs, m.licenses(spark, sf), _rules(spark, sf)))
 
 
-@query(_ALL_VERDICTS)
-def whole_pairwise_compatibility(spark, sf):
-    return C.verdicts(_pairs(spark, sf), m.licenses(spark, sf), _rules(spark, sf, "true"))
-
-
-@query(f"SELECT p.pfile_fk, count(*) AS pairs, count(*) FILTER (NOT compatible) AS conflicts, bool_and(compatible) AS compatible FROM ({_PAIRS}) p JOIN ({_ALL_VERDICTS}) v ON p.a = v.a AND p.b = v.b GROUP BY 1")
-def whole_file_compatibility(spark, sf):
-    pairs = _pairs(spark, sf)
-    return C.file_verdicts(pairs, C.verdicts(pairs, m.licenses(spark, sf), _rules(spark, sf, "true")))
-
-
 @query("SELECT item, 1 AS bucket FROM m_fileset WHERE list_has_all(licenses, ['ECONOMY', 'PROMO']) OR list_has_all(licenses, ['STANDARD', 'SMALL', 'LARGE'])")
 def bucket_match_every(spark, sf):
     return B.leaf_buckets(m.fileset(spark, sf), [B.Bucket(1, "every", sets=[["ECONOMY", "PROMO"], ["STANDARD", "SMALL", "LARGE"]])])
@@ -320,8 +309,3 @@ def fuzzy_name_match(spark, sf):
 @query(f"SELECT t.item, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM (SELECT DISTINCT item FROM m_events WHERE job_fk = 7) t LEFT JOIN (SELECT * FROM ({_CLEARINGS}) WHERE NOT removed) c ON t.item = c.item GROUP BY 1")
 def decisions_of_job(spark, sf):
     return D.decisions_of_job(m.events(spark, sf), 7, _found(spark, sf)).select("item", F.array_join("licenses", ",").alias("licenses"))
-
-
-@query(f"SELECT t.item, coalesce(string_agg(CAST(rf_fk AS VARCHAR), ',' ORDER BY rf_fk), '') AS licenses FROM (SELECT DISTINCT item FROM m_events WHERE job_fk = 7) t LEFT JOIN (SELECT * FROM ({_ALL_CLEARINGS}) WHERE NOT removed) c ON t.item = c.item GROUP BY 1")
-def whole_decisions_of_job(spark, sf):
-    return D.decisions_of_job(m.events(spark, sf), 7, _found(spark, sf, "true")).select("item", F.array_join("licenses", ",").alias("licenses"))

@@ -91,9 +91,9 @@ def latest_findings(spark, sf):
     return O.latest_findings(m.items(spark, sf), m.findings(spark, sf), m.runs(spark, sf)).groupBy("upload_fk", "agent_fk").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_pk, pfile_fk FROM m_events WHERE pfile_fk NOT IN (SELECT pfile_fk FROM m_findings)")
+@query("SELECT fk, item FROM m_texts WHERE item NOT IN (SELECT item FROM m_events)")
 def orphaned_rows(spark, sf):
-    return O.orphans(m.events(spark, sf), m.findings(spark, sf), "pfile_fk").select("event_pk", "pfile_fk")
+    return O.orphans(m.texts(spark, sf), m.events(spark, sf), "item").select("fk", "item")
 
 
 @query("SELECT t.fk, i.item, t.hash, FALSE AS is_enabled FROM m_texts t JOIN m_items i ON t.pfile_fk = i.pfile_fk WHERE NOT t.is_enabled")

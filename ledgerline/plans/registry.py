@@ -26,7 +26,10 @@ def with_tables(sql: str) -> str:
 
     need(sql)
     ordered = [n for n in TABLES if n in used]
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({TABLES[n]})" for n in ordered) + " " + sql if ordered else sql
+    tables = ", ".join(f"{n} AS ({TABLES[n]})" for n in ordered)
+    if sql.startswith("WITH "):  # its own definitions come after the tables
+        return f"WITH RECURSIVE {tables}, {sql[5:]}" if ordered else sql
+    return f"WITH RECURSIVE {tables} {sql}" if ordered else sql
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -34,6 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
+        f.sql = sql
         if sql:
             ORACLE_SQL[f.__name__] = with_tables(sql.strip())
         return f

@@ -116,13 +116,19 @@ def license_tags(spark, sf):
     return S.license_tags(m.tagged(spark, sf), "pfile_fk", F.col("text")).select("pfile_fk", "name")
 
 
+_KEY = "regexp_replace(regexp_replace(lower({}), '(\\+|-or-later)$', '+'), '-only$', '')"
+_KNOWN = "SELECT p_partkey AS rf_pk, CASE p_partkey % 4 WHEN 0 THEN upper(replace(p_name, ' ', '-')) WHEN 1 THEN replace(p_name, ' ', '-') || '-only' WHEN 2 THEN p_type || '-or-later' ELSE replace(p_name, ' ', '-') END AS shortname, p_size % 5 AS group_fk FROM part"
+
+
 @query(f"""SELECT t.pfile_fk, t.name, k.rf_pk FROM (SELECT pfile_fk, unnest(regexp_extract_all(list, '{S.TAG_NAMES}', 1)) AS name FROM {_LISTS}) t LEFT JOIN
-    (SELECT regexp_replace(regexp_replace(lower(n), '(\\+|-or-later)$', '+'), '-only$', '') AS k, min(pk) AS rf_pk FROM (VALUES (1, 'gpl-2.0-or-later'), (2, 'ECONOMY-only'), (3, 'red-widget')) v(pk, n) GROUP BY 1) k
-    ON regexp_replace(regexp_replace(lower(t.name), '(\\+|-or-later)$', '+'), '-only$', '') = k.k""")
+    (SELECT name, rf_pk FROM (SELECT n.name, k.rf_pk, row_number() OVER (PARTITION BY n.name ORDER BY k.group_fk <> 0, lower(n.name) <> lower(k.shortname), k.rf_pk) AS place
+        FROM (SELECT DISTINCT unnest(regexp_extract_all(list, '{S.TAG_NAMES}', 1)) AS name FROM {_LISTS}) n JOIN ({_KNOWN}) k ON {_KEY.format("n.name")} = {_KEY.format("k.shortname")} WHERE k.group_fk IN (0, 1)) WHERE place = 1) k ON t.name = k.name""")
 def resolved_tags(spark, sf):
+    """Parts stand for licenses: those of group 0 are the main ones, the others candidates of their groups."""
     tags = S.license_tags(m.tagged(spark, sf), "pfile_fk", F.col("text")).filter(F.col("name") != S.DUAL)
-    known = spark.createDataFrame([(1, "gpl-2.0-or-later"), (2, "ECONOMY-only"), (3, "red-widget")], "rf_pk int, shortname string")
-    return S.resolved_tags(tags, known, known.limit(0).withColumn("group_fk", F.lit(1)), 1).select("pfile_fk", "name", "rf_pk")
+    names = "case p_partkey % 4 when 0 then upper(replace(p_name, ' ', '-')) when 1 then concat(replace(p_name, ' ', '-'), '-only') when 2 then concat(p_type, '-or-later') else replace(p_name, ' ', '-') end shortname"
+    known = m.table(spark, sf, "part").selectExpr("p_partkey rf_pk", names, "p_size % 5 group_fk")
+    return S.resolved_tags(tags, known.filter("group_fk = 0"), known.filter("group_fk != 0"), 1).select("pfile_fk", "name", "rf_pk")
 
 
 @query("SELECT d.doc_id, h.line, h.pos, h.content FROM documents d LEFT JOIN (SELECT doc_id, CAST(n AS INTEGER) AS line, CAST(instr(content, regexp_extract(content, '[Ll]icense[d]?')) AS INTEGER) AS pos, content FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE regexp_matches(content, '[Ll]icense[d]?')) h ON d.doc_id = h.doc_id")

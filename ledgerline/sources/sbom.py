@@ -130,3 +130,46 @@ def decision_dump(**tables: DataFrame) -> DataFrame:
 def from_dump(dump: DataFrame, name: str, schema: str) -> DataFrame:
     """A table of a decision dump again."""
     return dump.filter(F.col("table") == name).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+# Whole documents: rows of part and value, in the order of part, to be written as lines.
+
+
+def document(parts: list[DataFrame | str], spark: SparkSession) -> DataFrame:
+    """part and value of the parts, each a text or a table with a column value."""
+    rows = []
+    for i, part in enumerate(parts):
+        df = spark.createDataFrame([(part,)], "value string") if isinstance(part, str) else part.select("value")
+        rows.append(df.select(F.lit(i).alias("part"), "value"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+def spdx_tag_document(files: DataFrame, texts: DataFrame, name: str, namespace: str, created: str, creator: str, code: str) -> DataFrame:
+    """A whole SPDX 2.3 tag-value document (I22): creation, the package with its verification code, files, relationships, license texts.
+
+    files: as for spdx_tag_lines; texts: id (LicenseRef-...), name, text of licenses that no list has.
+    """
+    head = f"SPDXVersion: SPDX-2.3\nDataLicense: CC0-1.0\nSPDXID: SPDXRef-DOCUMENT\nDocumentName: {name}\nDocumentNamespace: {namespace}\nCreator: Tool: {creator}\nCreated: {created}\n"
+    package = f"PackageName: {name}\nSPDXID: SPDXRef-upload\nPackageDownloadLocation: NOASSERTION\nFilesAnalyzed: true\nPackageVerificationCode: {code}\nPackageLicenseConcluded: NOASSERTION\nPackageLicenseDeclared: NOASSERTION\nPackageCopyrightText: NOASSERTION\n"
+    contains = files.select(F.concat(F.lit("Relationship: SPDXRef-upload CONTAINS SPDXRef-item-"), F.lower("sha1")).alias("value")).distinct()
+    extracted = texts.select(F.concat(F.lit("LicenseID: "), F.col("id"), F.lit("\nLicenseName: "), F.col("name"), F.lit("\nExtractedText: <text>"), F.col("text"), F.lit("</text>\n")).alias("value"))
+    return document([head, package, spdx_tag_lines(files), "Relationship: SPDXRef-DOCUMENT DESCRIBES SPDXRef-upload", contains, extracted], files.sparkSession)
+
+
+def cyclonedx_document(files: DataFrame, name: str, version: str, serial: str, created: str) -> DataFrame:
+    """A whole CycloneDX 1.4 document (I23): metadata, the upload as its component, and one component for each file."""
+    import json
+
+    opening = json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.4", "serialNumber": serial, "version": 1, "metadata": {"timestamp": created, "component": {"type": "application", "name": name, "version": version}}})
+    first = json.dumps({"type": "application", "name": name, "version": version})
+    each = cyclonedx_components(files).select(F.concat(F.lit(","), F.col("value")).alias("value"))
+    return document([f'{opening[:-1]}, "components": [', first, each, "]}"], files.sparkSession)
+
+
+def component_document(groups: DataFrame, name: str, created: str) -> DataFrame:
+    """A whole component XML document (I24): a root with general information and one License element for each expression."""
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<ComponentLicenseInformation component="{name}" creator="report" date="{created}">'
+    return document([head, component_xml(groups), "</ComponentLicenseInformation>"], groups.sparkSession)

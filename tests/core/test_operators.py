@@ -3,11 +3,14 @@
 import gzip
 import io
 import json
+import lzma
 import random
+import struct
 import tarfile
 import zipfile
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from ledgerline.functions.content import CONTAINER
@@ -16,6 +19,7 @@ from ledgerline.operators import compare as N
 from ledgerline.operators import compatibility as C
 from ledgerline.operators import decisions as D
 from ledgerline.operators import ingest as G
+from ledgerline.operators import progress as Z
 from ledgerline.operators import reuse as R
 from ledgerline.operators import tree as T
 from ledgerline.sources import archives as A
@@ -142,6 +146,57 @@ def test_archives(spark):
     assert A.decoded(files.filter("path = 'p.txt'")).first().text == "é"
 
 
+def cpio(files):
+    """A portable cpio archive, written by the format's description."""
+    out = b""
+    for name, mode, data in [*files, ("TRAILER!!!", 0, b"")]:
+        fields = [0, mode, 0, 0, 1, 0, len(data), 0, 0, 0, 0, len(name) + 1, 0]
+        head = b"070701" + "".join(f"{x:08x}" for x in fields).encode() + name.encode() + b"\0"
+        out += head + b"\0" * (-len(head) % 4) + data + b"\0" * (-len(data) % 4)
+    return out
+
+
+def rpm(payload):
+    """A small RPM package: a lead, an empty signature header, a header with strings and a list, a payload."""
+
+    def header(tags):
+        store, index = b"", b""
+        for tag, kind, values in tags:
+            index += struct.pack(">IIII", tag, kind, len(store), len(values))
+            store += b"".join(v.encode() + b"\0" for v in values)
+        return b"\x8e\xad\xe8\x01" + b"\0" * 4 + struct.pack(">II", len(tags), len(store)) + index + store
+
+    signature = header([(1000, 6, ["signed"])])
+    main = header([(1000, 6, ["tool"]), (1001, 6, ["1.2"]), (1014, 6, ["MIT"]), (1049, 8, ["libc", "sh"]), (1005, 9, ["long"])])
+    lead = b"\xed\xab\xee\xdb" + b"\0" * 92
+    return lead + signature + b"\0" * (-(len(lead) + len(signature)) % 8) + main + payload
+
+
+def test_cpio_lzma_zstd_and_rpm(spark):
+    tree = cpio([("usr", 0o040755, b""), ("usr/a.txt", 0o100644, b"one"), ("usr/empty", 0o100644, b"")])
+    package = rpm(zstandard.ZstdCompressor().compress(tree))
+    files = [("t.cpio", tree), ("l.txt.lzma", lzma.compress(b"two", format=lzma.FORMAT_ALONE)), ("p.rpm", package), ("broken.rpm", b"\xed\xab\xee\xdb" + b"x" * 40), ("cut.gz", gzip.compress(b"x" * 999)[:15]), ("z", zstandard.ZstdCompressor().compress(b"three"))]
+    got = {r.path: bytes(r.content) for r in A.unpacked(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got["t.cpio/usr/a.txt"] == b"one" and got["t.cpio/usr/empty"] == b"" and got["l.txt"] == b"two"
+    assert got["p.rpm/usr/a.txt"] == b"one" and got["broken.rpm"] == files[3][1] and got["cut.gz"] == files[4][1] and got["z"] == b"three"
+    rows = A.rpm_packages(spark.createDataFrame([(1, package), (2, b"none"), (3, files[3][1]), (4, None)], "pfile_fk int, content binary")).collect()
+    assert [(r.pfile_fk, r.package, r.version, r.license, r.requires, r.vendor) for r in rows] == [(1, "tool", "1.2", "MIT", ["libc", "sh"], None)]
+
+
+def test_members_that_no_row_can_hold_stay_packed(spark, monkeypatch):
+    monkeypatch.setattr(A, "LARGEST_ROW", 10)
+    assert A.inflated(gzip.compress(b"x" * 10)) == b"x" * 10
+    with pytest.raises(A.TooLarge):
+        A.inflated(gzip.compress(b"x" * 11))
+
+
+def test_deleting_an_upload_keeps_shared_contents(spark):
+    items = spark.createDataFrame([(1, 10, 100), (1, 11, 101), (2, 20, 100), (2, 21, None)], "upload_fk int, item int, pfile_fk int")
+    left = Z.without_uploads(items, spark.createDataFrame([(1,)], "upload_fk int"), {"events": spark.createDataFrame([(10,), (20,), (None,)], "item int")}, {"findings": spark.createDataFrame([(100,), (101,), (None,)], "pfile_fk int")})
+    assert {r.item for r in left["items"].collect()} == {20, 21}
+    assert {r.item for r in left["events"].collect()} == {20, None} and {r.pfile_fk for r in left["findings"].collect()} == {100, None}
+
+
 def test_imports(spark, tmp_path):
     (tmp_path / "l.csv").write_text('Short Name,Full Text\nMIT,"a ""q""\nb"\nGPL,\n')
     rows = L.read_catalogue(spark, str(tmp_path / "l.csv"), L.LICENSE_ALIASES).collect()
