@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import forget, written
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -43,9 +43,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     they are stars. Raises RuntimeError if ``rounds`` are not enough (the number needed grows with the
     logarithm of the nodes).
     """
-    edges = edges.select("u", "v").filter("u != v")
+    edges, before = edges.select("u", "v").filter("u != v"), None
     for _ in range(rounds):
         edges = written(small_star(large_star(edges)), "edges")
+        if before is not None:
+            forget(before)
+        before = edges
         if _settled(edges):
             break
     else:

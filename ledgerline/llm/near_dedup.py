@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .store import broadcast_if_small, small_batches, table, written
+from .store import broadcast_if_small, forget, small_batches, table, written
 
 #: 32 bands of 4 minima: a pair of similarity 0.8 shares no band with a probability of 5e-8.
 BANDS, ROWS = 32, 4
@@ -131,14 +131,12 @@ def _block_links(percent: int):
     return links
 
 
-def _open_blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
+def _open_blocks(rows: DataFrame) -> DataFrame:
     """Buckets that hold several components, dealt into pairs of blocks: key, low, high, block, component, id.
 
-    members: key, rep, n (shingles). Buckets of equal members are taken once. The members of a bucket's largest component
+    rows: key, rep, n (shingles), component. Buckets of equal members are taken once. The members of a bucket's largest component
     (main) are paired with the others only, not among themselves; a block has BLOCK_BYTES and BLOCK_ROWS at most, on average.
     """
-    rows = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = written(rows, "members")
     by_component = rows.groupBy("key", "component").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
     buckets = by_component.groupBy("key").agg(F.max(F.struct("n_rows", "component", "n")).alias("main"), F.sum("n_rows").alias("rows"), F.sum("n").alias("all"), F.bit_xor("who").alias("who"), F.count("*").alias("of")).filter("of > 1")
     buckets = buckets.groupBy("rows", "all", "who").agg(F.min_by(F.struct("key", "main"), "key").alias("first")).select("first.key", "first.main", "rows", "all")
@@ -190,9 +188,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(source.join(broadcast_if_small(members), "id", "left_semi").mapInArrow(_set_maker(words), _SETS), "sets")
 
     pairs = buckets.filter("rep > leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-    comps = components(written(_verified(pairs, sets, percent), "links"))
-    blocks = _open_blocks(buckets.filter("rep > leader").select("key", "rep", "n"), comps)
+    links = written(_verified(pairs, sets, percent), "links")
+    comps = components(links)
+    rows = buckets.filter("rep > leader").select("key", "rep", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = written(rows.withColumn("component", F.coalesce("component", "rep")), "members")
+    forget(links, buckets)
+    blocks = _open_blocks(rows)
     more = written(blocks.join(sets, "id").groupBy("key", "low", "high").applyInArrow(_block_links(percent), "u long, v long"), "links")
+    forget(rows, sets)
     merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("_to"))
     # A component of one document has no row in comps; it may be merged all the same.
     groups = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

@@ -20,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="ledgerline-")
     return _own[app]
@@ -30,12 +32,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs only the tasks that read the files. The files stay until
-    the folder is cleared, as checkpoint files of a cluster do.
+    forget() or clear() removes them, as checkpoint files of a cluster do.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing reads any more: all that was made of them has been written in turn."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all written() tables of this application, when its results have been used."""
+    _delete(spark, f"{shared_dir(spark)}/ledgerline/{spark.sparkContext.applicationId}")
 
 
 def small_batches(spark: SparkSession) -> None:
