@@ -16,6 +16,8 @@ from ledgerline.functions.content import is_artifact, is_container, is_plain
 from ledgerline.storage import settled
 
 DEPTH = 100
+#: Up to so many children a folder's running sum is one window; if any folder of a level has more, parts of it are summed apart.
+CHILDREN_AT_ONCE = 100_000
 
 
 def running_total(rows: DataFrame, group: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -67,7 +69,11 @@ def nested_set(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     placed = [sized[0].withColumn("lft", F.lit(0).cast("long"))]
     for rows in sized[1:]:
         order = [(~is_container(F.col("mode"))).cast("int"), F.col("name"), F.col("item")]
-        rows = running_total(rows, "parent", order, "size", "_earlier")
+        if (rows.groupBy("parent").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > CHILDREN_AT_ONCE:
+            rows = running_total(rows, "parent", order, "size", "_earlier")
+        else:
+            before = Window.partitionBy("parent").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn("_earlier", F.coalesce(F.sum("size").over(before), F.lit(0)))
         above = placed[-1].select(F.col("item").alias("_up"), F.col("lft").alias("_lft"))
         placed.append(settled(rows.join(above, rows["parent"] == above["_up"]).withColumn("lft", F.col("_lft") + 1 + 2 * F.col("_earlier")).drop("_up", "_lft", "_earlier"), "placed"))
     out = reduce(DataFrame.unionByName, placed)
@@ -98,22 +104,18 @@ def under(items: DataFrame, lft: int, rgt: int, upload: int | None = None) -> Da
     return rows if upload is None else rows.filter(F.col("upload_fk") == upload)
 
 
-def subtree_counts(items: DataFrame, parents: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """upload_fk, item and files: plain files below each of ``parents``(upload_fk, item, parent ...) of the same tree.
+def subtree_counts(items: DataFrame, parents: DataFrame) -> DataFrame:
+    """upload_fk, item and files: plain files below each of ``parents`` (upload_fk, item, lft, rgt) among numbered items.
 
-    Counts are handed upwards level by level, partial sums first, instead of comparing each file with all folders.
+    One running count of plain files over the positions of an upload: what is counted between an item's two numbers is
+    below it. No file is compared with a folder, and no level is walked.
     """
-    counted, above = [], None
-    for rows in reversed(levels(items, depth=depth)):
-        rows = rows.withColumn("own", F.when(is_plain(F.col("mode")), 1).otherwise(0).cast("long"))
-        if above is not None:
-            rows = rows.join(above, rows["item"] == above["_of"], "left").withColumn("below", F.coalesce("_files", F.lit(0))).drop("_of", "_files")
-        else:
-            rows = rows.withColumn("below", F.lit(0).cast("long"))
-        rows = settled(rows, "counted")
-        above = rows.groupBy("parent").agg(F.sum(F.col("own") + F.col("below")).alias("_files")).withColumnRenamed("parent", "_of")
-        counted.append(rows.select("upload_fk", "item", F.col("below").alias("files")))
-    return reduce(DataFrame.unionByName, counted).join(parents.select("item"), "item", "left_semi")
+    ends = parents.select("upload_fk", "item", F.explode(F.array(F.struct(F.col("lft").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("rgt").alias("at"), F.lit(1).alias("sign")))).alias("e"))
+    rows = ends.select("upload_fk", "item", "e.at", "e.sign", F.lit(0).cast("long").alias("one"))
+    files = items.filter(is_plain(F.col("mode"))).select("upload_fk", F.lit(None).cast("long").alias("item"), F.col("lft").alias("at"), F.lit(0).alias("sign"), F.lit(1).cast("long").alias("one"))
+    # At an item's own first number its file, if it is one, comes first, so that it isn't counted as below.
+    counted = running_total(rows.unionByName(files), "upload_fk", [F.col("at"), F.col("one").desc()], "one", "seen")
+    return counted.filter("sign != 0").groupBy("upload_fk", "item").agg(F.sum(F.col("seen") * F.col("sign")).alias("files"))
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:

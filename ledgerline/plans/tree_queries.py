@@ -40,7 +40,7 @@ def visible_children(spark, sf):
 
 @query("SELECT a AS item, CAST(count(*) AS BIGINT) AS files FROM (SELECT unnest(ids) a, item FROM m_walk WHERE mode & 805306368 = 0) WHERE a <> item GROUP BY a HAVING a % 4 <> 3")
 def subtree_counts(spark, sf):
-    tree = m.items(spark, sf)
+    tree = m.nested(spark, sf)
     return T.subtree_counts(tree, tree.filter("mode & 536870912 != 0")).select("item", "files").filter("files > 0")
 
 

@@ -10,17 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 _local: dict[str, str] = {}
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, which may use a folder of the machine."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of this run where it is unset, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not _one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         found = _local.setdefault(app, _local.get(app) or tempfile.mkdtemp(prefix="ledgerline-"))
     return found
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application, when its results have been used."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/core/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: cuts the lineage, and survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/core/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/core/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
