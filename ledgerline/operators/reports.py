@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +18,28 @@ from .decisions import DO_NOT_USE, IDENTIFIED, IRRELEVANT, NON_FUNCTIONAL
 def verification_codes(items: DataFrame, contents: DataFrame) -> DataFrame:
     """upload_fk and code: SHA1 of the joined, sorted, lower-case SHA1s of all files below the root.
 
-    The code is one hash over all files of an upload, so their hashes (40 bytes each) meet in one row for each
-    upload; nothing else does.
+    The code is one hash over all files of an upload, so one task reads an upload's hashes; it takes them in order
+    from the sort, one after the other, and holds none of them.
     """
-    rows = items.filter("parent is not null").join(contents, F.col("pfile_fk") == F.col("pfile_pk")).select("upload_fk", F.lower("sha1").alias("h"))
-    return rows.groupBy("upload_fk").agg(F.sha1(F.array_join(F.sort_array(F.collect_list("h")), "")).alias("code"))
+    rows = items.filter("parent is not null").join(contents, F.col("pfile_fk") == F.col("pfile_pk")).select(F.col("upload_fk").alias("upload"), F.lower("sha1").alias("h"))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upload, code = None, None
+        for rows in batches:
+            done = []
+            for key, part in rows.groupby("upload", sort=False, dropna=False):
+                if code is None or not (key == upload or key != key and upload != upload):
+                    if code is not None:
+                        done.append((upload, code.hexdigest()))
+                    upload, code = key, hashlib.sha1()
+                code.update("".join(part["h"]).encode())
+            yield pd.DataFrame(done, columns=["upload_fk", "code"])
+        if code is not None:
+            yield pd.DataFrame([(upload, code.hexdigest())], columns=["upload_fk", "code"])
+
+    kind = rows.schema["upload"].dataType.simpleString()
+    known = rows.filter("upload is not null and h is not null")
+    return known.repartition("upload").sortWithinPartitions("upload", "h").mapInPandas(stream, f"upload_fk {kind}, code string")
 
 
 def grouped_statements(rows: DataFrame) -> DataFrame:
@@ -46,10 +67,17 @@ def obligation_groups(used: DataFrame, obligations: DataFrame, bridge: DataFrame
     return rows.groupBy("topic", "text").agg(F.array_join(F.sort_array(F.collect_set("shortname")), ", ").alias("licenses"))
 
 
+def expression_files(rows: DataFrame) -> DataFrame:
+    """expression, path: one row for each file of files(item, path, shortname), with the expression of its licenses."""
+    return rows.groupBy("item", "path").agg(license_expression(F.collect_set("shortname")).alias("expression")).select("expression", "path")
+
+
 def licenses_with_files(rows: DataFrame) -> DataFrame:
-    """expression, files, n_files: files(item, path, shortname) grouped by the expression of their licenses."""
-    each = rows.groupBy("item", "path").agg(license_expression(F.collect_set("shortname")).alias("expression"))
-    return each.groupBy("expression").agg(F.array_join(F.sort_array(F.collect_list("path")), "\n").alias("files"), F.count("*").alias("n_files"))
+    """expression, files, n_files: the files of each expression as one text, as a report has them.
+
+    A text of all paths is as long as they are many; expression_files has a row for each.
+    """
+    return expression_files(rows).groupBy("expression").agg(F.array_join(F.sort_array(F.collect_list("path")), "\n").alias("files"), F.count("*").alias("n_files"))
 
 
 def files_with_licenses(items: DataFrame, scanned: DataFrame, concluded: DataFrame, copyrights: DataFrame, decisions: DataFrame) -> DataFrame:

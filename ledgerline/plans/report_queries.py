@@ -35,10 +35,9 @@ def report_grouping(spark, sf):
     return R.grouped_statements(_statements(spark, sf))
 
 
-@query(f"SELECT md5(content || '.' || text) AS group_key, content, acknowledgement, count(DISTINCT path) AS n FROM ({_STATEMENTS}) GROUP BY 1, 2, 3")
+@query(f"SELECT md5(content || '.' || text) AS group_key, content, acknowledgement, string_agg(path, ', ' ORDER BY length(path), path) AS files FROM (SELECT DISTINCT content, text, acknowledgement, path FROM ({_STATEMENTS})) GROUP BY 1, 2, 3")
 def acknowledgement_groups(spark, sf):
-    out = R.acknowledgement_groups(_statements(spark, sf))
-    return out.select("group_key", "content", "acknowledgement", F.size(F.split("files", ", ")).cast("long").alias("n"))
+    return R.acknowledgement_groups(_statements(spark, sf))
 
 
 @query("SELECT s_name AS topic, CAST(s_nationkey AS VARCHAR) AS text, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS licenses FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_name NOT IN ('Supplier#000000003') GROUP BY 1, 2")
@@ -49,6 +48,11 @@ def obligation_groups(spark, sf):
     return R.obligation_groups(used, obligations, bridge, ["Supplier#000000003"])
 
 
+@query("SELECT string_agg(DISTINCT l_returnflag, ' AND ' ORDER BY l_returnflag) AS expression, 'f' || l_orderkey AS path FROM lineitem GROUP BY l_orderkey")
+def expression_files(spark, sf):
+    return R.expression_files(m.table(spark, sf, "lineitem").selectExpr("l_orderkey item", "concat('f', l_orderkey) path", "l_returnflag shortname"))
+
+
 @query("SELECT expression, string_agg(path, chr(10) ORDER BY path) AS files, count(*) AS n_files FROM (SELECT 'f' || l_orderkey AS path, string_agg(DISTINCT l_returnflag, ' AND ' ORDER BY l_returnflag) AS expression FROM lineitem GROUP BY 1) GROUP BY 1")
 def licenses_with_files(spark, sf):
     return R.licenses_with_files(m.table(spark, sf, "lineitem").selectExpr("l_orderkey item", "concat('f', l_orderkey) path", "l_returnflag shortname"))

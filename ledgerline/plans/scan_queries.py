@@ -56,12 +56,10 @@ def clean_names(spark, sf):
 
 @query(f"SELECT p.shortname, count(*) AS files, count(DISTINCT md5(p.text)) AS contents FROM ({_PHRASES} UNION ALL SELECT doc_id, text, 'No_license_found', 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_RULES}))) p GROUP BY 1")
 def document_license_histogram(spark, sf):
-    """Documents, deduplicated by content, scanned with phrase rules, counted by license."""
-    contents, items = _contents(spark, sf)
-    first = contents.select(F.col("pfile_pk").alias("doc_id")).join(_docs(spark, sf), "doc_id")
-    found = S.phrase_rules(first, "doc_id", F.col("text")).withColumnRenamed("doc_id", "pfile_pk")
-    sized = contents.select("pfile_pk", "copies")
-    return found.join(sized, "pfile_pk").groupBy("shortname").agg(F.sum("copies").alias("files"), F.count("*").alias("contents"))
+    """Each license with the documents and the distinct contents it is in: texts are scanned where they are read, and only hashes meet."""
+    docs = _docs(spark, sf).filter("text is not null").withColumn("content", F.struct(F.sha1("text"), F.md5("text"), F.octet_length("text")))
+    found = S.phrase_rules(docs, "content", F.col("text")).groupBy("content", "shortname").agg(F.count("*").alias("copies"))
+    return found.groupBy("shortname").agg(F.sum("copies").alias("files"), F.count("*").alias("contents"))
 
 
 @query(f"SELECT doc_id, shortname, interest FROM ({_PHRASES}) UNION ALL SELECT doc_id, 'No_license_found', 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_RULES}))")

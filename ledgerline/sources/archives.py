@@ -200,9 +200,15 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", unpack: bool
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """files with text: content as UTF-8, by its byte-order mark as UTF-16, else as Latin-1 (I10); JVM only."""
-    content, head = F.col("content"), F.hex(F.substring("content", 1, 2))
+    """files with text (I10); JVM only.
+
+    The charset is guessed from the first bytes: byte-order marks of UTF-32 and UTF-16, every other byte zero for
+    UTF-16 without one; else UTF-8 if the whole content is valid, else Latin-1.
+    """
+    content, head = F.col("content"), F.hex(F.substring("content", 1, 32))
     latin = F.decode(content, "ISO-8859-1")
-    utf16 = F.when(head == "FFFE", F.decode(content, "UTF-16LE")).when(head == "FEFF", F.decode(content, "UTF-16BE"))
-    text = F.coalesce(utf16, F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")), latin)
-    return files.withColumn("text", F.regexp_replace(text, "^﻿", ""))
+    wide = F.when(head.rlike("^(FFFE0000|0000FEFF)"), F.decode(content, "UTF-32"))
+    wide = wide.when(head.startswith("FFFE"), F.decode(content, "UTF-16LE")).when(head.startswith("FEFF"), F.decode(content, "UTF-16BE"))
+    wide = wide.when(head.rlike("^([0-9A-F]{2}00){4,}$") & ~head.startswith("00"), F.decode(content, "UTF-16LE")).when(head.rlike("^(00[0-9A-F]{2}){4,}$") & ~head.rlike("^0000"), F.decode(content, "UTF-16BE"))
+    text = F.coalesce(wide, F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")), latin)
+    return files.withColumn("text", F.regexp_replace(text, "^\ufeff", ""))

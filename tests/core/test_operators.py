@@ -183,6 +183,14 @@ def test_cpio_lzma_zstd_and_rpm(spark):
     assert [(r.pfile_fk, r.package, r.version, r.license, r.requires, r.vendor) for r in rows] == [(1, "tool", "1.2", "MIT", ["libc", "sh"], None)]
 
 
+def test_charsets_and_types(spark):
+    texts = [("é".encode("latin-1"), "é"), ("é日".encode(), "é日"), ("\ufeffab".encode("utf-16-le"), "ab"), ("plain ascii text".encode("utf-16-be"), "plain ascii text"), ("\ufeffab".encode("utf-32-le"), "ab"), (b"", ""), (None, None)]
+    df = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(texts)], "id int, content binary, want string")
+    assert all(r.text == r.want for r in A.decoded(df).collect())
+    rows = spark.createDataFrame([("a.c", b"x"), ("a.svg", b"x"), ("a", b"\x89PNG\r\n\x1a\n"), ("b", b"none"), (None, None)], "name string, content binary")
+    assert [r.t for r in rows.select(G.mime_type(F.col("name"), F.col("content")).alias("t")).collect()] == ["text/x-csrc", "image/svg+xml", "image/png", G.DEFAULT_MIME, G.DEFAULT_MIME]
+
+
 def test_members_that_no_row_can_hold_stay_packed(spark, monkeypatch):
     monkeypatch.setattr(A, "LARGEST_ROW", 10)
     assert A.inflated(gzip.compress(b"x" * 10)) == b"x" * 10
