@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerline.operators.tree import nested_set
 from ledgerline.storage import settled
 
-_nested: dict[tuple[str, str], DataFrame] = {}
+_nested: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,9 +39,19 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def _state(spark: SparkSession, paths: list[str]) -> list[tuple[int, int]]:
+    """Size and time of the files of each path."""
+    found = []
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        found.append((files.getContentSummary(folder).getLength(), files.getFileStatus(folder).getModificationTime()))
+    return found
+
+
 def nested(spark: SparkSession, sf: str) -> DataFrame:
-    """items with lft and rgt, numbered once for each data folder, as an ingestion does."""
-    key = (spark.sparkContext.applicationId, sf)
+    """items with lft and rgt, numbered once for each state of a data folder, as an ingestion does."""
+    key = (spark.sparkContext.applicationId, sf, *_state(spark, [f"{sf}/{n}.parquet" for n in ("region", "nation", "customer", "orders")]))
     if key not in _nested:
         _nested[key] = settled(nested_set(items(spark, sf)), "nested")
     return _nested[key]

@@ -178,6 +178,36 @@ def token_full_matches(spark, sf):
     return P.token_matches(files, P.searched(_phrases(spark))).filter("full").select("pfile_fk", "rf_pk", "start", "end")
 
 
+_AT = "SELECT {k}, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT {k}, {tokens} AS w FROM {rows})"
+_FILE_AT, _PHRASE_AT = _AT.format(k="doc_id", tokens=_TOKENS.format(_LOW), rows="documents"), _AT.format(k="rf_pk", tokens=_TOKENS.format(_LOW), rows=_PHRASE_SQL)
+
+
+@query(f"""SELECT f.doc_id AS pfile_fk, p.rf_pk, CAST(f.i - 1 AS INTEGER) AS t, CAST(p.i - 1 AS INTEGER) AS s FROM ({_FILE_AT}) f JOIN ({_PHRASE_AT}) p
+    ON f.w[f.i] = p.w[p.i] AND f.w[f.i:f.i + 2] = p.w[p.i:p.i + 2] WHERE len(p.w) > 3 AND p.i <= 11 AND p.i + 2 <= len(p.w)
+    UNION ALL SELECT f.doc_id, p.rf_pk, CAST(f.i - 1 AS INTEGER), 0 FROM ({_FILE_AT}) f JOIN ({_PHRASE_AT}) p ON f.w[f.i] = p.w[1] AND f.w[f.i:f.i + len(p.w) - 1] = p.w WHERE len(p.w) <= 3 AND p.i = 1""")
+def phrase_candidates(spark, sf):
+    """Where a run of three tokens of a document is one at the first eleven positions of a phrase; short phrases whole."""
+    files = _docs(spark, sf).select(F.col("doc_id").alias("pfile_fk"), P.token_array(F.col("text")).alias("tokens"))
+    return P.candidates(files, P.searched(_phrases(spark)))
+
+
+@query(f"""SELECT pfile_fk, rf_pk, start, "end" FROM ({token_full_matches.sql}) b WHERE NOT EXISTS (SELECT 1 FROM ({token_full_matches.sql}) a WHERE a.pfile_fk = b.pfile_fk AND a.start <= b.start AND a."end" >= b."end"
+    AND (a.start < b.start OR a."end" > b."end" OR a.rf_pk < b.rf_pk))""")
+def surviving_full_matches(spark, sf):
+    """Full matches that no other one holds."""
+    files = _docs(spark, sf).select(F.col("doc_id").alias("pfile_fk"), P.token_array(F.col("text")).alias("tokens"))
+    found = P.token_matches(files, P.searched(_phrases(spark))).filter("full")
+    return P.surviving(found, spark.createDataFrame([], "big long, small long")).select("pfile_fk", "rf_pk", "start", "end")
+
+
+@query("SELECT doc_id, 'rights' AS type, unnest(regexp_extract_all(text, '(?i)(all|some)[\\t ]+rights[\\t ]+reserved')) AS content FROM documents")
+def configured_findings(spark, sf):
+    """A scanner from a configuration text in which values refer to earlier ones."""
+    config = S.parse_config("SPACES=[\\t ]+\nwho=(all|some)\nrights=__who____SPACES__rights\nrights=(?i)__rights____SPACES__reserved")
+    kind, group, pattern = S.described_scanner("rights@@0@@" + X.java_regex(config["rights"]))
+    return S.regex_findings(_docs(spark, sf), "doc_id", F.col("text"), pattern, kind, group)
+
+
 @query()
 def token_fingerprint_match(spark, sf):
     """License texts in documents, with differences, by the three-token index and the diff."""
