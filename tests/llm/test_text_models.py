@@ -357,6 +357,30 @@ def test_network_by_its_definition():
     assert np.mean((net(x) >= 0.5) == y) > 0.75
 
 
+def test_repeated_rows_and_thresholds(spark):
+    """Rows that repeat keep their number and score alike; a score at the threshold counts as above it."""
+    rng = random.Random(9)
+    rows = [(i, speech(rng, "aa", 30) + (" idiot" if i % 3 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame(rows + rows[:40] + [(3, "another text of one id")], "doc_id long, text string").withColumn("held_out", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] * 2, "doc_id long, toxic int")
+    chain = tx.train(docs, labels, ["toxic"], kinds=2)
+    out = tx.predict(docs, chain, ["a", "b", "toxic"]).collect()
+    assert len(out) == 131 and len({(r.doc_id, r.text, r.p_toxic) for r in out}) == 91
+    vectors = ql.word_vectors(docs)
+    scored = ql.score_quality(docs, ql.train(docs, labels.withColumnRenamed("toxic", "y"), F.lit(True), vectors), vectors).collect()
+    assert len(scored) == 131 and len({(r.doc_id, r.text, r.score) for r in scored}) == 91
+    ties = spark.createDataFrame([(ql.THRESHOLD,), (0.69,)], "score double").select((F.col("score") >= ql.THRESHOLD).cast("int").alias("p")).collect()
+    assert [r.p for r in ties] == [1, 0]
+
+
+def test_predictions_follow_scores(spark):
+    for query, threshold in ((ql.op2_quality_classifier, ql.THRESHOLD), (tx.op8_toxicity, tx.THRESHOLD)):
+        out = query(spark, SMALL).toPandas()
+        assert ((out.score >= threshold) == (out.predicted == 1)).all() and out.score.between(0, 1).all()
+        remainder, of = (2, 4) if query is ql.op2_quality_classifier else (3, 5)
+        assert all((zlib.crc32(str(i).encode()) % of == remainder) == h for i, h in zip(out.doc_id, out.held_out, strict=True))
+
+
 @pytest.mark.parametrize("query", [li.op1_language_id, ql.op2_quality_classifier, px.op4_quality_rules, tx.op8_toxicity])
 def test_queries_return_a_row_for_each_document(spark, query):
     out = query(spark, SMALL).toPandas()
