@@ -2,8 +2,8 @@
 
 Every word is two tokens: its lower-cased form, and its shape with a mark if it repeats the word before (runs of
 lower-case letters, upper-case letters or digits become one sign each; other signs stay). A token's index vector is sparse
-and random; its word vector is the sum of its neighbours' index vectors over all documents. Tokens share
-buckets by hash, so the vectors have a fixed size for any corpus.
+and random; its word vector is the sum of its neighbours' index vectors over all documents. Words that Spark counts
+often enough have a vector of their own, in an array sorted by hash; rarer ones and shapes share buckets by hash.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .store import broadcast_if_small, small_batches, table
+from .store import broadcast_if_small, forget, small_batches, table, written
 
-#: Buckets of words and of shapes, and the length of a vector.
+#: Words of at least this share of all words have vectors of their own: at most 100,000, in any corpus.
+LEAST_SHARE = 1e-5
+#: Buckets of rarer words and of shapes, and the length of a vector.
 WORD_BUCKETS, SHAPE_BUCKETS, DIMENSIONS = 8192, 2048, 32
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
 #: Neighbours on either side.
@@ -39,8 +41,56 @@ _SHAPE[48:58] = ord("0")
 _SHAPE[[9, 10, 11, 12, 13]] = 32
 
 
-def _tokens(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word and the shape bucket of every word, and each document's first word."""
+class Vocabulary:
+    """Hashes of the frequent words, ascending; a word's number is its place, or that of its bucket behind them."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+
+    def __len__(self) -> int:
+        return len(self.hashes) + BUCKETS
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        at = tv.in_sorted(words, self.hashes)
+        return np.where(at >= 0, at, len(self.hashes) + (words % np.uint64(WORD_BUCKETS)).astype(np.int64))
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two places and two signs of each number's index vector, from hashes."""
+        own = np.concatenate([self.hashes, np.arange(BUCKETS, dtype=np.uint64)])
+        mixed = tv.mix(tv.mix(own + np.uint64(0x9E3779B97F4A7C15)))
+        first = (mixed % np.uint64(DIMENSIONS)).astype(np.int64)
+        step = ((mixed >> np.uint64(8)) % np.uint64(DIMENSIONS - 1)).astype(np.int64) + 1
+        signs = np.stack([(mixed >> np.uint64(40)) & np.uint64(1), (mixed >> np.uint64(41)) & np.uint64(1)], 1)
+        return np.stack([first, (first + step) % DIMENSIONS], 1), signs.astype(float) * 2 - 1
+
+
+def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of a task with their counts, handed on whenever they are many."""
+    hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
+    for batch in batches:
+        for texts in tv.chunks(batch.column(0)):
+            own, n = np.unique(tv.word_hashes(texts, lower=True)[0], return_counts=True)
+            hashes, back = np.unique(np.concatenate([hashes, own]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(hashes)).astype(np.int64)
+            if len(hashes) > 1 << 20:
+                yield out()
+                hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    yield out()
+
+
+def vocabulary(docs: DataFrame, least_share: float = LEAST_SHARE) -> Vocabulary:
+    """The words of at least that share of all words of the column text of docs; 1 / least_share of them at most reach the driver."""
+    small_batches(docs.sparkSession)
+    counts = written(docs.select("text").mapInArrow(_word_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    own = counts.filter(F.col("n") >= F.lit(least_share * total)).select("word").toPandas()
+    forget(counts)
+    return Vocabulary(own["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def _tokens(texts: tv.Texts, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of every word and of its shape, and each document's first word."""
     low = tv.Texts(tv.LOWER[texts.data], texts.offsets, texts.first_row)
     starts, ends, firsts = tv.word_bounds(low)
     words = tv.span_hash(tv.prefix_hash(low.data), starts, ends)
@@ -54,53 +104,62 @@ def _tokens(texts: tv.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[1:] = words[1:] == words[:-1]
     again[firsts[:-1][firsts[:-1] < len(again)]] = 0
     shapes = tv.mix(shapes * np.uint64(2) + again)
-    return (words % np.uint64(WORD_BUCKETS)).astype(np.int64), (shapes % np.uint64(SHAPE_BUCKETS)).astype(np.int64) + WORD_BUCKETS, firsts
+    return known.numbers(words), (shapes % np.uint64(SHAPE_BUCKETS)).astype(np.int64) + len(known.hashes) + WORD_BUCKETS, firsts
+
 
+def _indexer(held):
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        places, signs = known.index()
+        total = np.zeros(len(known) * DIMENSIONS)
+        for batch in batches:
+            for texts in tv.chunks(batch.column(0), 4 << 20):
+                *streams, firsts = _tokens(texts, known)
+                doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
+                for stream in streams:
+                    for step in range(1, WINDOW + 1):
+                        near = np.flatnonzero(doc[step:] == doc[:-step])
+                        for own, other in ((stream[near], stream[near + step]), (stream[near + step], stream[near])):
+                            for j in range(2):
+                                total += np.bincount(own * DIMENSIONS + places[other, j], signs[other, j], len(total))
+        rows = total.reshape(-1, DIMENSIONS)
+        used = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(rows[used, j].astype(np.int64)) for j in range(DIMENSIONS)]], ["bucket", *[f"c{j}" for j in range(DIMENSIONS)]])
 
-_PLACES = np.stack([np.random.default_rng(31).permutation(DIMENSIONS)[:2] for _ in range(BUCKETS)])
-_SIGNS = np.random.default_rng(32).choice([-1.0, 1.0], (BUCKETS, 2))
+    return index
 
 
-def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS * DIMENSIONS)
-    for batch in batches:
-        for texts in tv.chunks(batch.column(0)):
-            *streams, firsts = _tokens(texts)
-            doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
-            for stream in streams:
-                for step in range(1, WINDOW + 1):
-                    near = np.flatnonzero(doc[step:] == doc[:-step])
-                    for own, other in ((stream[near], stream[near + step]), (stream[near + step], stream[near])):
-                        for j in range(2):
-                            total += np.bincount(own * DIMENSIONS + _PLACES[other, j], _SIGNS[other, j], len(total))
-    rows = total.reshape(BUCKETS, DIMENSIONS)
-    used = np.flatnonzero(rows.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(rows[used, j].astype(np.int64)) for j in range(DIMENSIONS)]], ["bucket", *[f"c{j}" for j in range(DIMENSIONS)]])
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit word vectors of all buckets, from the whole column text of docs.
-
-    Tasks add up their documents before the shuffle; BUCKETS * DIMENSIONS sums reach the driver.
+class Vectors:
+    """A vocabulary and the unit vectors of its numbers."""
+
+    def __init__(self, known: Vocabulary, values: np.ndarray):
+        self.known, self.values = known, values
+
+
+def word_vectors(docs: DataFrame, least_share: float = LEAST_SHARE) -> Vectors:
+    """Unit word vectors of all numbers of the vocabulary, from the whole column text of docs.
+
+    Tasks add up their documents before the shuffle; DIMENSIONS sums for each number reach the driver.
     """
-    small_batches(docs.sparkSession)
+    known = vocabulary(docs, least_share)
     columns = [f"c{j}" for j in range(DIMENSIONS)]
-    sums = docs.select("text").mapInArrow(_indexer, "bucket int, " + ", ".join(f"{c} long" for c in columns)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    out = np.zeros((BUCKETS, DIMENSIONS))
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    sums = docs.select("text").mapInArrow(_indexer(held), "bucket int, " + ", ".join(f"{c} long" for c in columns)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    out = np.zeros((len(known), DIMENSIONS))
     out[sums["bucket"]] = sums[columns]
-    return (out / np.maximum(1, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float32)
+    return Vectors(known, (out / np.maximum(1, np.linalg.norm(out, axis=1, keepdims=True))).astype(np.float32))
 
 
-def _pool(texts: tv.Texts, vectors: np.ndarray) -> np.ndarray:
+def _pool(texts: tv.Texts, vectors: Vectors) -> np.ndarray:
     """A document's features: the mean vector of its words and of its shapes, their lengths, its word count."""
-    *streams, firsts = _tokens(texts)
+    *streams, firsts = _tokens(texts, vectors.known)
     n = np.diff(firsts)
     parts = []
     for stream in streams:
-        sums = np.zeros((len(texts), vectors.shape[1]))
+        sums = np.zeros((len(texts), DIMENSIONS))
         if len(stream):
             full = n > 0
-            sums[full] = np.add.reduceat(vectors[stream], firsts[:-1][full], axis=0)
+            sums[full] = np.add.reduceat(vectors.values[stream], firsts[:-1][full], axis=0)
         mean = sums / np.maximum(1, n)[:, None]
         parts += [mean, np.linalg.norm(mean, axis=1, keepdims=True)]
     return np.concatenate([*parts, np.log1p(n)[:, None]], 1)
@@ -146,8 +205,9 @@ class Network:
         return 1 / (1 + np.exp(-self._logits(x) / self.temperature))
 
 
-def _feature_maker(vectors: np.ndarray):
+def _feature_maker(held):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = held.value
         for batch in batches:
             x = [_pool(texts, vectors) for texts in tv.chunks(batch.column(2))]
             rows = np.concatenate(x) if x else np.zeros((0, 1))
@@ -156,7 +216,7 @@ def _feature_maker(vectors: np.ndarray):
     return make
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, vectors: np.ndarray, rows: int = TRAIN_ROWS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, vectors: Vectors, rows: int = TRAIN_ROWS) -> Network:
     """Fits the network. docs: doc_id, text; labels: doc_id, y (0 or 1, nulls left out).
 
     Of the labels where ``allowed`` holds, one of each doc_id (the greater), about ``rows`` are used, those of least hash of the doc_id; the
@@ -167,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, vectors: np.ndarr
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = own.filter(place < F.lit(1_000_000 * min(1.0, rows / max(1, total)))).select("doc_id", F.col("y").cast("double"))
     chosen = docs.select("doc_id", "text").join(broadcast_if_small(sample, 2 * rows), "doc_id").select(F.xxhash64("doc_id").alias("place"), "y", "text")
-    got = chosen.mapInArrow(_feature_maker(vectors), "place long, y double, x array<double>").toPandas().sort_values(["place", "y"], kind="stable")
+    got = chosen.mapInArrow(_feature_maker(docs.sparkSession.sparkContext.broadcast(vectors)), "place long, y double, x array<double>").toPandas().sort_values(["place", "y"], kind="stable")
     width = 2 * DIMENSIONS + 3
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, width))
     if not len(got):
@@ -179,16 +239,18 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, vectors: np.ndarr
     return Network(x[order], got["y"].to_numpy()[order])
 
 
-def _scorer(network: Network, vectors: np.ndarray, text_at: int):
+def _scorer(network: Network, held, text_at: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = held.value
         for batch in batches:
-            p = [network(_pool(texts, vectors)) for texts in tv.chunks(batch.column(text_at))]
+            # Six digits: what lies behind them depends on how rows are batched.
+            p = [np.round(network(_pool(texts, vectors)), 6) for texts in tv.chunks(batch.column(text_at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(p) if p else np.zeros(0))], [*batch.schema.names, "score"])
 
     return score
 
 
-def score_quality(docs: DataFrame, network: Network, vectors: np.ndarray) -> DataFrame:
+def score_quality(docs: DataFrame, network: Network, vectors: Vectors) -> DataFrame:
     """docs (text and more) with score, the calibrated probability of label 1, for every whole text.
 
     Null and empty texts get the score of a document without words. Every row stays as often as it is there; a column
@@ -197,7 +259,7 @@ def score_quality(docs: DataFrame, network: Network, vectors: np.ndarray) -> Dat
     small_batches(docs.sparkSession)
     rows = docs.drop("score")
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(network, vectors, rows.columns.index("text")), schema)
+    return rows.mapInArrow(_scorer(network, docs.sparkSession.sparkContext.broadcast(vectors), rows.columns.index("text")), schema)
 
 
 def is_held_out() -> Column:

@@ -228,7 +228,7 @@ def test_quality_learns_what_labels_mark(spark):
         labels.append((i, None if i % 50 == 0 else 0 if bad else 1))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, y int")
     vectors = ql.word_vectors(docs)
-    assert (vectors == ql.word_vectors(docs.repartition(5))).all()
+    assert (vectors.values == ql.word_vectors(docs.repartition(5)).values).all()
     network = ql.train(docs, marks, ~ql.is_held_out(), vectors)
     scores = {r.doc_id: r.score for r in ql.score_quality(docs.withColumn("score", F.lit(1)), network, vectors).collect()}
     held = [(scores[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2 and y is not None]
@@ -322,24 +322,30 @@ def test_kinds_come_from_shared_rows():
 def test_word_vectors_by_their_definition(spark):
     """A token's vector is the sum of the index vectors of its neighbours, two on either side, over all documents."""
     texts = ["A bb ccc dd bb", "ccc a", None, "", "one", "bb bb Bb 12,5 x"]
-    want = np.zeros((ql.BUCKETS, ql.DIMENSIONS))
-    index = np.zeros((ql.BUCKETS, ql.DIMENSIONS))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known = ql.vocabulary(docs, least_share=2 / 13)  # words that occur twice or more: a, bb, ccc
+    assert len(known.hashes) == 3 and list(known.hashes) == sorted(known.hashes)
+    places, signs = known.index()
+    assert (places[:, 0] != places[:, 1]).all() and set(signs.ravel()) == {-1.0, 1.0}
+    index = np.zeros((len(known), ql.DIMENSIONS))
     for j in range(2):
-        index[np.arange(ql.BUCKETS), ql._PLACES[:, j]] += ql._SIGNS[:, j]
+        index[np.arange(len(known)), places[:, j]] += signs[:, j]
+    want = np.zeros_like(index)
     for t in texts:
-        *streams, _ = ql._tokens(next(tv.chunks(pa.array([t], pa.string()))))
+        *streams, _ = ql._tokens(next(tv.chunks(pa.array([t], pa.string()))), known)
         for s in streams:
             for i in range(len(s)):
                 for j in range(max(0, i - 2), min(len(s), i + 3)):
                     if i != j:
                         want[s[i]] += index[s[j]]
     want /= np.maximum(1, np.linalg.norm(want, axis=1, keepdims=True))
-    got = ql.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    np.testing.assert_allclose(got, want, atol=1e-6)
+    got = ql.word_vectors(docs, least_share=2 / 13)
+    np.testing.assert_allclose(got.values, want, atol=1e-6)
+    words, shapes, firsts = ql._tokens(next(tv.chunks(pa.array(texts))), known)
+    assert words[0] == words[6] < 3 and words[7] >= 3 and words[1] == words[4] == words[8] < 3
     pooled = ql._pool(next(tv.chunks(pa.array(texts))), got)
-    words, shapes, firsts = ql._tokens(next(tv.chunks(pa.array(texts))))
     for d in range(len(texts)):
-        own = [got[s[firsts[d] : firsts[d + 1]]].mean(0) if firsts[d + 1] > firsts[d] else np.zeros(ql.DIMENSIONS) for s in (words, shapes)]
+        own = [got.values[s[firsts[d] : firsts[d + 1]]].mean(0) if firsts[d + 1] > firsts[d] else np.zeros(ql.DIMENSIONS) for s in (words, shapes)]
         np.testing.assert_allclose(pooled[d], [*own[0], np.linalg.norm(own[0]), *own[1], np.linalg.norm(own[1]), np.log1p(firsts[d + 1] - firsts[d])], atol=1e-6)
 
 
