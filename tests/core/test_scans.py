@@ -77,7 +77,7 @@ def test_statements(spark):
 def test_tagged_statements(spark):
     lines = ["// SPDX-FileCopyrightText: 2026 Institut für Technik", "// SPDX-FileCopyrightText: 2026 Me"]
     assert found_in(spark, "\n".join(lines)) == [[(x[3:], True) for x in lines]]
-    quoted = ['"2026 Fraunhofer für A",', '"2026 Hilscher mbH",', '"2026 Siemens AG",']
+    quoted = ['"2026 Institut für A",', '"2026 Company mbH",', '"2026 Other AG",']
     listed = "x\nSPDX-FileCopyrightText = [\n" + "\n".join(quoted) + "\n]\nCopyright 2021 Google LLC\n"
     assert found_in(spark, listed) == [[("SPDX-FileCopyrightText = [", False), *[(q, True) for q in quoted], ("Copyright 2021 Google LLC", True)]]
     (got,) = found_in(spark, 'SPDX-FileCopyrightText = [\n"2026 Company A",\nCopyright 2021 Google LLC\n')
