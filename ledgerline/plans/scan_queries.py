@@ -101,9 +101,11 @@ def contact_findings(spark, sf):
     return S.contact_findings(_docs(spark, sf), "doc_id", F.col("text"), ("url", "email", "author", "ecc", "ipra"))
 
 
-@query()
+@query("""SELECT fk, 'statement' AS type, content || '.' AS content, md5(content || '.') AS hash, 3 AS start, CAST(4 + length(content) AS INTEGER) AS "end", TRUE AS is_enabled FROM m_texts""")
 def copyright_statements(spark, sf):
-    return C.copyright_findings(m.texts(spark, sf).select("fk", F.col("content").alias("text")), "fk")
+    """Statements in comments, before a reservation of rights and a line that uses the word otherwise."""
+    text = F.concat(F.lit("/* "), "content", F.lit(". All rights reserved. */\nThe copyright holders are not liable for them.\n"))
+    return C.copyright_findings(m.texts(spark, sf).select("fk", text.alias("text")), "fk")
 
 
 _LISTS = f"(SELECT pfile_fk, unnest(regexp_extract_all(text, '{S.TAG_LIST}', 1)) AS list FROM m_tagged)"
