@@ -24,6 +24,8 @@ ORDER = 5
 BAND = 3.0
 #: A model up to this size is broadcast, as arrays; a larger one is joined, with the same result.
 MODEL_BYTES = 128 << 20
+#: A run that most documents hold is dealt over so many parts in that join.
+PARTS = 16
 #: Different runs that a task holds before it hands them on.
 RUNS_AT_ONCE = 1 << 19
 #: Runs in one array of the stored model.
@@ -271,8 +273,8 @@ def with_perplexity(docs: DataFrame, model: DataFrame, model_bytes: int = MODEL_
         return docs.mapInArrow(_scorer(held, docs.columns.index("text"), docs.columns.index("lang")), schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("lang", "text").alias("_row"), "text", "lang")
     runs = rows.dropDuplicates(["_id", "_row"]).mapInArrow(_emitter(2, 3), "_id long, _row long, of long, hash long, n long")
-    logs = model.select("hash", F.log("p").cast("float").alias("log"))
-    sums = runs.join(logs, "hash").groupBy("_id", "_row", "of").agg(F.sum(F.col("n") * F.col("log")).alias("sum"))
+    logs = model.select("hash", F.log("p").cast("float").alias("log"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    sums = runs.withColumn("part", F.pmod(F.col("_row"), F.lit(PARTS)).cast("int")).join(logs, ["hash", "part"]).groupBy("_id", "_row", "of").agg(F.sum(F.col("n") * F.col("log")).alias("sum"))
     out = docs.join(sums, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("lang", "text") == F.col("_row")))
     return out.withColumn("log_perplexity", -F.col("sum") / F.col("of")).select(*docs.columns, "log_perplexity")
 
