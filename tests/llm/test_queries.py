@@ -26,7 +26,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     cur = con.execute(registry.ORACLE_SQL[name])
     columns = sorted(c[0] for c in cur.description)
