@@ -56,11 +56,6 @@ _FOUND = "SELECT DISTINCT i.item, f.rf_fk % 100 AS rf_fk FROM m_files i JOIN m_f
 _CLEARINGS = f"SELECT coalesce(e.item, f.item) AS item, coalesce(e.rf_fk, f.rf_fk) AS rf_fk, coalesce(e.removed, FALSE) AS removed, e.item IS NOT NULL AS by_event, f.item IS NOT NULL AS by_scanner FROM ({_EFFECTIVE}) e FULL JOIN ({_FOUND}) f ON e.item = f.item AND e.rf_fk = f.rf_fk"
 
 
-# The same over all files. The queries named after a cut have their SQL as it was; whole_ ones have no cut.
-_FOUND = _FOUND.removesuffix("")
-_CLEARINGS = _CLEARINGS.replace(_FOUND, _FOUND)
-
-
 def _found(spark, sf):
     files = m.items(spark, sf).filter("mode & 805306368 = 0")
     return files.join(m.findings(spark, sf), "pfile_fk").filter("rf_fk is not null").selectExpr("item", "rf_fk % 100 rf_fk").distinct()
@@ -153,23 +148,27 @@ def scanners_agree(spark, sf):
     return D.scanners_agree(m.matches(spark, sf), ("keyword", "phrase", "tag"))
 
 
-_CASCADE = f"""WITH last AS (SELECT item, arg_max(decision_type, decision_pk) AS t, list(DISTINCT decision_pk % 4) AS known FROM m_decisions WHERE item % 8 = 3 GROUP BY 1),
-    ev AS (SELECT item, arg_min(event_type, event_pk) AS kind, arg_min(rf_fk, event_pk) % 4 AS license, arg_min(removed, event_pk) AS removed FROM m_events WHERE item % 8 = 7 GROUP BY 1),
-    news AS (SELECT DISTINCT mm.item FROM m_matches mm JOIN last ON mm.item = last.item WHERE t <> 4 AND NOT list_contains(known, license)),
-    phrase AS (SELECT item FROM ev WHERE kind = 1 AND NOT EXISTS (SELECT 1 FROM m_matches mm WHERE mm.item = ev.item AND (mm.license <> ev.license OR ev.removed))),
-    bare AS (SELECT item FROM m_files WHERE item NOT IN (SELECT item FROM last) AND item NOT IN (SELECT item FROM ev)),
-    kind AS (SELECT item FROM m_matches GROUP BY item HAVING bool_and(license IN (1, 2)))
-    SELECT item, rule FROM (SELECT item, CASE WHEN item IN (FROM news) THEN 'update' WHEN item IN (FROM phrase) THEN 'phrase events' WHEN item NOT IN (FROM bare) THEN NULL
-        WHEN item IN ({_COVERED}) THEN 'tag' WHEN item IN ({_INSIDE}) THEN 'keyword in phrase' WHEN item IN (FROM kind) THEN 'license type' END AS rule FROM m_files) WHERE rule IS NOT NULL"""
+_COVERED_BY = """SELECT item FROM (SELECT item, license, count(*) FILTER (scanner = '{0}') > 0 AND count(*) FILTER (scanner = 'keyword' AND rf_fk NOT IN (SELECT x.rf_fk FROM m_scans x WHERE x.item = m.item AND x.license = m.license AND x.scanner = '{0}')) = 0 AS ok
+    FROM m_scans m GROUP BY 1, 2) GROUP BY 1 HAVING bool_and(ok)"""
+_CASCADE = f"""WITH last AS (SELECT item, arg_max(decision_type, decision_pk) AS t, [max(decision_pk) % 2] AS known FROM m_decisions GROUP BY 1),
+    ev AS (SELECT item, event_type, rf_fk FROM m_order_events),
+    news AS (SELECT DISTINCT s.item FROM m_scans s JOIN last ON s.item = last.item WHERE t <> 4 AND NOT list_contains(known, license)),
+    phrase AS (SELECT item FROM ev WHERE event_type = 1 AND NOT EXISTS (SELECT 1 FROM m_scans s WHERE s.item = ev.item AND s.license <> ev.rf_fk)),
+    agreed AS (SELECT item FROM (SELECT item, license, rf_fk, count(DISTINCT scanner) FILTER (scanner IN ('keyword', 'phrase', 'sentence')) AS n, bool_and(scanner IN ('tag', 'sidecar')) AS other FROM m_scans GROUP BY 1, 2, 3)
+               GROUP BY item HAVING min(CASE WHEN other THEN 3 ELSE n END) = 3 AND count(DISTINCT license) = count(DISTINCT license) FILTER (NOT other)),
+    kind AS (SELECT item FROM m_scans GROUP BY item HAVING bool_and(license = 1))
+    SELECT item, rule FROM (SELECT item, CASE WHEN item IN (SELECT item FROM last) THEN CASE WHEN item IN (FROM news) THEN 'update' END WHEN item IN (SELECT item FROM ev) THEN CASE WHEN item IN (FROM phrase) THEN 'phrase events' END
+        WHEN item IN ({_COVERED_BY.format("tag")}) THEN 'tag' WHEN item IN ({_COVERED_BY.format("sidecar")}) THEN 'sidecar' WHEN item IN ({_INSIDE.replace("m_matches", "m_scans")}) THEN 'keyword in phrase'
+        WHEN item IN (FROM agreed) THEN 'agreement' WHEN item IN (FROM kind) THEN 'license type' END AS rule FROM m_files) WHERE rule IS NOT NULL"""
 
 
 @query(_CASCADE)
 def decision_cascade(spark, sf):
-    """All rules: items of even users have decisions, those of odd users one event, the rest neither."""
-    last = m.decisions(spark, sf).filter("item % 8 = 3").groupBy("item").agg(F.max_by("decision_type", "decision_pk").alias("decision_type"), F.collect_set(F.col("decision_pk") % 4).alias("licenses"))
-    first = m.events(spark, sf).filter("item % 8 = 7").groupBy("item").agg(F.min_by(F.struct("event_pk", F.expr("rf_fk % 4 as rf_fk"), "removed", "event_type", "ts"), "event_pk").alias("e")).select("item", "e.*")
+    """All rules over all files: users' items have decisions, urgent orders an event each, the rest neither."""
+    last = m.decisions(spark, sf).groupBy("item").agg(F.max_by("decision_type", "decision_pk").alias("decision_type"), F.array(F.max("decision_pk") % 2).alias("licenses"))
     files = m.items(spark, sf).filter("mode & 805306368 = 0")
-    return D.auto_decisions(files, m.matches(spark, sf), first, last, _types(spark, sf), phrase_type=1)
+    types = m.licenses(spark, sf).selectExpr("rf_pk % 2 rf_pk", "if(rf_pk % 2 = 1, 'Permissive', 'Other') license_type").distinct()
+    return D.auto_decisions(files, m.scans(spark, sf), m.order_events(spark, sf), last, types, phrase_type=1)
 
 
 @query("SELECT item FROM (SELECT item, arg_min(event_type, event_pk) AS kind, arg_min(rf_fk, event_pk) % 4 AS license, arg_min(removed, event_pk) AS removed FROM m_events GROUP BY 1) ev WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM m_matches mm WHERE mm.item = ev.item AND (mm.license <> ev.license OR ev.removed))")
@@ -193,6 +192,18 @@ def reuse_by_content(spark, sf):
     return R.reused_by_content(m.items(spark, sf), cleared, d)
 
 
+@query()
+def reuse_by_name(spark, sf):
+    """Documents of a new upload, each with some lines put before it, and the decisions on their namesakes of the old one; every name is that of three."""
+    docs = m.table(spark, sf, "documents").selectExpr("doc_id", "concat('file-', doc_id div 3) name", "text")
+    old = docs.selectExpr("-doc_id - 1 item", "name", "2 * doc_id pfile_fk")
+    new = docs.selectExpr("doc_id item", "name", "2 * doc_id + 1 pfile_fk")
+    contents = docs.selectExpr("2 * doc_id pfile_fk", "text").unionByName(docs.selectExpr("2 * doc_id + 1 pfile_fk", "concat(repeat('A line.\\n', cast(doc_id % 7 as int)), text) text"))
+    decisions = docs.selectExpr("doc_id decision_pk", "2 * doc_id pfile_fk", "if(doc_id % 2 = 0, 5, 6) decision_type")
+    cleared = m.table(spark, sf, "labels").filter("toxic = 1").selectExpr("doc_id item")
+    return R.reused_by_name(new, old, cleared, decisions, contents)
+
+
 _SIDES = """WITH own AS (SELECT upload_fk, item, parent, pfile_fk, name FROM m_items WHERE mode & 536870912 = 0 UNION ALL
     SELECT upload_fk, -item, parent, -pfile_fk, replace(name, '.license', '') FROM m_items WHERE mode & 536870912 = 0 AND name LIKE '%.license' AND item % 3 = 0)"""
 

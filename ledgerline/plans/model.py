@@ -104,6 +104,19 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
+def scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of five scanners, for two licenses."""
+    return table(spark, sf, "lineitem").selectExpr(
+        "4 * l_orderkey + 3 item", "l_partkey % 2 license", "element_at(array('keyword', 'phrase', 'tag', 'sidecar', 'sentence'), cast(l_suppkey % 5 + 1 as int)) scanner", "l_partkey % 2 rf_fk",
+        "cast(l_quantity as int) region_start", "cast(l_quantity as int) + if(l_suppkey % 5 = 1, 30, 3) region_end",
+    ).distinct()
+
+
+def order_events(spark: SparkSession, sf: str) -> DataFrame:
+    """One event for each urgent order."""
+    return table(spark, sf, "orders").filter("o_orderpriority like '1%'").selectExpr("o_orderkey event_pk", "4 * o_orderkey + 3 item", "o_custkey % 2 rf_fk", "false removed", "if(o_orderstatus = 'O', 2, 1) event_type", "o_orderdate ts")
+
+
 def fileset(spark: SparkSession, sf: str) -> DataFrame:
     """item, name and the array of license types of each plain file."""
     f = findings(spark, sf).join(licenses(spark, sf), F.col("rf_fk") == F.col("rf_pk")).groupBy("pfile_fk").agg(F.sort_array(F.collect_set("license_type")).alias("licenses"))

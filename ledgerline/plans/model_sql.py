@@ -36,6 +36,10 @@ TABLES = {
     "m_matches": """
         SELECT DISTINCT 4 * l_orderkey + 3 AS item, l_partkey % 4 AS license, CASE l_suppkey % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'phrase' ELSE 'tag' END AS scanner, l_partkey % 4 AS rf_fk,
             CAST(l_quantity AS INTEGER) AS region_start, CAST(l_quantity AS INTEGER) + CASE WHEN l_suppkey % 3 = 1 THEN 30 ELSE 3 END AS region_end FROM lineitem""",
+    "m_scans": """
+        SELECT DISTINCT 4 * l_orderkey + 3 AS item, l_partkey % 2 AS license, (['keyword', 'phrase', 'tag', 'sidecar', 'sentence'])[(l_suppkey % 5 + 1)::INT] AS scanner, l_partkey % 2 AS rf_fk,
+            CAST(l_quantity AS INTEGER) AS region_start, CAST(l_quantity AS INTEGER) + CASE WHEN l_suppkey % 5 = 1 THEN 30 ELSE 3 END AS region_end FROM lineitem""",
+    "m_order_events": "SELECT o_orderkey AS event_pk, 4 * o_orderkey + 3 AS item, o_custkey % 2 AS rf_fk, CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS event_type FROM orders WHERE o_orderpriority LIKE '1%'",
     "m_fileset": "SELECT i.item, i.name, list_sort(list(DISTINCT l.license_type) FILTER (l.license_type IS NOT NULL)) AS licenses FROM m_files i LEFT JOIN m_findings f ON i.pfile_fk = f.pfile_fk LEFT JOIN m_licenses l ON f.rf_fk = l.rf_pk GROUP BY i.item, i.name",
     "m_contents": "SELECT sha1(text) AS sha1, md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS size, min(doc_id) AS pfile_pk, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1, 2, 3",
 }
