@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tree import held_pairs
+
 # Types of decisions.
 WIP, TO_BE_DISCUSSED, IRRELEVANT, IDENTIFIED, DO_NOT_USE, NON_FUNCTIONAL = 0, 3, 4, 5, 6, 7
 # Scopes.
@@ -126,8 +128,9 @@ def marked_directory(items: DataFrame, decided: DataFrame, decision_type: int) -
 
 def bulk_history(bulks: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
     """bulk_pk, item, tried, matched for items in a bulk's subtree or with one of its matches (C20)."""
-    spans = bulks.select("bulk_pk", F.col("upload_fk").alias("_u"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
-    tried = items.join(spans, (F.col("upload_fk") == F.col("_u")) & F.col("lft").between(F.col("_l"), F.col("_r"))).select("bulk_pk", "item", F.lit(True).alias("tried"))
+    spans = bulks.select("upload_fk", F.col("bulk_pk").alias("span"), "lft", "rgt")
+    tried = held_pairs(items.select("upload_fk", F.col("item").alias("point"), F.col("lft").alias("at")), spans, "upload_fk")
+    tried = tried.select(F.col("span").alias("bulk_pk"), F.col("point").alias("item"), F.lit(True).alias("tried"))
     hit = matches.select("bulk_pk", "item").distinct().withColumn("matched", F.lit(True))
     return tried.join(hit, ["bulk_pk", "item"], "full").select("bulk_pk", "item", F.coalesce("tried", F.lit(False)).alias("tried"), F.coalesce("matched", F.lit(False)).alias("matched"))
 
@@ -212,29 +215,46 @@ def cascade(items: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:
     return items.select("item").join(first, "item").select("item", F.element_at(F.array(*[F.lit(n) for n in rules]), F.col("_n") + 1).alias("rule"))
 
 
-def auto_decisions(items: DataFrame, matches: DataFrame, events: DataFrame, decisions: DataFrame, licenses: DataFrame, phrase_type: int = 6, wanted_type: str = "Permissive", conflicting: DataFrame | None = None) -> DataFrame:
+def auto_decisions(
+    items: DataFrame, matches: DataFrame, events: DataFrame, decisions: DataFrame, licenses: DataFrame, phrase_type: int = 6, wanted_type: str = "Permissive", conflicting: DataFrame | None = None,
+    scanners: tuple[str, ...] = ("keyword", "phrase", "sentence"),
+) -> DataFrame:
     """The whole cascade: item and rule.
 
     Irrelevant items are skipped. Items with a decision are marked as work in progress where a license was found
     that the decision lacks (decisions: item, decision_type, licenses). Items with events are decided by the
     phrase rule only; the others by the first rule that fits.
+
+    Matches are grouped once by item and license, which tells what each rule says of a license, and once by item, which
+    tells whether it says so of all of them; the rules are then one expression. Only the containment of keywords in
+    phrases needs a join of its own, of items where each license has both. The same rows as cascade() over
+    the rules one by one.
     """
-    last = decisions.select("item", "decision_type", "licenses")
-    news = matches.select("item", "license").distinct().join(last.filter(F.col("decision_type") != IRRELEVANT), "item").filter(~F.array_contains("licenses", F.col("license"))).select("item")
-    free = items.select("item").join(last.select("item"), "item", "left_anti")
-    with_events = free.join(events.select("item"), "item", "left_semi")
-    bare = free.join(events.select("item"), "item", "left_anti")
-    own = matches.join(bare, "item", "left_semi")
-    rules = {
-        "update": news,
-        "phrase events": phrases_cover_all(matches.join(with_events, "item", "left_semi"), events, phrase_type).join(with_events, "item", "left_semi"),
-        "tag": tag_without_contradiction(own),
-        "sidecar": sidecar_without_contradiction(own),
-        "keyword in phrase": keyword_inside_phrase(own),
-        "agreement": scanners_agree(own),
-        "license type": one_license_type(own, licenses, wanted_type, conflicting),
-    }
-    return cascade(items, rules)
+    typed = matches.join(licenses.select(F.col("rf_pk").alias("license"), "license_type"), "license", "left")
+    by = lambda *names: F.collect_set(F.when(F.col("scanner").isin(*names), F.col("rf_fk")))
+    each = {s: by(s) for s in dict.fromkeys((*scanners, "tag", "sidecar", "keyword"))}
+    has = lambda name: F.bool_or(F.col("scanner") == name).alias(f"has_{name}")
+    per = typed.groupBy("item", "license").agg(F.bool_or(F.col("license_type").eqNullSafe(wanted_type)).alias("wanted"), has("keyword"), has("phrase"), by(*scanners).alias("by_any"), *[c.alias(f"by_{s}") for s, c in each.items()])
+    covers = lambda s: (F.size(f"by_{s}") > 0) & (F.size(F.array_except("by_keyword", f"by_{s}")) == 0)
+    agree = reduce(lambda a, c: a & c, [F.size(f"by_{s}") == F.size("by_any") for s in scanners]) & (F.size("by_any") > 0)
+    rules = {"tag": covers("tag"), "sidecar": covers("sidecar"), "twice": F.col("has_keyword") & F.col("has_phrase"), "agree": agree, "wanted": F.col("wanted")}
+    found = per.groupBy("item").agg(F.collect_set("license").alias("_licenses"), *[F.bool_and(c).alias(f"_{n}") for n, c in rules.items()])
+    last = decisions.select("item", "decision_type", F.col("licenses").alias("_known"))
+    named = effective_events(events).groupBy("item").agg(F.collect_set(F.when(~F.col("removed"), F.col("rf_fk"))).alias("_named"))
+    kinds = events.groupBy("item").agg(F.bool_and(F.col("event_type") == phrase_type).alias("_phrases"))
+    rows = items.select("item").join(last, "item", "left").join(found, "item", "left").join(kinds.join(named, "item"), "item", "left")
+    twice = matches.join(found.filter("_twice").select("item"), "item", "left_semi")
+    rows = rows.join(keyword_inside_phrase(twice).withColumn("_inside", F.lit(True)), "item", "left")
+    if conflicting is not None:
+        rows = rows.join(conflicting.select("item").distinct().withColumn("_conflict", F.lit(True)), "item", "left").withColumn("_wanted", F.col("_wanted") & F.col("_conflict").isNull())
+    news = (F.col("decision_type") != IRRELEVANT) & (F.size(F.array_except("_licenses", "_known")) > 0)
+    cover = F.col("_phrases") & (F.size(F.array_except(F.coalesce("_licenses", F.array().cast("array<bigint>")), F.col("_named").cast("array<bigint>"))) == 0)
+    rule = (
+        F.when(F.col("decision_type").isNotNull(), F.when(news, "update"))
+        .when(F.col("_phrases").isNotNull(), F.when(cover, "phrase events"))
+        .when(F.col("_tag"), "tag").when(F.col("_sidecar"), "sidecar").when(F.col("_inside"), "keyword in phrase").when(F.col("_agree"), "agreement").when(F.col("_wanted"), "license type")
+    )
+    return rows.select("item", rule.alias("rule")).filter("rule is not null").distinct()
 
 
 def decisions_of_job(events: DataFrame, job: int, found: DataFrame, previous: DataFrame | None = None) -> DataFrame:

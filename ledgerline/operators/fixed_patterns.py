@@ -101,8 +101,10 @@ REG_EXCEPTION_CHARNAME_RUN=\bcopyright(?:[^\x00-\x7F][\x00-\xFF]*tEXt(?:Creation
 # word with what stands for it, endings cut off (the first that fits), the longest statement.
 NOISE = ["<p>", "<a href", "date-of-software", "date-of-document", " $ ", " ? ", "</a>", "( )", "()"]
 TRIMMED, TRIMMED_AT_START, TRIMMED_AT_END = " \t,'\"-:;&@!", ".>)]\\/", "<([\\/"
-FIRST_WORDS = ["SPDX-FileCopyrightText", "AssemblyCopyright", "AppCopyright", "JCOPYRIGHT"]
-FIRST_WORDS_TWICE = ["COPYRIGHT Copyright", "Copyright Copyright", "Copyright copyright", "copyright copyright", "copyright Copyright", 'copyright"Copyright', 'copyright" Copyright']
+FIRST_WORDS = [
+    "SPDX-FileCopyrightText", "AssemblyCopyright", "AppCopyright", "JCOPYRIGHT",
+    "COPYRIGHT Copyright", "Copyright Copyright", "Copyright copyright", "copyright copyright", "copyright Copyright", 'copyright"Copyright', 'copyright" Copyright',
+]
 FIRST_WORD = "Copyright"
 ENDINGS = ["copyright", ",", "year", "parts", "0", "1", "author", "all", "some", "and"]
 LONGEST_STATEMENT = 300

@@ -3,20 +3,25 @@
 Texts and phrases are split into tokens. Every run of three tokens of a text is looked up among the runs at the
 first eleven positions of all phrases (a join on hashes). Hits of a phrase on one diagonal (text position less
 phrase position) are one start. Equal spans are found in the JVM; the other starts are aligned by numpy over
-hashed tokens, each in a window as long as a match of sufficient rank can be. Which matches stay is a self-join
-by file.
+hashed tokens, each in a window as long as a match of sufficient rank can be. Which matches stay is decided for pairs
+of which one's span holds the other's.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.storage import settled
+
+from .tree import held_pairs
+
 # Bounds of the matcher.
 MOST_DIFF, RUN, MOST_LEADING, LEAST_RANK, MOST_TOKENS = 256, 3, 10, 66, 4_194_304
 # Single delimiters, longer ones, and a token that is dropped.
@@ -65,44 +70,83 @@ def runs(tokens_col: str, first: int | None = None, length: int = RUN) -> Column
     return F.when(ends > 0, F.transform(F.sequence(F.lit(1), ends), at))
 
 
-def _heads(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, n, t, run: the runs of one, two and three tokens of a text. Only hashes are exploded, not the tokens."""
-    each = [df.select(key, F.lit(n).alias("n"), F.posexplode(runs(column, length=n)).alias("t", "run")) for n in range(1, RUN + 1)]
-    return each[0].union(each[1]).union(each[2])
+def _heads(df: DataFrame, key: str, column: str, lengths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """key, n, t, run: the runs of so many tokens of a text, in one scan. Only hashes are exploded, not the tokens."""
+    placed = lambda n: F.transform(runs(column, length=n), lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("t"), x.alias("run")))
+    each = [placed(n) for n in lengths]
+    none = F.array().cast("array<struct<n:int,t:int,run:bigint>>")
+    return df.select(key, F.explode(F.concat(*[F.coalesce(x, none) for x in each])).alias("h")).select(key, "h.n", "h.t", "h.run")
 
 
 def candidates(files: DataFrame, phrases: DataFrame) -> DataFrame:
     """pfile_fk, rf_pk, t, s: a run of the text at t equals one of the phrase at s (S3, S4); phrases of up to three tokens at s = 0.
 
-    files: pfile_fk, tokens; phrases: rf_pk, tokens. Phrases outnumber files by far nowhere, so Spark chooses the
-    side to broadcast by size.
+    files: pfile_fk, tokens; phrases: rf_pk, tokens. Texts are read once, and only runs of lengths that a phrase is
+    looked up by are made. Phrases outnumber files by far nowhere, so Spark chooses the side to broadcast by size.
+    """
+    size = F.size("tokens")
+    first = F.transform(runs("tokens", MOST_LEADING + 1), lambda x, i: F.struct(F.lit(RUN).alias("n"), x.alias("run"), i.alias("s")))
+    whole = [F.when(size == n, F.array(F.struct(F.lit(n).alias("n"), F.element_at(runs("tokens", 1, n), 1).alias("run"), F.lit(0).alias("s")))) for n in range(1, RUN + 1)]
+    index = phrases.filter(size > 0).select("rf_pk", F.explode(F.when(size > RUN, first).otherwise(F.coalesce(*whole))).alias("x")).select("rf_pk", "x.n", "x.run", "x.s")
+    lengths = tuple(sorted(r.n for r in index.select("n").distinct().collect()))  # 1, 2, 3 at most
+    if not lengths:
+        return files.select("pfile_fk", F.lit(None).cast("long").alias("rf_pk"), F.lit(0).alias("t"), F.lit(0).alias("s")).limit(0)
+    return _heads(files, "pfile_fk", "tokens", lengths).join(index, ["n", "run"]).select("pfile_fk", "rf_pk", "t", "s")
+
+
+@cache
+def visit_times(size: int = MOST_DIFF, per_quarter: int = 2 * MOST_DIFF) -> np.ndarray:
+    """When an offset (text, phrase) below ``size`` is tried: quarter circles around the start, half a token apart.
+
+    A circle is walked in equal angles from the phrase's axis to the text's, and an offset counts when it is
+    passed last; 0: never. On each circle there are as many places whatever its length, so far offsets are left out.
     """
-    index = phrases.filter(F.size("tokens") > RUN).select("rf_pk", F.posexplode(runs("tokens", MOST_LEADING + 1)).alias("s", "run"))
-    texts = files.select("pfile_fk", F.posexplode(runs("tokens")).alias("t", "run"))
-    long = texts.join(index, "run").select("pfile_fk", "rf_pk", "t", "s")
-    short = phrases.filter((F.size("tokens") > 0) & (F.size("tokens") <= RUN))
-    whole = _heads(short.select("rf_pk", "tokens"), "rf_pk", "tokens").join(short.select("rf_pk", F.size("tokens").alias("n")), ["rf_pk", "n"], "left_semi")
-    exact = _heads(files, "pfile_fk", "tokens").join(whole.select("rf_pk", "n", "run"), ["n", "run"])
-    return long.union(exact.select("pfile_fk", "rf_pk", "t", F.lit(0).alias("s")))
+    angle = np.concatenate([[0.0], np.cumsum(np.full(per_quarter + 1, np.pi / 4 / (per_quarter // 2)))])
+    angle = angle[angle < np.pi / 2]
+    times = np.zeros((size, size), np.int64)
+    for circle in range(2 * size):
+        text, phrase = (np.floor(circle / 2 * f(angle)).astype(np.int64) for f in (np.sin, np.cos))
+        np.maximum.at(times, (text, phrase), circle * len(angle) + np.arange(1, len(angle) + 1))
+    times[0, 0] = 0
+    return times
+
+
+@cache
+def _first_outside(size: int, side: int) -> int:
+    """The earliest time of an offset outside a square."""
+    times = visit_times(size).copy()
+    times[:side, :side] = 0
+    return int(times[times > 0].min(initial=np.iinfo(np.int64).max))
+
+
+#: Squares in which an agreement is sought, one after another.
+_SHELLS = (16, 64)
 
 
 def nearest_agreement(text: np.ndarray, phrase: np.ndarray, most: int = MOST_DIFF, run: int = RUN) -> tuple[int, int] | None:
-    """The offsets (text, phrase) below ``most``, least distant from the start, from which ``run`` tokens agree.
+    """The offsets (text, phrase) below ``most`` that are tried first among those from which ``run`` tokens agree.
 
-    Past the end of either nothing is asked. Of equal distances the one of fewer text tokens is taken; None if
-    there is none.
+    Past the end of either nothing is asked. None if there is none. A square that holds an offset of an earlier time than
+    all outside it need not be widened.
     """
-    same = text[: most + run - 1, None] == phrase[None, : most + run - 1]
-    alike = same.copy()
-    for k in range(1, run):
-        after = np.ones_like(same)
-        after[:-k, :-k] = same[k:, k:]
-        alike &= after
-    down, right = np.nonzero(alike[:most, :most])
-    if not len(down):
-        return None
-    best = np.argmin(down * down + right * right)
-    return int(down[best]), int(right[best])
+    times = visit_times(most)
+    for side in [*[x for x in _SHELLS if x < most], most]:
+        same = text[: side + run - 1, None] == phrase[None, : side + run - 1]
+        alike = same[:side, :side].copy()
+        for k in range(1, run):
+            after = np.ones_like(same)
+            after[:-k, :-k] = same[k:, k:]
+            # What was cut off by the square, not by an end, is there in the rows and columns beyond it.
+            alike &= after[:side, :side]
+        own = np.where(alike, times[: alike.shape[0], : alike.shape[1]], 0)
+        tried = own[own > 0]
+        wide = side >= most or (side >= len(text) and side >= len(phrase))
+        if len(tried) and (wide or tried.min() < _first_outside(most, side)):
+            down, right = np.nonzero(own == tried.min())
+            return int(down[0]), int(right[0])
+        if wide:
+            break
+    return None
 
 
 def aligned(text: np.ndarray, phrase: np.ndarray, s: int = 0) -> tuple[int, int, list[tuple]] | None:
@@ -183,10 +227,14 @@ def surviving(found: DataFrame, includes: DataFrame) -> DataFrame:
     """
     keys = ("rf_pk", "start", "end")
     found = found.withColumn("_best", F.struct("full", "rank")).groupBy("pfile_fk", *keys).agg(F.max_by(F.struct(*[c for c in found.columns if c not in ("pfile_fk", *keys)]), "_best").alias("_m")).select("pfile_fk", *keys, "_m.*")
-    side = lambda n: found.select("pfile_fk", *[F.col(c).alias(n + c) for c in (*keys, "full", "rank")])
+    found = settled(found, "matches")  # few beside the texts, and read several times
+    match = F.struct(*keys, "full", "rank")
+    held = held_pairs(found.select("pfile_fk", match.alias("point"), F.col("start").alias("at")), found.select("pfile_fk", match.alias("span"), F.col("start").alias("lft"), F.col("end").alias("rgt")), "pfile_fk")
+    held = held.filter((F.col("point.end") <= F.col("span.end")) & (F.struct(*[F.col(f"point.{k}") for k in keys]) != F.struct(*[F.col(f"span.{k}") for k in keys])))
+    both = held.withColumnRenamed("span", "a").withColumnRenamed("point", "b").unionByName(held.withColumnRenamed("span", "b").withColumnRenamed("point", "a")).distinct()
+    pairs = both.select("pfile_fk", *[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ab" for c in (*keys, "full", "rank")])
     a_holds, b_holds = F.expr("a_start <= b_start and a_end >= b_end"), F.expr("b_start <= a_start and b_end >= a_end")
     other = F.col("a_rf_pk") != F.col("b_rf_pk")
-    pairs = side("a_").join(side("b_"), "pfile_fk").filter((a_holds | b_holds) & (other | (F.col("a_start") != F.col("b_start")) | (F.col("a_end") != F.col("b_end"))))
     inside = includes.select("big", "small", F.lit(True).alias("yes"))
     for a, b in (("a_", "b_"), ("b_", "a_")):
         pairs = pairs.join(inside.select(F.col("big").alias(a + "rf_pk"), F.col("small").alias(b + "rf_pk"), F.col("yes").alias(a + "includes")), [a + "rf_pk", b + "rf_pk"], "left")
@@ -276,9 +324,11 @@ def phrase_hits(files: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     p = phrases.select("phrase_pk", token_array(F.col("text")).alias("wanted")).filter(F.size("wanted") > 0)
     f = files.filter("text is not null").select("pfile_fk", token_array(F.col("text")).alias("tokens"))
-    first = p.select("phrase_pk", F.slice("wanted", 1, RUN).alias("head"))
-    heads = _heads(first, "phrase_pk", "head").filter("t = 0").join(first.select("phrase_pk", F.size("head").alias("n")), ["phrase_pk", "n"], "left_semi")
-    spots = _heads(f, "pfile_fk", "tokens").join(heads.select("phrase_pk", "n", "run"), ["n", "run"])
+    size = F.least(F.size("wanted"), F.lit(RUN))
+    run = F.coalesce(*[F.when(size == n, F.element_at(runs("wanted", 1, n), 1)) for n in range(1, RUN + 1)])
+    heads = p.select("phrase_pk", size.alias("n"), run.alias("run"))
+    lengths = tuple(sorted(r.n for r in heads.select("n").distinct().collect())) or (RUN,)
+    spots = _heads(f, "pfile_fk", "tokens", lengths).join(heads, ["n", "run"])
     per_file = spots.groupBy("pfile_fk", "phrase_pk").agg(F.collect_list("t").alias("spots")).join(p, "phrase_pk")
     same = F.exists("spots", lambda t: F.slice("tokens", t + 1, F.size("wanted")) == F.col("wanted"))
     return per_file.join(f, "pfile_fk").filter(same).select("pfile_fk", "phrase_pk")

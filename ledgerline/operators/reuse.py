@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,34 +27,65 @@ def reused_by_content(items: DataFrame, cleared: DataFrame, old_decisions: DataF
     return items.join(cleared.select("item"), "item", "left_anti").join(reusable_decisions(old_decisions), "pfile_fk").select("item", "decision_pk", "decision_type")
 
 
-def diff_lines(old: str, new: str, most: int) -> int:
-    """Lines taken out and put in between two texts, counted up to ``most``."""
-    a, b = old.split("\n"), new.split("\n")
-    if abs(len(a) - len(b)) >= most:
+def line_changes(old: np.ndarray, new: np.ndarray, most: int) -> int:
+    """Lines taken out and put in between two texts, given as arrays of line hashes, counted up to ``most``.
+
+    The fewest changes: with each further change the reach on every diagonal of the table of lines (lines of old less
+    lines of new) is known from that on its neighbours, so no more than 2 * most - 1 diagonals are ever looked at.
+    """
+    if abs(len(old) - len(new)) >= most:
         return most
-    steps = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    return min(most, sum((i2 - i1) + (j2 - j1) for tag, i1, i2, j1, j2 in steps if tag != "equal"))
+
+    def alike(i: int, j: int) -> int:
+        """Equal lines from two places on, sought in stretches that double."""
+        n, step = 0, 16
+        while i + n < len(old) and j + n < len(new):
+            size = min(step, len(old) - i - n, len(new) - j - n)
+            unlike = np.flatnonzero(old[i + n : i + n + size] != new[j + n : j + n + size])
+            if len(unlike):
+                return n + int(unlike[0])
+            n, step = n + size, 2 * step
+        return n
+
+    goal, reach = len(old) - len(new), {0: alike(0, 0)}
+    for changes in range(most):
+        if reach.get(goal, -1) >= len(old):
+            return changes
+        reach = {d: i for d in range(-changes - 1, changes + 2, 2) if (i := max(reach.get(d - 1, -2) + 1, reach.get(d + 1, -1))) >= 0 and i - d >= 0}
+        reach = {d: min(i, len(old)) for d, i in reach.items() if min(i, len(old)) - d <= len(new)}
+        reach = {d: i + alike(i, i - d) for d, i in reach.items()}
+    return most
+
+
+def _near(most: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old, new = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("old_lines", "new_lines"))
+            keep = pa.array([line_changes(a, b, most) < most for a, b in zip(old, new, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("new_fk", "old_fk")], ["new_fk", "old_fk"])
+
+    return near
 
 
 def reused_by_name(new_items: DataFrame, old_items: DataFrame, cleared: DataFrame, old_decisions: DataFrame, contents: DataFrame, most: int = 5) -> DataFrame:
-    """item, decision_pk for items not cleared whose namesake in the other upload differs in fewer than ``most`` lines.
+    """item, decision_pk for items not cleared whose namesake in the other upload differs in fewer than ``most`` lines.
 
-    new_items, old_items: item, name, pfile_fk; contents: pfile_fk, text. Pairs of different contents are made once
-    for each pair of contents and name; texts are compared inside tasks, whole.
+    new_items, old_items: item, name, pfile_fk; contents: pfile_fk, text (null: empty). Namesakes meet by name and number
+    of lines, which may differ by less than ``most``, so a name that very many files have is spread over their sizes.
+    Each pair of different contents is compared once, as arrays of line hashes; of several namesakes the newest decision
+    is taken.
     """
-    new = new_items.join(cleared.select("item"), "item", "left_anti").select("item", "name", F.col("pfile_fk").alias("new_fk"))
-    old = old_items.join(reusable_decisions(old_decisions), "pfile_fk").select("name", F.col("pfile_fk").alias("old_fk"), "decision_pk")
-    pairs = new.join(old, "name").filter("new_fk != old_fk")
-    distinct = pairs.select("new_fk", "old_fk").distinct()
-    texts = distinct.join(contents.select(F.col("pfile_fk").alias("new_fk"), F.col("text").alias("new_text")), "new_fk").join(contents.select(F.col("pfile_fk").alias("old_fk"), F.col("text").alias("old_text")), "old_fk")
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ok = [diff_lines(a or "", b or "", most) < most for a, b in zip(rows.old_text, rows.new_text, strict=True)]
-            yield rows.loc[ok, ["new_fk", "old_fk"]]
-
-    close = texts.mapInPandas(near, "new_fk long, old_fk long")
-    return pairs.join(close, ["new_fk", "old_fk"]).groupBy("item").agg(F.max("decision_pk").alias("decision_pk"))
+    lines = contents.select("pfile_fk", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(x)).alias("lines")).withColumn("n", F.size("lines"))
+    sizes = lines.select("pfile_fk", "n")
+    new = new_items.join(cleared.select("item"), "item", "left_anti").join(sizes, "pfile_fk").select("item", "name", F.col("pfile_fk").alias("new_fk"), "n")
+    old = old_items.join(reusable_decisions(old_decisions), "pfile_fk").join(sizes, "pfile_fk").select("name", F.col("pfile_fk").alias("old_fk"), "decision_pk", "n").distinct()
+    around = old.withColumn("n", F.explode(F.sequence(F.col("n") - most + 1, F.col("n") + most - 1)))
+    pairs = new.select("name", "new_fk", "n").distinct().join(around, ["name", "n"]).filter("new_fk != old_fk").select("name", "new_fk", "old_fk", "decision_pk")
+    of = lambda side: lines.select(F.col("pfile_fk").alias(f"{side}_fk"), F.col("lines").alias(f"{side}_lines"))
+    texts = pairs.select("new_fk", "old_fk").distinct().join(of("new"), "new_fk").join(of("old"), "old_fk")
+    close = texts.mapInArrow(_near(most), "new_fk long, old_fk long")
+    best = pairs.join(close, ["new_fk", "old_fk"]).groupBy("name", "new_fk").agg(F.max("decision_pk").alias("decision_pk"))
+    return new.join(best, ["name", "new_fk"]).select("item", "decision_pk")
 
 
 def reused_texts(new: DataFrame, old_overlay: DataFrame, own_overlay: DataFrame) -> DataFrame:

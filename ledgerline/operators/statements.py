@@ -62,22 +62,35 @@ def _with(rows: Column, **new) -> Column:
     return F.transform(rows, lambda x: reduce(lambda y, name: y.withField(name, new[name](x)), new, x))
 
 
+def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """text with the first of each pair replaced by the second as long as it is found, pair by pair.
+
+    What a replacement makes anew goes, too. A pass replaces all that is there. Each takes away some of a character that
+    the first has more of than the second, so there are no more passes than the text has of that character.
+    """
+    mark = lambda old, new: max(sorted(set(old) - {" "}), key=lambda c: old.count(c) - new.count(c))
+    steps = F.array(*[F.struct(F.lit(old).alias("old"), F.lit(new).alias("new"), F.lit(mark(old, new)).alias("mark")) for old, new in pairs])
+    passes = lambda t, p: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - F.length(F.replace(t, p["mark"], F.lit("")))))
+    once = lambda t, p: F.when(F.contains(t, p["old"]), F.replace(t, p["old"], p["new"])).otherwise(t)
+    return F.aggregate(steps, text, lambda t, p: F.when(F.contains(t, p["old"]), F.aggregate(passes(t, p), t, lambda u, _: once(u, p))).otherwise(t))
+
+
 def judged(pieces: Column) -> Column:
     """Structs with raw (a statement) with what to do with it, and left, what is left of it.
 
     What follows a license, a trademark or a reservation of rights goes. A statement is kept but deactivated where it is
     a template, noise, or, up to its second mark, another use of the word. Noise and outer punctuation
-    go, the first word is spelled one way, and one ending goes; if nothing or the bare word is left it is discarded.
+    go, the first word is spelled one way, both as long as there is any, and one ending goes; if nothing or the bare word is left it is discarded.
     """
     cut = lambda x: reduce(lambda c, n: F.regexp_replace(c, "(?is)" + _P[n] + (r"[\s\S]*" if n == _TRAILS[-1] else ""), ""), _TRAILS, x["raw"])
     first = lambda x: F.regexp_extract(x["cut"], r"(?is)\A(?:.*?copyright.*?(?=copyright)|.*\z)", 0)
 
     def text(x: Column) -> Column:
         ends = _class(fixed.TRIMMED)
-        t = F.regexp_replace(x["cut"], "|".join(map(re.escape, fixed.NOISE)), " ")
+        t = replaced(x["cut"], [(noise, " ") for noise in fixed.NOISE])
         t = F.regexp_replace(t, f"^{ends}+|{ends}+\\z", "")
         t = F.regexp_replace(t, f"^{_class(fixed.TRIMMED_AT_START)}+|{_class(fixed.TRIMMED_AT_END)}+\\z", "")
-        return reduce(lambda t, word: F.replace(t, F.lit(word), F.lit(fixed.FIRST_WORD)), fixed.FIRST_WORDS + fixed.FIRST_WORDS_TWICE, t)
+        return replaced(t, [(word, fixed.FIRST_WORD) for word in fixed.FIRST_WORDS])
 
     def left(x: Column) -> Column:
         ending = reduce(lambda w, e: w.when(x["text"].endswith(e) & (F.length(x["text"]) > len(e) + 1), F.lit(len(e))), fixed.ENDINGS, F.when(F.lit(False), F.lit(0)))

@@ -118,10 +118,41 @@ def subtree_counts(items: DataFrame, parents: DataFrame) -> DataFrame:
     return counted.filter("sign != 0").groupBy("upload_fk", "item").agg(F.sum(F.col("seen") * F.col("sign")).alias("files"))
 
 
+def dyadic_cover(lft: Column, rgt: Column, levels: int) -> Column:
+    """The fewest blocks (level, block) that make up lft..rgt, block b of level k being b * 2^k .. (b + 1) * 2^k - 1."""
+    each = []
+    for k in range(levels + 1):
+        first, after = F.shiftright(lft + (1 << k) - 1, k), F.shiftright(rgt + 1, k)  # whole blocks of the level
+        block = lambda b, k=k: F.struct(F.lit(k).alias("level"), b.alias("block"))
+        # A block whose sibling isn't inside as well can't be part of a larger one.
+        each += [F.when((first < after) & (first % 2 == 1), block(first)), F.when((first < after) & (after % 2 == 1), block(after - 1))]
+    return F.filter(F.array(*each), lambda b: b.isNotNull())
+
+
+def held_pairs(points: DataFrame, spans: DataFrame, group: str) -> DataFrame:
+    """point and span of every pair of the same group where the span holds the point, once each.
+
+    points: group, point (any value), at (long, from 0); spans: group, span, lft, rgt. A span is made up of at most two
+    blocks of each power of two, a point is in one block of each, so pairs meet by equality of group, level and block:
+    every row of the join is a pair, however many spans and points a group has, and a large group is spread over
+    its blocks. Points come once for each level that some span uses (at most as many as the longest span has binary
+    digits). Rows with a null group or position meet nothing.
+    """
+    longest = spans.agg(F.max(F.col("rgt") - F.col("lft") + 1)).first()[0]
+    levels = max(0, int(longest or 1).bit_length() - 1)
+    blocks = spans.filter("lft <= rgt").select(F.col(group).alias("_group"), "span", F.explode(dyadic_cover(F.col("lft").cast("long"), F.col("rgt").cast("long"), levels)).alias("_of"))
+    at = F.col("at").cast("long")
+    of = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("block")) for k in range(levels + 1)])
+    places = points.filter("at is not null").select(group, "point", F.explode(of).alias("_at"))
+    places = places.join(F.broadcast(blocks.select(F.col("_of.level").alias("_used")).distinct()), F.col("_at.level") == F.col("_used"), "left_semi")  # at most 64 rows
+    return places.join(blocks, (F.col(group) == F.col("_group")) & (F.col("_at") == F.col("_of"))).select(group, "point", "span")
+
+
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs (outer_item, inner_item) of a containment join on lft; equality of upload_fk keeps it a hash join."""
-    o = outer.select(F.col("upload_fk").alias("_u"), F.col("item").alias("outer_item"), F.col("lft").alias("_l"), F.col("rgt").alias("_r"))
-    return inner.join(o, (F.col("upload_fk") == F.col("_u")) & F.col("lft").between(F.col("_l"), F.col("_r"))).select("upload_fk", "outer_item", F.col("item").alias("inner_item"))
+    """Pairs (outer_item, inner_item) where an item's numbers hold another's of the same upload, by held_pairs()."""
+    points = inner.select("upload_fk", F.col("item").alias("point"), F.col("lft").alias("at"))
+    spans = outer.select("upload_fk", F.col("item").alias("span"), "lft", "rgt")
+    return held_pairs(points, spans, "upload_fk").select("upload_fk", F.col("span").alias("outer_item"), F.col("point").alias("inner_item"))
 
 
 def covering_items(items: DataFrame) -> DataFrame:
