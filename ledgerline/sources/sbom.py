@@ -27,18 +27,6 @@ def read_spdx_tags(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(name.alias("name"), F.lower(one("FileChecksum: SHA1")).alias("hash"), one("LicenseConcluded").alias("concluded"), F.regexp_extract_all("b", F.lit(r"(?m)^LicenseInfoInFile: *(.+)$"), F.lit(1)).alias("found"), copyright_text.alias("copyright"))
 
 
-def read_spdx_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """The same of SPDX 2 RDF/XML documents with files in place; licenses by the last part of their reference."""
-    text = spark.read.text(path, wholetext=True)
-    files = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<spdx:File\b.*?</spdx:File>"), F.lit(0))).alias("b"))
-    one = lambda p: F.nullif(F.regexp_extract("b", p, 1), F.lit(""))
-    return files.select(
-        one(r"<spdx:fileName>([^<]*)<").alias("name"), F.lower(one(r"(?s)checksumAlgorithm_sha1.*?<spdx:checksumValue>([^<]*)<")).alias("hash"),
-        one(r"<spdx:licenseConcluded[^>]*rdf:resource=\"[^\"]*[/#]([^\"/#]+)\"").alias("concluded"),
-        F.regexp_extract_all("b", F.lit(r"<spdx:licenseInfoInFile[^>]*rdf:resource=\"[^\"]*[/#]([^\"/#]+)\""), F.lit(1)).alias("found"), one(r"(?s)<spdx:copyrightText>(.*?)</").alias("copyright"),
-    )
-
-
 def read_spdx3_json(spark: SparkSession, path: str) -> DataFrame:
     """The same of SPDX 3 JSON-LD graphs: files joined with relationships to license elements."""
     schema = "`@graph` array<struct<type:string,spdxId:string,name:string,software_copyrightText:string,simplelicensing_licenseExpression:string,relationshipType:string,`from`:string,to:array<string>,verifiedUsing:array<struct<algorithm:string,hashValue:string>>>>"

@@ -228,13 +228,10 @@ def test_bills_of_material(spark, tmp_path):
     assert sorted(map(tuple, S.from_dump(dump, "l", "rf_pk long, shortname string").collect())) == [(1, "mit"), (2, "GPL")]
 
 
-def test_spdx3_and_rdf_and_xml(spark, tmp_path):
+def test_spdx3_and_xml(spark, tmp_path):
     graph = {"@graph": [{"type": "software_File", "spdxId": "f", "name": "a", "verifiedUsing": [{"algorithm": "sha1", "hashValue": "AB"}]}, {"type": "x", "spdxId": "l", "simplelicensing_licenseExpression": "MIT"}, {"type": "Relationship", "from": "f", "relationshipType": "hasConcludedLicense", "to": ["l"]}]}
     (tmp_path / "3.json").write_text(json.dumps(graph))
     assert [(r.name, r.hash, r.concluded) for r in S.read_spdx3_json(spark, str(tmp_path / "3.json")).collect()] == [("a", "ab", "MIT")]
-    rdf = '<spdx:File><spdx:fileName>a</spdx:fileName><x rdf:resource="#checksumAlgorithm_sha1"/><spdx:checksumValue>AB</spdx:checksumValue><spdx:licenseConcluded rdf:resource="http://spdx.org/licenses/MIT"/></spdx:File>'
-    (tmp_path / "r.rdf").write_text(rdf)
-    assert [(r.name, r.hash, r.concluded) for r in S.read_spdx_rdf(spark, str(tmp_path / "r.rdf")).collect()] == [("a", "ab", "MIT")]
     (tmp_path / "c.xml").write_text('<ComponentLicenseInformation><License type="global" name="MIT"><Content>text</Content><Files>a\nb</Files><FileHash>11\n22</FileHash></License></ComponentLicenseInformation>')
     assert sorted((r.license, r.file, r.hash) for r in S.read_component_xml(spark, str(tmp_path / "c.xml")).collect()) == [("MIT", "a", "11"), ("MIT", "b", "22")]
 
