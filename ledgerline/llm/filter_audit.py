@@ -21,6 +21,8 @@ from .store import forget, table, written
 
 #: Orders grow with the factorial, states with the power of two.
 MOST_FILTERS = 7
+#: Documents of one text meet the first of them in so many tasks.
+COPY_PARTS = 32
 
 
 def orders(names: list[str]) -> Iterator[tuple[str, int, int, str]]:
@@ -112,9 +114,11 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("body").rlike(r"[#$%&*|]").alias("D"), F.unhex(F.sha2("body", 256)).alias("digest"),
     )
     narrow = written(narrow, "judged")
-    firsts = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # A text that very many documents share is dealt over parts in the join.
+    firsts = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))).alias("copy"))
     marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("quality"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    out = narrow.join(firsts, "digest", "left").join(marks, "doc_id", "left")
+    dealt = narrow.withColumn("copy", F.pmod(F.xxhash64("doc_id", "part"), F.lit(COPY_PARTS)).cast("int"))
+    out = dealt.join(firsts, ["digest", "copy"], "left").join(marks, "doc_id", "left")
     is_one = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     out = written(out.select("part", *"ABCD", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"), is_one("quality").alias("good"), is_one("toxic").alias("toxic")), "verdicts")
     forget(narrow)
