@@ -68,13 +68,15 @@ def priorities(uploads: DataFrame, key: str, order: str) -> DataFrame:
     return uploads.withColumn("priority", F.row_number().over(Window.partitionBy(key).orderBy(order, "upload_fk")).cast("long"))
 
 
-def moved_between(before: float | None, after: float | None) -> float:
-    """A priority between two neighbours: the middle, or one beyond the end (Q15)."""
-    if before is None and after is None:
-        return 0.0
-    if before is None or after is None:
-        return (before + 1) if after is None else (after - 1)
-    return (before + after) / 2
+def moved_priorities(uploads: DataFrame, moves: DataFrame) -> DataFrame:
+    """upload_fk and priority of moved uploads (Q15): the middle between two neighbours, one beyond where there is one only, else 0.
+
+    uploads: upload_fk, priority; moves: upload_fk, before, after (uploads, null: none).
+    """
+    at = lambda side: uploads.select(F.col("upload_fk").alias(side), F.col("priority").cast("double").alias(f"_{side}"))
+    rows = moves.join(at("before"), "before", "left").join(at("after"), "after", "left")
+    middle = (F.col("_before") + F.col("_after")) / 2
+    return rows.select("upload_fk", F.coalesce(middle, F.col("_before") + 1, F.col("_after") - 1, F.lit(0.0)).alias("priority"))
 
 
 def clearing_progress(items: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -100,6 +100,15 @@ def reused_settings(settings: DataFrame, source: int, target: int) -> DataFrame:
     return settings.filter(F.col("upload_fk") == source).join(own, "key", "left_anti").select(F.lit(target).cast(settings.schema["upload_fk"].dataType).alias("upload_fk"), "key", "value")
 
 
+def reused_main_licenses(main: DataFrame, reuse: DataFrame) -> DataFrame:
+    """upload_fk, group_fk, rf_fk: main licenses that uploads take over and do not have yet.
+
+    main: upload_fk, group_fk, rf_fk; reuse: upload_fk, group_fk, reused_upload_fk, reused_group_fk.
+    """
+    old = main.select(F.col("upload_fk").alias("reused_upload_fk"), F.col("group_fk").alias("reused_group_fk"), "rf_fk")
+    return reuse.join(old, ["reused_upload_fk", "reused_group_fk"]).select("upload_fk", "group_fk", "rf_fk").distinct().join(main, ["upload_fk", "group_fk", "rf_fk"], "left_anti")
+
+
 def sidecars(items: DataFrame, suffix: str = ".license") -> DataFrame:
     """sidecar, base: items ``X.license`` and the item ``X`` of the same folder."""
     side = items.filter(F.col("name").endswith(suffix)).select("upload_fk", "parent", F.expr(f"substring(name, 1, length(name) - {len(suffix)})").alias("name"), F.col("item").alias("sidecar"), F.col("pfile_fk").alias("sidecar_fk"))

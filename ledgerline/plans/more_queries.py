@@ -26,6 +26,7 @@ from ledgerline.operators import reports as R
 from ledgerline.operators import reuse as U
 from ledgerline.operators import scanners as S
 from ledgerline.operators import tree as T
+from ledgerline.sources import archive_parts as AP
 from ledgerline.sources import archives as A
 from ledgerline.sources import sbom as M
 from ledgerline.sources import tables as C
@@ -87,6 +88,28 @@ def unpacked_archives(spark, sf):
     return A.unpacked(packed).select("path", F.sha1("content").alias("sha1"))
 
 
+def _archive(rows: pd.DataFrame) -> pd.DataFrame:
+    """One archive of some documents: a zip or a tar by its number."""
+    number, buffer = int(rows.number.iloc[0]), io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) if number % 2 else tarfile.open(fileobj=buffer, mode="w") as archive:
+        for i, text in zip(rows.doc_id, rows.text, strict=True):
+            if number % 2:
+                archive.writestr(f"docs/{i}.txt", text.encode())
+            else:
+                info = tarfile.TarInfo(f"docs/{i}.txt")
+                info.size = len(text.encode())
+                archive.addfile(info, io.BytesIO(text.encode()))
+    return pd.DataFrame({"path": [f"archive-{number}"], "content": [buffer.getvalue()]})
+
+
+@query("SELECT 'archive-' || doc_id // 200 || '/docs/' || doc_id || '.txt' AS path, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL")
+def archive_members(spark, sf):
+    """Archives of two hundred documents each, every one unpacked by many tasks."""
+    docs = _docs(spark, sf).filter("text is not null").selectExpr("doc_id div 200 number", "doc_id", "text")
+    packed = docs.groupBy("number").applyInPandas(_archive, "path string, content binary")
+    return AP.unpacked_by_parts(packed).select("path", F.sha1("content").alias("sha1"))
+
+
 @query("SELECT doc_id, text FROM documents")
 def decoded_texts(spark, sf):
     """Documents as UTF-8 and as UTF-16 with either byte order, read back by their first bytes."""
@@ -235,10 +258,10 @@ def content_mapping(spark, sf):
     return U.content_mapping(contents.filter("pfile_pk % 3 != 0").withColumn("pfile_pk", F.col("pfile_pk") + 5000000), contents)
 
 
-@query("SELECT s_nationkey AS type, s_name AS topic, s_name || ' must' AS text, 'white' AS classification, coalesce(string_agg(DISTINCT p_name, ';' ORDER BY p_name), '') AS licnames FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_linenumber = 1 LEFT JOIN part ON l_partkey = p_partkey GROUP BY s_suppkey, s_nationkey, s_name")
+@query("SELECT s_nationkey AS type, s_name AS topic, s_name || ' must' AS text, 'white' AS classification, coalesce(string_agg(DISTINCT p_name, ';' ORDER BY p_name), '') AS licnames FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY s_suppkey, s_nationkey, s_name")
 def obligation_export(spark, sf):
     obligations = m.table(spark, sf, "supplier").selectExpr("s_suppkey ob_fk", "s_nationkey type", "s_name topic", "concat(s_name, ' must') text", "'white' classification")
-    bridge = m.table(spark, sf, "lineitem").filter("l_linenumber = 1").selectExpr("l_suppkey ob_fk", "l_partkey rf_fk")
+    bridge = m.table(spark, sf, "lineitem").selectExpr("l_suppkey ob_fk", "l_partkey rf_fk")
     return R.export_obligations(obligations, bridge, m.table(spark, sf, "part").selectExpr("p_partkey rf_pk", "p_name shortname"))
 
 

@@ -145,16 +145,21 @@ def subtree_tags(spark, sf):
     return I.tags_of(m.items(spark, sf), file_tags, item_tags)
 
 
-def _natural_places(tree):
-    rows = tree.filter("mode & 805306368 = 0 and upload_fk = 2 and name not like '%.%'")
-    keyed = rows.select("upload_fk", "item", "name", natural_key(F.col("name")).alias("_key"), F.lit(1).cast("long").alias("_one"))
+_NATURAL = r"array_to_string(list_transform(regexp_extract_all(lower(name), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(len(regexp_replace(x, '^0+', ''))::VARCHAR, 4, '0') || regexp_replace(x, '^0+', '') ELSE x END), '')"
+
+
+@query(f"SELECT item, name, row_number() OVER (PARTITION BY upload_fk ORDER BY {_NATURAL}, item) AS place FROM m_items WHERE mode & 805306368 = 0")
+def natural_order(spark, sf):
+    """The place of every file among those of its upload, in natural order."""
+    keyed = m.items(spark, sf).filter("mode & 805306368 = 0").select("upload_fk", "item", "name", natural_key(F.col("name")).alias("_key"), F.lit(1).cast("long").alias("_one"))
     placed = T.running_total(keyed, "upload_fk", [F.col("_key"), F.col("item")], "_one", "_earlier")
     return placed.select("item", "name", (F.col("_earlier") + 1).alias("place"))
 
 
-@query("""SELECT item, name, row_number() OVER (ORDER BY regexp_replace(lower(name), '\\d+', '', 'g'), CAST(regexp_extract(name, '\\d+') AS BIGINT)) AS place FROM m_items WHERE mode & 805306368 = 0 AND upload_fk = 2 AND name NOT LIKE '%.%' ORDER BY 3""".replace("\\\\", "\\"))
-def natural_order(spark, sf):
-    return _natural_places(m.items(spark, sf))
+@query("SELECT upload_fk, item, name, lft FROM (SELECT *, row_number() OVER (ORDER BY lft) AS n FROM m_nested WHERE upload_fk = 1 AND mode & 805306368 = 0 AND lft > 10) WHERE n = 1")
+def next_file(spark, sf):
+    """The file that a user who works through an upload sees next."""
+    return T.next_item(m.nested(spark, sf), 10, 1).select("upload_fk", "item", "name", "lft")
 
 
 @query("SELECT item, CAST(event_pk AS BIGINT) event_pk FROM (SELECT item, event_pk, row_number() OVER (PARTITION BY item, rf_fk ORDER BY event_pk) n FROM m_events) WHERE n > 1")

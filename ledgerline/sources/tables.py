@@ -29,19 +29,20 @@ def read_catalogue(spark: SparkSession, path: str, aliases: dict[str, list[str]]
     return renamed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", delimiter).csv(path), aliases)
 
 
-def upserted(known: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, columns, state of an import (I12, I13): ``new``, ``updated`` or ``same``, and ``kept`` for rows not imported.
+def upserted(known: DataFrame, new: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
+    """key (or keys), columns, state of an import (I12, I13): ``new``, ``updated`` or ``same``, and ``kept`` for rows not imported.
 
     Values that the import leaves empty keep their old value. Of several imported rows with a key the greatest counts.
     """
-    n = new.groupBy(key).agg(*[F.max(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
-    both = known.select(key, *columns, F.lit(True).alias("_old")).join(n, key, "full")
+    keys = [key] if isinstance(key, str) else key
+    n = new.groupBy(*keys).agg(*[F.max(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
+    both = known.select(*keys, *columns, F.lit(True).alias("_old")).join(n, keys, "full")
     value = {c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)) for c in columns}
     changed = F.lit(False)
     for c in columns:
         changed = changed | ~value[c].eqNullSafe(F.col(c))
     state = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "kept").when(changed, "updated").otherwise("same")
-    return both.select(key, *[v.alias(c) for c, v in value.items()], state.alias("state"))
+    return both.select(*keys, *[v.alias(c) for c, v in value.items()], state.alias("state"))
 
 
 def linked_names(rows: DataFrame, licenses: DataFrame, sep: str = ";") -> DataFrame:
