@@ -78,16 +78,21 @@ def _heads(df: DataFrame, key: str, column: str, lengths: tuple[int, ...] = (1,
     return df.select(key, F.explode(F.concat(*[F.coalesce(x, none) for x in each])).alias("h")).select(key, "h.n", "h.t", "h.run")
 
 
+def germs(phrases: DataFrame) -> DataFrame:
+    """rf_pk, n, run, s: what phrases(rf_pk, tokens) are looked up by: the runs at their first positions, short ones whole."""
+    size = F.size("tokens")
+    first = F.transform(runs("tokens", MOST_LEADING + 1), lambda x, i: F.struct(F.lit(RUN).alias("n"), x.alias("run"), i.alias("s")))
+    whole = [F.when(size == n, F.array(F.struct(F.lit(n).alias("n"), F.element_at(runs("tokens", 1, n), 1).alias("run"), F.lit(0).alias("s")))) for n in range(1, RUN + 1)]
+    return phrases.filter(size > 0).select("rf_pk", F.explode(F.when(size > RUN, first).otherwise(F.coalesce(*whole))).alias("x")).select("rf_pk", "x.n", "x.run", "x.s")
+
+
 def candidates(files: DataFrame, phrases: DataFrame) -> DataFrame:
     """pfile_fk, rf_pk, t, s: a run of the text at t equals one of the phrase at s (S3, S4); phrases of up to three tokens at s = 0.
 
     files: pfile_fk, tokens; phrases: rf_pk, tokens. Texts are read once, and only runs of lengths that a phrase is
     looked up by are made. Phrases outnumber files by far nowhere, so Spark chooses the side to broadcast by size.
     """
-    size = F.size("tokens")
-    first = F.transform(runs("tokens", MOST_LEADING + 1), lambda x, i: F.struct(F.lit(RUN).alias("n"), x.alias("run"), i.alias("s")))
-    whole = [F.when(size == n, F.array(F.struct(F.lit(n).alias("n"), F.element_at(runs("tokens", 1, n), 1).alias("run"), F.lit(0).alias("s")))) for n in range(1, RUN + 1)]
-    index = phrases.filter(size > 0).select("rf_pk", F.explode(F.when(size > RUN, first).otherwise(F.coalesce(*whole))).alias("x")).select("rf_pk", "x.n", "x.run", "x.s")
+    index = germs(phrases)
     lengths = tuple(sorted(r.n for r in index.select("n").distinct().collect()))  # 1, 2, 3 at most
     if not lengths:
         return files.select("pfile_fk", F.lit(None).cast("long").alias("rf_pk"), F.lit(0).alias("t"), F.lit(0).alias("s")).limit(0)

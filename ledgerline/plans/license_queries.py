@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerline.operators import automaton as A
+from ledgerline.operators import phrase_index as PI
 from ledgerline.operators import rule_graph as L
+from ledgerline.operators import scanner_functions as SF
+from ledgerline.operators.phrases import token_array
 from ledgerline.sources import rdf as R
 from ledgerline.storage import shared_folder
 
 from . import model as m
 from .registry import query
+from .scan_queries import _phrases, phrase_candidates
 
 _RULES = L.in_order(L.own_rules())
 _PHRASES = L.phrases_of(_RULES)
@@ -92,3 +96,28 @@ def spdx_rdf_round_trip(spark, sf):
     R.write_spdx_rdf(files.repartition(8, "id"), path)
     bill = R.files_of(R.triples(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))))
     return bill.select("name", "hash", F.array_join("concluded", ";").alias("concluded"), F.nullif(F.array_join("found", ";"), F.lit("")).alias("found"), "copyright")
+
+
+@query(f"""SELECT doc_id, 'year' AS type, content, CAST(instr(text, content) AS INTEGER) > 0 AS inside FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?:19|20)[0-9][0-9]')) AS content FROM documents)
+    UNION ALL SELECT doc_id, 'phrase', '{_PHRASES[0]}', TRUE FROM documents WHERE contains(' ' || trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9+]+', ' ', 'g')) || ' ', ' {_PHRASES[0]} ')
+    UNION ALL SELECT doc_id, 'phrase', 'all rights reserved', TRUE FROM (SELECT doc_id, unnest(regexp_extract_all(' ' || trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9+]+', ' ', 'g')) || ' ', ' all rights reserved ')) FROM documents)""")
+def scanners_in_sql(spark, sf):
+    """Two scanners called from SQL, one row for each finding in every document."""
+    SF.register_scanners(spark)
+    m.table(spark, sf, "documents").createOrReplaceTempView("_scanned_documents")
+    return spark.sql(
+        f"""SELECT doc_id, f.type, f.content, substring(text, f.start + 1, f.end - f.start) = f.content AS inside FROM _scanned_documents, LATERAL scan_pattern(text, '(?:19|20)[0-9][0-9]', 'year') f
+        UNION ALL SELECT doc_id, 'phrase', f.phrase, regexp_replace(lower(substring(text, f.start + 1, f.end - f.start)), '[^a-z0-9+]+', ' ') = f.phrase FROM _scanned_documents, LATERAL scan_phrases(text, '{_PHRASES[0]}|all rights reserved') f"""
+    )
+
+
+@query(f"SELECT c.* FROM ({phrase_candidates.sql}) c WHERE rf_pk = 5 OR pfile_fk NOT IN (SELECT doc_id FROM labels)")
+def candidates_of_new_phrases(spark, sf):
+    """Labelled documents have been scanned before the last phrase came: they meet that one only, the others meet all."""
+    table = f"phrase_index_{uuid.uuid4().hex}"
+    phrases = _phrases(spark)
+    first = PI.extend_index(spark, table, phrases.filter("rf_pk < 5"))
+    PI.extend_index(spark, table, phrases)
+    files = m.table(spark, sf, "documents").select(F.col("doc_id").alias("pfile_fk"), token_array(F.col("text")).alias("tokens"))
+    seen = PI.marked_scanned(m.table(spark, sf, "labels").select(F.col("doc_id").alias("pfile_fk")), first)
+    return PI.new_candidates(files, seen, table)
