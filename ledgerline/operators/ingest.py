@@ -10,19 +10,15 @@ from pyspark.sql import functions as F
 from ledgerline.functions.content import ARTIFACT, CONTAINER, fingerprint
 from ledgerline.functions.text import clean_name
 
+from .magic import by_content
+
 # Names of version-control metadata that are not ingested.
 SCM_NAMES = ["CVS", ".cvsignore", ".svn", ".git", ".gitignore", ".hg", ".bzr"]
-# MIME types by extension and by the first bytes (hex).
+# MIME types by extension.
 MIME_BY_EXTENSION = {
     "c": "text/x-csrc", "h": "text/x-chdr", "py": "text/x-python", "txt": "text/plain", "md": "text/markdown", "html": "text/html",
     "xml": "application/xml", "json": "application/json", "gz": "application/gzip", "zip": "application/zip", "tar": "application/x-tar", "pdf": "application/pdf",
 }
-MIME_BY_MAGIC = {
-    "1F8B": "application/gzip", "504B0304": "application/zip", "25504446": "application/pdf", "7F454C46": "application/x-executable", "3C21646F63": "text/html", "FD377A585A": "application/x-xz",
-    "425A68": "application/x-bzip2", "28B52FFD": "application/zstd", "377ABCAF271C": "application/x-7z-compressed", "526172211A07": "application/x-rar", "EDABEEDB": "application/x-rpm",
-    "213C617263683E0A": "application/x-archive", "303730373031": "application/x-cpio", "4D534346": "application/vnd.ms-cab-compressed", "CAFEBABE": "application/x-java-applet", "25215053": "application/postscript",
-    "89504E470D0A1A0A": "image/png", "474946383761": "image/gif", "474946383961": "image/gif", "FFD8FF": "image/jpeg", "3C3F786D6C": "text/xml", "7B5C727466": "text/rtf", "D0CF11E0A1B11AE1": "application/x-ole-storage",
-}
 DEFAULT_MIME = "application/octet-stream"
 
 
@@ -48,7 +44,7 @@ def without_scm(files: DataFrame, name: str = "name") -> DataFrame:
 
 
 def mime_type(name: Column, content: Column | None = None, types: dict[str, str] | None = None) -> Column:
-    """By the first bytes if there is a content, then by extension, then the default.
+    """By the rules of magic.py if there is a content, then by extension, then the default.
 
     types: further types by extension (without dot); Python's own table of a system's types if none are given.
     """
@@ -57,8 +53,7 @@ def mime_type(name: Column, content: Column | None = None, types: dict[str, str]
     by_name = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])[extension]
     if content is None:
         return F.coalesce(by_name, F.lit(DEFAULT_MIME))
-    head = F.hex(F.substring(content, 1, 8))
-    return F.coalesce(*[F.when(head.startswith(m), F.lit(t)) for m, t in MIME_BY_MAGIC.items()], by_name, F.lit(DEFAULT_MIME))
+    return F.coalesce(by_content(content), by_name, F.lit(DEFAULT_MIME))
 
 
 def tree_rows(files: DataFrame, upload: int = 1) -> DataFrame:

@@ -116,8 +116,6 @@ RULES = [
     ("CC-BY-NC-4.0", 2, "cc by-nc", r"\bcc by-nc 4\.0"),
     ("Reserved-rights", 1, "rights reserved", r"all =FEW=rights reserved"),
 ]
-#: A scan reads so many characters of a file at most; None reads whole texts.
-SCAN_CHARS: int | None = None
 
 
 def keyword_score(text: Column, keywords: list[str], single: bool = False) -> Column:
@@ -140,7 +138,6 @@ def phrase_rules(files: DataFrame, key: str, text: Column, rules: list[tuple[str
     Where a file has licenses of high interest (2), those of low interest are dropped. Files that meet no rule
     have one row with the name for "nothing".
     """
-    text = text if SCAN_CHARS is None else F.substring(text, 1, SCAN_CHARS)
     low = F.lower(text)
     hits = [F.when(low.contains(seed) & text.rlike(rule_pattern(rule)), F.struct(F.lit(name).alias("shortname"), F.lit(interest).alias("interest"))) for name, interest, seed, rule in rules]
     found = F.filter(F.array(*hits), lambda x: x.isNotNull())

@@ -16,8 +16,8 @@ from . import model as m
 from .registry import query
 
 
-def _docs(spark, sf):
-    return m.table(spark, sf, "documents").select("doc_id", "text")
+def _docs(spark, sf, *more):
+    return m.table(spark, sf, "documents").select("doc_id", "text", *more)
 
 
 def _contents(spark, sf):
@@ -49,6 +49,27 @@ def mime_types(spark, sf):
     return m.table(spark, sf, "orders").select("o_orderkey", G.mime_type(name).alias("mime"))
 
 
+#: Beginnings of contents (hex), what follows them, and their types.
+_CONTENTS = [
+    ("1F8B08", "", "application/gzip"), ("504B0304" + "00" * 26, "word/document.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("504B0304" + "00" * 26, "a/xl/workbook.xml", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), ("504B0304" + "00" * 26, "META-INF/MANIFEST.MF", "application/java-archive"),
+    ("504B0304" + "00" * 26, "META-INF/MANIFEST.MF and WEB-INF/web.xml", "application/x-webarchive"), ("504B0304" + "00" * 26, "mimetypeapplication/vnd.oasis.opendocument.text", "application/vnd.oasis.opendocument.text"),
+    ("504B0304" + "00" * 26, "other.txt", "application/zip"), ("7F454C46" + "00" * 12 + "0300", "", "application/x-sharedlib"), ("7F454C46" + "00" * 12 + "0900", "", "application/x-elf"), ("CAFEBABE00000034", "", "application/x-java-applet"),
+    ("CAFEBABE00000002", "", "application/x-mach-binary"), ("00" * 257 + "7573746172", "", "application/x-tar"), ("", "#!/usr/bin/env python3\n", "text/x-python"), ("", "#!/bin/sh\npython\n", "text/x-shellscript"),
+    ("", "<?xml version='1.0'?>\n<svg>", "image/svg+xml"), ("", "<?xml version='1.0'?>\n<a>", "text/xml"), ("", "\n\n<!DOCTYPE html>", "text/html"), ("525949461C", "", "application/octet-stream"), ("524946460000000057454250", "", "image/webp"),
+    ("213C617263683E0A", "debian-binary", "application/vnd.debian.binary-package"), ("213C617263683E0A", "x", "application/x-archive"),
+]
+
+
+@query("SELECT doc_id, ([" + ", ".join(f"'{t}'" for _, _, t in _CONTENTS) + f"])[(doc_id % {len(_CONTENTS)} + 1)::INT] AS mime FROM documents")
+def content_types(spark, sf):
+    """Types of contents by their bytes: what stands before the text of each document tells its type, names tell nothing."""
+    place = (F.col("doc_id") % len(_CONTENTS) + 1).cast("int")
+    begin = F.unhex(F.element_at(F.array(*[F.lit(h) for h, _, _ in _CONTENTS]), place))
+    follow = F.encode(F.concat(F.element_at(F.array(*[F.lit(t) for _, t, _ in _CONTENTS]), place), F.lit("\n"), F.coalesce("text", F.lit(""))), "UTF-8")
+    return _docs(spark, sf).select("doc_id", G.mime_type(F.lit("name"), F.concat(begin, follow)).alias("mime"))
+
+
 @query("SELECT page_id, regexp_replace(url, '[^\\x20-\\x7E]|[/\\\\]', '~', 'g') AS name FROM pages")
 def clean_names(spark, sf):
     return m.table(spark, sf, "pages").select("page_id", X.clean_name(F.col("url")).alias("name"))
@@ -75,10 +96,12 @@ def keyword_score(spark, sf):
     return _docs(spark, sf).select("doc_id", S.keyword_score(F.col("text"), _KEYWORDS).alias("score"))
 
 
-@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '(?i){k}')" for k in _KEYWORDS))
+@query("SELECT doc_id FROM documents WHERE regexp_matches(CASE length(text) % 7 WHEN 0 THEN 'LICENCE' WHEN 1 THEN 'copying.txt' ELSE 'file.' || lang END, '(?i)licen[cs]e|copying') OR " + " OR ".join(f"regexp_matches(text, '(?i){k}')" for k in _KEYWORDS))
 def scan_worthy_files(spark, sf):
-    worth = S.scan_worthy(F.lit("file.txt"), S.keyword_score(F.col("text"), _KEYWORDS), ["licen[cs]e", "copying"])
-    return _docs(spark, sf).filter(worth).select("doc_id")
+    """Documents worth a scan by their names, of which some tell of a license, or by a keyword."""
+    name = F.expr("case length(text) % 7 when 0 then 'LICENCE' when 1 then 'copying.txt' else concat('file.', lang) end")
+    worth = S.scan_worthy(name, S.keyword_score(F.col("text"), _KEYWORDS), ["licen[cs]e", "copying"])
+    return _docs(spark, sf, "lang").filter(worth).select("doc_id")
 
 
 def _quoted(pattern):

@@ -67,17 +67,27 @@ def neighbour_items(spark, sf):
     return T.neighbours(m.nested(spark, sf))
 
 
-@query("""SELECT r.upload_fk, r.item FROM m_items r WHERE parent IS NULL""")
+@query("""SELECT c_custkey AS upload_fk, 10 * c_custkey + CASE WHEN c_acctbal < 0 THEN 0 WHEN c_nationkey < 8 THEN 1 WHEN c_nationkey < 16 THEN 2 ELSE 3 END AS item FROM customer""")
 def fat_item(spark, sf):
-    return T.fat_items(m.items(spark, sf))
-
-
-@query("""SELECT CAST(id_path AS VARCHAR) id_path, name_path, depth FROM (SELECT array_to_string(ids, '/') AS id_path, substr(path, 2) AS name_path, depth FROM m_walk WHERE mode & 536870912 <> 0)""")
+    """A tree for each customer: folders in folders, one to three deep, above the orders; those in debt have a second folder at the top."""
+    c = m.table(spark, sf, "customer")
+    depth = "case when c_nationkey < 8 then 1 when c_nationkey < 16 then 2 else 3 end"
+    chain = c.withColumn("n", F.explode(F.sequence(F.lit(0), F.expr(depth)))).selectExpr("c_custkey upload_fk", "10 * c_custkey + n item", "if(n = 0, null, 10 * c_custkey + n - 1) parent", "536870912 mode")
+    second = c.filter("c_acctbal < 0").selectExpr("c_custkey upload_fk", "10 * c_custkey + 9 item", "10 * c_custkey parent", "536870912 mode")
+    files = m.table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).selectExpr("c_custkey upload_fk", "-o_orderkey - 1 item", f"10 * c_custkey + {depth} parent", "0 mode")
+    return T.fat_items(chain.union(second).union(files))
+
+
+@query("""WITH f AS (SELECT * FROM m_items WHERE mode & 536870912 <> 0), e AS (SELECT parent, item AS child FROM f WHERE parent IS NOT NULL UNION ALL SELECT 4 * ((n_regionkey + 1) % 5), 4 * n_nationkey + 1 FROM nation WHERE n_name LIKE 'I%' UNION ALL SELECT 4 * n_nationkey + 1, 4 * n_regionkey FROM nation WHERE n_name = 'CHINA'),
+    w AS (SELECT item AS folder, [item] AS ids, [name] AS names, FALSE AS cycle FROM f WHERE parent IS NULL UNION ALL SELECT child, list_append(ids, child), list_append(names, name), list_contains(ids, child) FROM w JOIN e ON w.folder = e.parent JOIN f ON f.item = e.child WHERE NOT cycle)
+    SELECT array_to_string(ids, '/') AS id_path, array_to_string(names, '/') AS name_path, CAST(len(ids) - 1 AS INTEGER) AS depth, cycle FROM w""")
 def folder_tree(spark, sf):
-    f = m.items(spark, sf).filter("mode & 536870912 != 0")
-    edges = f.filter("parent is not null").select("parent", F.col("item").alias("child"))
+    """All folders with their paths. Some nations are in two regions, and one holds its own region, which closes a cycle."""
+    f, nation = m.items(spark, sf).filter("mode & 536870912 != 0"), m.table(spark, sf, "nation")
+    edges = f.filter("parent is not null").selectExpr("parent", "item child")
+    edges = edges.union(nation.filter("n_name like 'I%'").selectExpr("cast(4 * ((n_regionkey + 1) % 5) as bigint)", "cast(4 * n_nationkey + 1 as bigint)")).union(nation.filter("n_name = 'CHINA'").selectExpr("cast(4 * n_nationkey + 1 as bigint)", "cast(4 * n_regionkey as bigint)"))
     out = T.folder_tree(f.select(F.col("item").alias("folder"), "name"), edges, f.filter("parent is null").select(F.col("item").alias("folder")))
-    return out.select("id_path", "name_path", "depth")
+    return out.select("id_path", "name_path", "depth", "cycle")
 
 
 @query("SELECT item AS folder FROM m_items WHERE mode & 536870912 <> 0 AND item NOT IN (SELECT unnest(ids) FROM m_walk WHERE upload_fk <> 0)")
