@@ -113,8 +113,8 @@ def with_copies(docs: DataFrame, source: Column, size: Column, identity: Column,
     apart. Rows of one source and size have one rate. Their copies are rounded size by size, the longest
     first, and what rounding leaves is carried to the next size, so that a source misses its target by a few
     words of its shortest documents; rows of lowest identity hash get the copy more where it isn't even. One
-    task at a time holds a source's counts by size, never its documents. Rows that repeat in full
-    share their number. Reruns agree: nothing depends on partitions or row order. Empty tables give no rows;
+    task at a time holds a source's counts by size, never its documents. Of rows that repeat in full as many
+    get the copy more as are wanted. Reruns agree: which of equal rows these are tells nothing. Empty tables give no rows;
     sources without words have target 0 and copies 0. Other columns stay; those of the names above are
     replaced.
     """
@@ -143,14 +143,31 @@ def with_copies(docs: DataFrame, source: Column, size: Column, identity: Column,
     before = renamed(before)
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("h")))
     ranked = ranked.join(before, same(ranked, before) & (F.col("part") == F.col("_part")))
-    last = ranked.filter(F.col("before") + F.col("rank") == F.col("more")).select(*keys, F.col("h").alias("last"))
-    last = renamed(last)
-    plan = dealt.join(last, same(dealt, last), "left").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", F.col("base").alias("_base"), F.col("last").alias("_last"))
-    plan = broadcast_if_small(written(plan, "plan"))
+    ranked = ranked.withColumn("place", F.col("before") + F.col("rank"))
+    last = renamed(ranked.filter("place = more").select(*keys, F.col("h").alias("last")))
+    # Rows that repeat in full have one hash. Of those at the cut, so many get the copy more.
+    at_cut = renamed(ranked.join(last, same(ranked, last) & (F.col("h") == F.col("last"))).groupBy(*keys).agg(F.first("last").alias("last"), (F.first("more") - F.min("place") + 1).alias("ties"), F.count("*").alias("equal")))
+    plan = dealt.join(at_cut, same(dealt, at_cut), "left").select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", F.col("base").alias("_base"), F.col("last").alias("_last"), F.col("ties").alias("_ties"), F.col("equal").alias("_equal"))
+    plan = written(plan, "plan")
+    split = not plan.filter("_ties < _equal").isEmpty()
     rows = rows.drop("source_size", "target", "copies").withColumn("_of", source).withColumn("_h", identity)
-    out = rows.join(plan, F.col("_of").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    copies = F.col("_base") + F.coalesce((F.col("_h") <= F.col("_last")).cast("long"), F.lit(0))
-    return out.withColumn("copies", F.least(copies, F.lit(most)).cast("long")).drop("_of", "_h", "_source", "_size", "_base", "_last")
+    out = rows.join(broadcast_if_small(plan), F.col("_of").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+    more = F.col("_h") <= F.col("_last")
+    helpers = ["_of", "_h", "_source", "_size", "_base", "_last", "_ties", "_equal"]
+    copies = lambda more: F.least(F.col("_base") + F.coalesce(more.cast("long"), F.lit(0)), F.lit(most)).cast("long")
+    if not split:
+        return out.withColumn("copies", copies(more)).drop(*helpers)
+    tied = (F.col("_h") == F.col("_last")) & (F.col("_ties") < F.col("_equal"))
+    some = written(out.filter(tied).withColumn("_part", F.spark_partition_id()), "tied-rows")
+    cell = ["_source", "_size", "_part"]
+    sizes = some.groupBy(*cell).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source", "_size").orderBy("_part")) - F.col("_n"))
+    sizes = sizes.select(*[F.col(c).alias(f"{c}_") for c in cell], "_before")
+    number = F.row_number().over(Window.partitionBy(*cell).orderBy("_h"))
+    match = F.col("_source").eqNullSafe(F.col("_source_")) & (F.col("_size") == F.col("_size_")) & (F.col("_part") == F.col("_part_"))
+    some = some.withColumn("_number", number).join(sizes, match).withColumn("copies", copies(F.col("_before") + F.col("_number") <= F.col("_ties")))
+    rest = out.filter(~F.coalesce(tied, F.lit(False))).withColumn("copies", copies(more)).drop(*helpers)
+    return rest.unionByName(some.select(rest.columns))
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -203,3 +203,45 @@ def test_mix_meets_its_targets(spark):
         assert abs(target[s] - want[s]) < 1e-6 * want[s]
         assert abs(taken[s] - target[s]) <= 0.01 * target[s] + 5
     assert with_copies(docs.limit(0), F.col("source"), word_count(F.col("text")), F.xxhash64("doc_id")).count() == 0
+
+
+def solved_rate(sizes, target, most=2):
+    """Rates of documents of these sizes that use up a target, by halving: most / (1 + exp(-tilt * size / mean size))."""
+    if target >= most * sum(sizes) * (1 - 1e-12):
+        return dict.fromkeys(sizes, float(most))
+    mean, low, high = sum(sizes) / len(sizes), -700.0, 700.0
+    rate = lambda tilt, size: most / (1 + np.exp(-np.clip(tilt * size / mean, -700, 700)))
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(s * rate(middle, s) for s in sizes) < target else (low, middle)
+    return {s: rate((low + high) / 2, s) for s in set(sizes)}
+
+
+def test_rates_of_a_mix_by_solving_the_dual_in_plain_python(spark):
+    """The words that the longest documents of a source take, down to any size, are what their rates say; even rates would not do."""
+    rnd = random.Random(6)
+    sizes = {s: [rnd.choice([1, 3, 10, 40, 200]) for _ in range(n)] for s, n in (("a", 120), ("b", 400), ("c", 60), ("d", 20))}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    got = with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.col("source"), word_count(F.col("text")), F.xxhash64("doc_id", "text")).collect()
+    even_is_wrong = False
+    for source, own in sizes.items():
+        target = next(r.target for r in got if r.source == source)
+        rates = solved_rate(own, target)
+        for least in sorted(set(own), reverse=True):
+            want = sum(n * rates[n] for n in own if n >= least)
+            taken = sum(r.copies * r.size for r in got if r.source == source and r.size >= least)
+            assert abs(taken - want) <= least / 2 + 1e-6, (source, least)
+            even_is_wrong |= abs(sum(n for n in own if n >= least) * target / sum(own) - want) > 2 * least
+    assert even_is_wrong
+
+
+def test_mix_of_rows_that_repeat_in_full(spark):
+    """1300 equal rows beside others: their source meets its target within a row, however the rows are dealt."""
+    rows = [(1, "ten words " * 5, "a")] * 1300 + [(i, "w " * 7, "b") for i in range(2, 400)] + [(500, None, None)] * 3 + [(501, "x y", None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [with_copies(df.repartition(n), F.col("source"), word_count(F.col("text")), F.xxhash64("doc_id", "text")).collect() for n in (1, 7)]
+    assert Counter(map(str, runs[0])) == Counter(map(str, runs[1])) and len(runs[0]) == len(rows)
+    for source, size in (("a", 10), ("b", 7), (None, 2)):
+        own = [r for r in runs[0] if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= size
+        assert all(0 <= r.copies <= 2 for r in own)
