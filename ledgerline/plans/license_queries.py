@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerline.operators import automaton as A
@@ -12,6 +13,7 @@ from ledgerline.operators import phrase_index as PI
 from ledgerline.operators import rule_graph as L
 from ledgerline.operators import scanner_functions as SF
 from ledgerline.operators.phrases import token_array
+from ledgerline.sources import charsets as CS
 from ledgerline.sources import rdf as R
 from ledgerline.storage import shared_folder
 
@@ -121,3 +123,25 @@ def candidates_of_new_phrases(spark, sf):
     files = m.table(spark, sf, "documents").select(F.col("doc_id").alias("pfile_fk"), token_array(F.col("text")).alias("tokens"))
     seen = PI.marked_scanned(m.table(spark, sf, "labels").select(F.col("doc_id").alias("pfile_fk")), first)
     return PI.new_candidates(files, seen, table)
+
+
+#: Charsets, and their letters for a to z: words keep their lengths and repeats.
+_LETTERS = {"cp1251": "абцдефгхийклмнопярстувжыьз", "koi8_r": "абцдефгхийклмнопярстувжыьз", "euc_jp": "あきくけこしすせそたちつてとなにぬねのはひふまやらん", "big5": "的一是不了人我在有他這為之大來以個中上們到說國和地"}
+_OTHER_TEXT = "translate(lower(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', ([{}])[(doc_id % {} + 1)::INT])".format(", ".join(f"'{x}'" for x in _LETTERS.values()), len(_LETTERS))
+
+
+def _encoded(batches):
+    names = list(_LETTERS)
+    for rows in batches:
+        made = [t.encode(names[i % len(names)]) for i, t in zip(rows.doc_id, rows.text, strict=True)]
+        yield pd.DataFrame({"doc_id": rows.doc_id, "content": made})
+
+
+@query(f"SELECT doc_id, {_OTHER_TEXT} AS text FROM documents WHERE text IS NOT NULL")
+def texts_of_other_charsets(spark, sf):
+    """Documents in other letters, written in four charsets and read without being told which."""
+    docs = m.table(spark, sf, "documents").filter("text is not null")
+    text = F.lower(F.regexp_replace("text", r"[^\x01-\x7F]", ""))
+    each = [F.when(F.col("doc_id") % len(_LETTERS) == i, F.translate(text, "abcdefghijklmnopqrstuvwxyz", x)) for i, x in enumerate(_LETTERS.values())]
+    content = docs.select("doc_id", F.coalesce(*each).alias("text")).mapInPandas(_encoded, "doc_id long, content binary")
+    return CS.with_charset(content, "doc_id").select("doc_id", "text")

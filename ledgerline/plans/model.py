@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.tree import nested_set
-from ledgerline.storage import settled
+from ledgerline.storage import settled, still_there
 
 _nested: dict[tuple, DataFrame] = {}
 
@@ -52,7 +52,7 @@ def _state(spark: SparkSession, paths: list[str]) -> list[tuple[int, int]]:
 def nested(spark: SparkSession, sf: str) -> DataFrame:
     """items with lft and rgt, numbered once for each state of a data folder, as an ingestion does."""
     key = (spark.sparkContext.applicationId, sf, *_state(spark, [f"{sf}/{n}.parquet" for n in ("region", "nation", "customer", "orders")]))
-    if key not in _nested:
+    if key not in _nested or not still_there(_nested[key]):
         _nested[key] = settled(nested_set(items(spark, sf)), "nested")
     return _nested[key]
 

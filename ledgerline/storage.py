@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not _one_machine(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        found = _local.setdefault(app, _local.get(app) or tempfile.mkdtemp(prefix="ledgerline-"))
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="ledgerline-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        found = _local[app]
     return found
 
 
@@ -37,4 +42,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: cuts the lineage, and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/core/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a settled() table have not been cleared."""
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    return folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(folder)

@@ -252,3 +252,16 @@ def test_empty_tables(spark):
     assert T.nested_set(tree).count() == 0 and T.full_paths(tree).count() == 0
     names = spark.createDataFrame([], "folder long, item long, name string")
     assert N.matched_names(names, names).count() == 0
+
+
+def test_numbered_trees_outlive_a_clearing(spark):
+    """Tables that were cleared away are made anew."""
+    from ledgerline import storage
+    from ledgerline.plans import model as m
+
+    from ..conftest import SMALL
+
+    before = m.nested(spark, SMALL).count()
+    assert m.nested(spark, SMALL) is m.nested(spark, SMALL)
+    storage.clear(spark)
+    assert m.nested(spark, SMALL).count() == before > 0
