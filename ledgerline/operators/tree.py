@@ -16,8 +16,6 @@ from ledgerline.functions.content import is_artifact, is_container, is_plain
 from ledgerline.storage import settled
 
 DEPTH = 100
-#: Up to so many children a folder's running sum is one window; if any folder of a level has more, parts of it are summed apart.
-CHILDREN_AT_ONCE = 100_000
 
 
 def running_total(rows: DataFrame, group: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -53,31 +51,18 @@ def levels(tree: DataFrame, carry: dict[str, tuple[Column, Column]] | None = Non
 def nested_set(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     """tree with lft and rgt of a depth-first walk, 0 to 2n-1 in each root; containers first, then names, then items.
 
-    Sizes are summed upwards level by level, positions are handed downwards; no window spans a whole upload.
+    A walk enters and leaves each item once. Each item's path, as an array that sorts as the walk goes, is where it is
+    entered, and the path with an element behind all others is where it is left. So these 2n places are sorted once
+    over all partitions and numbered by a running count, whatever the depth and however large a folder.
     """
-    by_level = levels(tree, depth=depth)
-    sized: list[DataFrame] = []
-    sizes = None
-    for rows in reversed(by_level):
-        if sizes is None:
-            rows = rows.withColumn("size", F.lit(1).cast("long"))
-        else:
-            rows = rows.join(sizes, rows["item"] == sizes["_of"], "left").withColumn("size", F.coalesce("_size", F.lit(0)) + 1).drop("_of", "_size")
-        rows = settled(rows, "sized")
-        sizes = rows.groupBy("parent").agg(F.sum("size").alias("_size")).withColumnRenamed("parent", "_of")
-        sized.insert(0, rows)
-    placed = [sized[0].withColumn("lft", F.lit(0).cast("long"))]
-    for rows in sized[1:]:
-        order = [(~is_container(F.col("mode"))).cast("int"), F.col("name"), F.col("item")]
-        if (rows.groupBy("parent").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > CHILDREN_AT_ONCE:
-            rows = running_total(rows, "parent", order, "size", "_earlier")
-        else:
-            before = Window.partitionBy("parent").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-            rows = rows.withColumn("_earlier", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        above = placed[-1].select(F.col("item").alias("_up"), F.col("lft").alias("_lft"))
-        placed.append(settled(rows.join(above, rows["parent"] == above["_up"]).withColumn("lft", F.col("_lft") + 1 + 2 * F.col("_earlier")).drop("_up", "_lft", "_earlier"), "placed"))
-    out = reduce(DataFrame.unionByName, placed)
-    return out.withColumn("rgt", F.col("lft") + 2 * F.col("size") - 1).select(*tree.columns, "depth", "lft", "rgt")
+    own = F.struct((~is_container(F.col("mode"))).cast("int").alias("kind"), F.col("name").alias("name"), F.col("item").cast("long").alias("item"))
+    carried = {"_path": (F.array(own), F.array_append(F.col("p__path"), own)), "_root": (F.col("item"), F.col("p__root"))}
+    rows = reduce(DataFrame.unionByName, levels(tree, carried, depth))
+    after = F.struct(F.lit(2).alias("kind"), F.lit("").alias("name"), F.lit(0).cast("long").alias("item"))
+    places = rows.select("_root", "item", F.explode(F.array(F.col("_path"), F.array_append("_path", after))).alias("_at"), F.lit(1).cast("long").alias("_one"))
+    counted = running_total(places, "_root", [F.col("_at")], "_one", "_place")
+    numbers = counted.groupBy("item").agg(F.min("_place").alias("lft"), F.max("_place").alias("rgt"))
+    return rows.join(numbers, "item").select(*tree.columns, "depth", "lft", "rgt")
 
 
 def full_paths(tree: DataFrame, skip_artifacts: bool = False, depth: int = DEPTH) -> DataFrame:
