@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.storage import settled
 
-# Namespaces, and the markers of licenses that are not on the SPDX list.
+# Namespaces, and the marker of licenses that are not on the SPDX list.
 RDF, TERMS, LICENSES = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://spdx.org/rdf/terms#", "http://spdx.org/licenses/"
-REF_PREFIX, OWN_REF_PREFIX, DUAL = "LicenseRef-", "LicenseRef-fossology-", "Dual-license"
+REF_PREFIX, DUAL = "LicenseRef-", "Dual-license"
 #: Sets within sets.
 MOST_LEVELS = 30
 
@@ -119,19 +119,22 @@ def listed_files(t: DataFrame) -> DataFrame:
     return has.union(inside.join(has.select("doc").distinct(), "doc", "left_anti")).distinct()
 
 
-def _license_id(raw: Column, extracted: Column) -> Column:
-    """An id without its markers; that of an own text without the hash at its end, too."""
-    bare = F.when(raw.startswith(OWN_REF_PREFIX), F.substring(raw, len(OWN_REF_PREFIX) + 1, 1 << 20)).when(raw.startswith(REF_PREFIX), F.substring(raw, len(REF_PREFIX) + 1, 1 << 20)).otherwise(raw)
+def _license_id(raw: Column, extracted: Column, tool: str) -> Column:
+    """An id without its marker and that of a tool, if it has one; that of an own text without the hash at its end, too."""
+    bare = F.when(raw.startswith(REF_PREFIX), F.substring(raw, len(REF_PREFIX) + 1, 1 << 20)).otherwise(raw)
+    if tool:
+        bare = F.when(raw.startswith(REF_PREFIX + tool), F.substring(raw, len(REF_PREFIX + tool) + 1, 1 << 20)).otherwise(bare)
     bare = F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))
     return F.when(extracted, F.regexp_replace(bare, "^(.+)-[A-Za-z0-9]{32}$", "$1")).otherwise(bare)
 
 
-def licenses_of(t: DataFrame, refs: DataFrame) -> DataFrame:
+def licenses_of(t: DataFrame, refs: DataFrame, tool: str = "") -> DataFrame:
     """refs(doc, file, use, node) with license for each license that a node stands for.
 
     Sets of licenses are followed level by level: members of a conjunctive set, those of a disjunctive one behind the
     name for a choice, those of an "or later" with its ending. A license is told by its own id if it is described with
-    id, name and text, else by its address in the SPDX list; others and NOASSERTION are none. RuntimeError beyond
+    id, name and text, else by its address in the SPDX list; others and NOASSERTION are none. tool: what the ids of the
+    tool that wrote the documents begin with, behind the marker of own licenses (``name-``). RuntimeError beyond
     MOST_LEVELS, which a set that holds itself would cause.
     """
     t = t.filter(F.col("p").isin(RDF + "type", *[TERMS + x for x in ("member", "licenseId", "name", "extractedText", "licenseText")]))
@@ -139,7 +142,7 @@ def licenses_of(t: DataFrame, refs: DataFrame) -> DataFrame:
     literal = lambda term, to: _pairs(t, term, "node", to, True).groupBy("doc", "node").agg(F.first(to).alias(to))
     text = literal("extractedText", "text").withColumn("extracted", F.lit(True)).union(literal("licenseText", "text").withColumn("extracted", F.lit(False)))
     own = described.withColumn("extracted", F.col("kind") == "ExtractedLicensingInfo").join(literal("licenseId", "id"), ["doc", "node"], "left").join(literal("name", "title"), ["doc", "node"], "left").join(text, ["doc", "node", "extracted"], "left")
-    own = settled(own.groupBy("doc", "node").agg(F.max(F.when(F.col("title").isNotNull() & F.col("text").isNotNull(), _license_id(F.col("id"), F.col("extracted")))).alias("own")), "described")
+    own = settled(own.groupBy("doc", "node").agg(F.max(F.when(F.col("title").isNotNull() & F.col("text").isNotNull(), _license_id(F.col("id"), F.col("extracted"), tool))).alias("own")), "described")
     sets = _type_of(t, "DisjunctiveLicenseSet", "ConjunctiveLicenseSet", "OrLaterOperator").withColumnRenamed("kind", "set")
     members = _pairs(t, "member", "node", "member").distinct()
     members = settled(sets.join(members.groupBy("doc", "node").agg(F.collect_set("member").alias("members")), ["doc", "node"], "left"), "sets")
@@ -160,7 +163,7 @@ def licenses_of(t: DataFrame, refs: DataFrame) -> DataFrame:
     raise RuntimeError(f"more than {MOST_LEVELS} levels of license sets; does one hold itself?")
 
 
-def files_of(t: DataFrame) -> DataFrame:
+def files_of(t: DataFrame, tool: str = "") -> DataFrame:
     """doc, file, name, hash (SHA-1, lower case), concluded, found (sorted arrays of licenses), copyright of triples' files.
 
     References are resolved wherever the document describes what they name. A file without a name is none. A copyright
@@ -174,17 +177,17 @@ def files_of(t: DataFrame) -> DataFrame:
     uses = [_pairs(t, term, "file", "node").withColumn("use", F.lit(use)) for term, use in (("licenseConcluded", "concluded"), ("licenseInfoInFile", "found"))]
     refs = uses[0].unionByName(uses[1]).join(files.select("doc", "file"), ["doc", "file"], "left_semi")
     by_use = lambda use: F.sort_array(F.collect_set(F.when(F.col("use") == use, F.col("license")))).alias(use)
-    licenses = licenses_of(t, refs).groupBy("doc", "file").agg(by_use("concluded"), by_use("found"))
+    licenses = licenses_of(t, refs, tool).groupBy("doc", "file").agg(by_use("concluded"), by_use("found"))
     rights = _pairs(t, "copyrightText", "file", "copyright", True).groupBy("doc", "file").agg(F.count("*").alias("n"), F.min("copyright").alias("copyright")).filter("n = 1").drop("n")
     none = F.array().cast("array<string>")
     out = files.join(sums, ["doc", "file"], "left").join(licenses, ["doc", "file"], "left").join(rights, ["doc", "file"], "left")
     return out.select("doc", "file", "name", "hash", F.coalesce("concluded", none).alias("concluded"), F.coalesce("found", none).alias("found"), "copyright")
 
 
-def read_spdx_rdf(spark: SparkSession, path: str) -> DataFrame:
+def read_spdx_rdf(spark: SparkSession, path: str, tool: str = "") -> DataFrame:
     """name, hash, concluded (one string), found, copyright of the files of SPDX 2 RDF/XML documents."""
     documents = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))
-    return files_of(triples(documents)).select("name", "hash", F.nullif(F.array_join("concluded", " AND "), F.lit("")).alias("concluded"), "found", "copyright")
+    return files_of(triples(documents), tool).select("name", "hash", F.nullif(F.array_join("concluded", " AND "), F.lit("")).alias("concluded"), "found", "copyright")
 
 
 def _escaped(c: Column) -> Column:

@@ -19,7 +19,7 @@ DOCUMENT = f"""{HEAD}
 <spdx:Checksum rdf:ID="sum" spdx:checksumValue=" ABCD "><spdx:algorithm rdf:resource="{R.TERMS}checksumAlgorithm_sha1"/></spdx:Checksum>
 <spdx:ConjunctiveLicenseSet rdf:nodeID="set"><spdx:member rdf:resource="{R.LICENSES}MIT"/><spdx:member><spdx:DisjunctiveLicenseSet><spdx:member rdf:resource="{R.LICENSES}ISC"/><spdx:member rdf:nodeID="later"/></spdx:DisjunctiveLicenseSet></spdx:member></spdx:ConjunctiveLicenseSet>
 <spdx:OrLaterOperator rdf:nodeID="later"><spdx:member><spdx:ConjunctiveLicenseSet><spdx:member rdf:resource="{R.LICENSES}LGPL-2.1"/><spdx:member rdf:resource="#plain"/></spdx:ConjunctiveLicenseSet></spdx:member></spdx:OrLaterOperator>
-<spdx:ExtractedLicensingInfo rdf:ID="own" spdx:licenseId="LicenseRef-fossology-My%20Own-{MD5}"><spdx:name>My Own</spdx:name><spdx:extractedText>text</spdx:extractedText></spdx:ExtractedLicensingInfo>
+<spdx:ExtractedLicensingInfo rdf:ID="own" spdx:licenseId="LicenseRef-tool-My%20Own-{MD5}"><spdx:name>My Own</spdx:name><spdx:extractedText>text</spdx:extractedText></spdx:ExtractedLicensingInfo>
 <spdx:License rdf:ID="plain"><spdx:licenseId>LicenseRef-Plain-{MD5}</spdx:licenseId><spdx:name>Plain</spdx:name><spdx:licenseText>text</spdx:licenseText></spdx:License>
 <spdx:ExtractedLicensingInfo rdf:ID="textless" spdx:licenseId="LicenseRef-Lost"><spdx:name>Lost</spdx:name></spdx:ExtractedLicensingInfo>
 <rdf:Description rdf:about="http://x/two"><spdx:fileName>two</spdx:fileName><spdx:licenseConcluded rdf:resource="#textless"/><spdx:copyrightText>a</spdx:copyrightText><spdx:copyrightText>b</spdx:copyrightText></rdf:Description>
@@ -32,7 +32,7 @@ CONTAINS = f"""{HEAD}<spdx:SpdxDocument rdf:about="#d"><spdx:relationship rdf:pa
 
 
 def read(spark, **documents):
-    return R.files_of(R.triples(spark.createDataFrame(list(documents.items()), "doc string, text string"))).orderBy("doc", "name").collect()
+    return R.files_of(R.triples(spark.createDataFrame(list(documents.items()), "doc string, text string")), "tool-").orderBy("doc", "name").collect()
 
 
 def test_references_sets_and_own_texts(spark):
