@@ -73,7 +73,8 @@ def leaf_buckets(files: DataFrame, rules: list[Bucket]) -> DataFrame:
     """item and bucket for files(item, name, licenses array, is_package) (C17).
 
     Rules are tried in order; one with ``stop`` that holds ends the list. The default bucket takes files that no
-    rule took. Both operands of a two-part test are always evaluated. No shuffle.
+    rule took. Both operands of a two-part test are always evaluated. Where licenses are null nothing is known of them:
+    no test of a license holds, neither one that asks for it nor one that rules it out. No shuffle.
     """
     open_, any_hit, kept = F.lit(True), F.lit(False), []
     for rule in rules:

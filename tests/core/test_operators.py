@@ -91,6 +91,25 @@ def test_buckets_in_order(spark):
     assert got == [(1, 1), (2, 2), (2, 3), (2, 4), (3, 9)]
 
 
+def test_nothing_known_of_licenses_holds_no_test_of_them(spark):
+    files = spark.createDataFrame([(1, "a.h", None), (2, "b.h", []), (3, "c.h", ["SMALL"]), (4, "d.h", ["GPL"])], "item long, name string, licenses array<string>").withColumn("is_package", F.lit(False))
+    rules = [B.Bucket(1, "every", sets=[["GPL"]]), B.Bucket(2, "only", sets=[["GPL"]]), B.Bucket(5, "file", tests=[("name", r"\.h$", "not", "license", "SMALL")]), B.Bucket(99, "default")]
+    assert sorted(tuple(r) for r in B.leaf_buckets(files, rules).collect()) == [(1, 99), (2, 5), (3, 99), (4, 1), (4, 2), (4, 5)]
+
+
+def test_files_without_findings_have_unknown_licenses(spark, tmp_path):
+    from ledgerline.plans import model as m
+
+    tables = {"region": "select 0 r_regionkey, 'R' r_name", "nation": "select 0 n_nationkey, 'N' n_name, 0 n_regionkey", "customer": "select 1L c_custkey, 'C' c_name, 0 c_nationkey",
+              "orders": "select id o_orderkey, 1L o_custkey, 'F' o_orderstatus, '2' o_orderpriority from range(2, 8)", "part": "select 1L p_partkey, 'n' p_name, 'b' p_brand, 'PROMO' p_type, 1 p_size",
+              "lineitem": "select * from values (2L, 1L, 1L, 1, 1.0), (4L, 1L, 1L, 7, 1.0) t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity)"}
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.item: r.licenses for r in m.fileset(spark, str(tmp_path)).collect()}
+    assert got == {11: ["PROMO"], 15: ["PROMO"], 19: None, 23: None, 27: None, 31: None}
+
+
+
 def test_compatibility(spark):
     licenses = spark.createDataFrame([(1, "MIT", "Permissive"), (2, "BSD", "Permissive"), (3, "GPL", "Strong"), (4, "LGPL", "Weak"), (5, "Void", "x")], "rf_pk long, shortname string, license_type string")
     findings = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 4), (2, 1), (3, 5), (3, 1), (4, None)], "pfile_fk long, rf_fk long")
