@@ -36,3 +36,9 @@ def test_edges(spark):
     rows = [(1, None), (2, bytearray()), (3, bytearray(b"plain")), (4, bytearray("é".encode())), (5, bytearray("Crème brûlée à la façon".encode("cp1252")))]
     got = {r.k: (r.charset, r.text) for r in C.with_charset(spark.createDataFrame(rows, "k long, content binary"), "k").collect()}
     assert got == {1: (None, None), 2: ("utf-8", ""), 3: ("utf-8", "plain"), 4: ("utf-8", "é"), 5: ("cp1252", "Crème brûlée à la façon")}
+
+
+@pytest.mark.parametrize("text,charset", [("的 的 的 的", "big5"), ("фр ер фр ер", "koi8_r"), ("анен. анен. анен.", "koi8_r"), ("ергеер ергеер", "koi8_r")])
+def test_texts_of_one_word_repeated(text, charset):
+    """Readings in letters beside those of a charset's languages cost more; of readings that cost the same the likelier charset's counts."""
+    assert text.encode(charset).decode(C.guessed(text.encode(charset))) == text
