@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .phrases import RUN, _heads, germs, searched
+from .phrases import RUN, _heads, germs, searched, sought
 
 #: Buckets of the stored table: texts are dealt likewise, so the index itself never moves.
 BUCKETS = 32
@@ -49,8 +49,8 @@ def new_candidates(files: DataFrame, seen: DataFrame, table: str, buckets: int =
     if not newest:
         return files.select("pfile_fk", F.lit(None).cast("long").alias("rf_pk"), F.lit(0).alias("t"), F.lit(0).alias("s")).limit(0)
     index = spark.table(table)
-    lengths = tuple(sorted(r.n for r in index.select("n").distinct().collect())) or (RUN,)  # 1, 2, 3 at most
-    heads = _heads(due.withColumn("_key", F.struct("pfile_fk", "seen")), "_key", "tokens", lengths).select("_key", "n", "t", "run")
+    lengths, wanted = sought(index)
+    heads = _heads(due.withColumn("_key", F.struct("pfile_fk", "seen")), "_key", "tokens", lengths or (RUN,), wanted).select("_key", "n", "t", "run")
     joined = heads.repartition(buckets, "n", "run").join(index, ["n", "run"]).filter(F.col("version") > F.col("_key.seen"))
     return joined.select("_key.pfile_fk", "rf_pk", "t", "s")
 

@@ -70,10 +70,22 @@ def runs(tokens_col: str, first: int | None = None, length: int = RUN) -> Column
     return F.when(ends > 0, F.transform(F.sequence(F.lit(1), ends), at))
 
 
-def _heads(df: DataFrame, key: str, column: str, lengths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """key, n, t, run: the runs of so many tokens of a text, in one scan. Only hashes are exploded, not the tokens."""
+#: Up to so many runs that are sought are compared with where texts are read, before anything is exploded or joined.
+MOST_SOUGHT = 2000
+
+
+def sought(index: DataFrame) -> tuple[tuple[int, ...], list[int] | None]:
+    """The lengths of the runs (n, run) of an index, 1, 2 and 3 at most, and the runs themselves unless they are too many."""
+    few = index.select("n", "run").distinct().limit(MOST_SOUGHT + 1).collect()
+    if len(few) <= MOST_SOUGHT:
+        return tuple(sorted({r.n for r in few})), sorted({r.run for r in few})
+    return tuple(sorted(r.n for r in index.select("n").distinct().collect())), None
+
+
+def _heads(df: DataFrame, key: str, column: str, lengths: tuple[int, ...] = (1, 2, 3), wanted: list[int] | None = None) -> DataFrame:
+    """key, n, t, run: the runs of so many tokens of a text, in one scan, or those that are wanted. Only hashes are exploded, not the tokens."""
     placed = lambda n: F.transform(runs(column, length=n), lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("t"), x.alias("run")))
-    each = [placed(n) for n in lengths]
+    each = [placed(n) if wanted is None else F.filter(placed(n), lambda h: h["run"].isin(wanted)) for n in lengths]
     none = F.array().cast("array<struct<n:int,t:int,run:bigint>>")
     return df.select(key, F.explode(F.concat(*[F.coalesce(x, none) for x in each])).alias("h")).select(key, "h.n", "h.t", "h.run")
 
@@ -90,13 +102,14 @@ def candidates(files: DataFrame, phrases: DataFrame) -> DataFrame:
     """pfile_fk, rf_pk, t, s: a run of the text at t equals one of the phrase at s (S3, S4); phrases of up to three tokens at s = 0.
 
     files: pfile_fk, tokens; phrases: rf_pk, tokens. Texts are read once, and only runs of lengths that a phrase is
-    looked up by are made. Phrases outnumber files by far nowhere, so Spark chooses the side to broadcast by size.
+    looked up by are made; where phrases are few, others than theirs are dropped on the spot. Phrases outnumber files by
+    far nowhere, so Spark chooses the side to broadcast by size.
     """
     index = germs(phrases)
-    lengths = tuple(sorted(r.n for r in index.select("n").distinct().collect()))  # 1, 2, 3 at most
+    lengths, wanted = sought(index)
     if not lengths:
         return files.select("pfile_fk", F.lit(None).cast("long").alias("rf_pk"), F.lit(0).alias("t"), F.lit(0).alias("s")).limit(0)
-    return _heads(files, "pfile_fk", "tokens", lengths).join(index, ["n", "run"]).select("pfile_fk", "rf_pk", "t", "s")
+    return _heads(files, "pfile_fk", "tokens", lengths, wanted).join(index, ["n", "run"]).select("pfile_fk", "rf_pk", "t", "s")
 
 
 @cache
@@ -332,8 +345,8 @@ def phrase_hits(files: DataFrame, phrases: DataFrame) -> DataFrame:
     size = F.least(F.size("wanted"), F.lit(RUN))
     run = F.coalesce(*[F.when(size == n, F.element_at(runs("wanted", 1, n), 1)) for n in range(1, RUN + 1)])
     heads = p.select("phrase_pk", size.alias("n"), run.alias("run"))
-    lengths = tuple(sorted(r.n for r in heads.select("n").distinct().collect())) or (RUN,)
-    spots = _heads(f, "pfile_fk", "tokens", lengths).join(heads, ["n", "run"])
+    lengths, wanted = sought(heads)
+    spots = _heads(f, "pfile_fk", "tokens", lengths or (RUN,), wanted).join(heads, ["n", "run"])
     per_file = spots.groupBy("pfile_fk", "phrase_pk").agg(F.collect_list("t").alias("spots")).join(p, "phrase_pk")
     same = F.exists("spots", lambda t: F.slice("tokens", t + 1, F.size("wanted")) == F.col("wanted"))
     return per_file.join(f, "pfile_fk").filter(same).select("pfile_fk", "phrase_pk")
