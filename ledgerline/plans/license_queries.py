@@ -82,20 +82,22 @@ def cleaned_for_rules(spark, sf):
     return A.scanned(docs, ["doc_id"], F.col("text"), ["license"], clean=True).select("doc_id", F.trim("clean").alias("clean"))
 
 
+#: Files of one RDF bill of material: a bill is parsed by one task, so more files make more bills, not larger ones.
+_FILES_OF_A_BILL = 5000
 _RDF_LICENSES = "['MIT', 'Apache-2.0', 'GPL-2.0+', 'BSD 3']"
 
 
 @query(f"""SELECT 'docs/' || doc_id || ' & more.txt' AS name, sha1(text) AS hash, array_to_string(CASE doc_id % 4 WHEN 0 THEN ['Apache-2.0', 'MIT'] WHEN 1 THEN ['BSD 3', '{R.DUAL}', 'GPL-2.0+'] WHEN 2 THEN ['MIT-or-later'] ELSE [({_RDF_LICENSES})[(length(text) % 4 + 1)::INT]] END, ';') AS concluded,
     lang AS found, replace(text[:40], chr(13), chr(10)) AS copyright FROM documents WHERE text IS NOT NULL""")
 def spdx_rdf_round_trip(spark, sf):
-    """Every document as a file of an RDF bill of materials, one bill for each partition, read again by its triples."""
+    """Every document as a file of an RDF bill of materials, one bill for some thousand files, read again by its triples."""
     docs = m.table(spark, sf, "documents").filter("text is not null").select("doc_id", "lang", "text")
     two = F.when(F.expr("doc_id % 4") == 0, F.array(F.lit("Apache-2.0"), F.lit("MIT"))).when(F.expr("doc_id % 4") == 1, F.array(F.lit("GPL-2.0+"), F.lit("BSD 3"))).when(F.expr("doc_id % 4") == 2, F.array(F.lit("MIT")))
     one = F.array(F.element_at(F.array(*[F.lit(x) for x in ("MIT", "Apache-2.0", "GPL-2.0+", "BSD 3")]), (F.length("text") % 4 + 1).cast("int")))
     how = F.element_at(F.array(F.lit("AND"), F.lit("OR"), F.lit("LATER"), F.lit(None)), F.expr("cast(doc_id % 4 + 1 as int)"))
     files = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("docs/"), "doc_id", F.lit(" & more.txt")).alias("name"), F.sha1("text").alias("sha1"), how.alias("operator"), F.coalesce(two, one).alias("licenses"), F.array_compact(F.array("lang")).alias("found"), F.substring("text", 1, 40).alias("copyright"))
     path = f"{shared_folder(spark)}/core/{spark.sparkContext.applicationId}/rdf-{uuid.uuid4().hex}"
-    R.write_spdx_rdf(files.repartition(8, "id"), path)
+    R.write_spdx_rdf(files.repartition(max(8, -(-docs.count() // _FILES_OF_A_BILL)), "id"), path)
     bill = R.files_of(R.triples(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value").alias("text"))))
     return bill.select("name", "hash", F.array_join("concluded", ";").alias("concluded"), F.nullif(F.array_join("found", ";"), F.lit("")).alias("found"), "copyright")
 
