@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.storage import settled
+from ledgerline.storage import broadcast_if_few, settled
 
 from .tree import held_pairs
 
@@ -346,15 +346,15 @@ def phrase_hits(files: DataFrame, phrases: DataFrame) -> DataFrame:
     run = F.coalesce(*[F.when(size == n, F.element_at(runs("wanted", 1, n), 1)) for n in range(1, RUN + 1)])
     heads = p.select("phrase_pk", size.alias("n"), run.alias("run"))
     lengths, wanted = sought(heads)
-    spots = _heads(f, "pfile_fk", "tokens", lengths or (RUN,), wanted).join(heads, ["n", "run"])
-    per_file = spots.groupBy("pfile_fk", "phrase_pk").agg(F.collect_list("t").alias("spots")).join(p, "phrase_pk")
+    spots = _heads(f, "pfile_fk", "tokens", lengths or (RUN,), wanted).join(broadcast_if_few(heads), ["n", "run"])
+    per_file = spots.groupBy("pfile_fk", "phrase_pk").agg(F.collect_list("t").alias("spots")).join(broadcast_if_few(p, 1000), "phrase_pk")
     same = F.exists("spots", lambda t: F.slice("tokens", t + 1, F.size("wanted")) == F.col("wanted"))
     return per_file.join(f, "pfile_fk").filter(same).select("pfile_fk", "phrase_pk")
 
 
 def phrase_licenses(hits: DataFrame, phrase_map: DataFrame) -> DataFrame:
     """pfile_fk, rf_fk, removed of the licenses that found phrases stand for (S12); phrase_map: phrase_pk, rf_fk, removed."""
-    return hits.join(phrase_map, "phrase_pk").select("pfile_fk", "rf_fk", "removed").distinct()
+    return hits.join(broadcast_if_few(phrase_map), "phrase_pk").select("pfile_fk", "rf_fk", "removed").distinct()
 
 
 def scan_candidates(items: DataFrame, decisions: DataFrame, findings: DataFrame, skip_irrelevant: bool = True, only_with_findings: bool = False, irrelevant: int = 4) -> DataFrame:

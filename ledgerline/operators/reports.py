@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.content import is_plain
 from ledgerline.functions.text import license_expression, natural_key
+from ledgerline.storage import broadcast_if_few
 
 from .decisions import DO_NOT_USE, IDENTIFIED, IRRELEVANT, NON_FUNCTIONAL
 
@@ -169,4 +170,4 @@ def export_obligations(obligations: DataFrame, bridge: DataFrame, licenses: Data
 
 def bucket_list(paths: DataFrame, leaves: DataFrame, names: DataFrame) -> DataFrame:
     """path and bucket_name of every file in a bucket (I27): paths(item, path), leaves(item, bucket), names(bucket, bucket_name)."""
-    return paths.select("item", "path").join(leaves, "item").join(names, "bucket").select("path", "bucket_name")
+    return paths.select("item", "path").join(leaves, "item").join(broadcast_if_few(names), "bucket").select("path", "bucket_name")
