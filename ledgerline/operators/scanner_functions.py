@@ -1,11 +1,12 @@
 """Scanners as table functions of SQL: SELECT ... FROM files, LATERAL scan_pattern(text, ...) (the interface of section 2.11).
 
-A scanner is registered once in a session. Its output columns are found when a query is analysed; texts come in Arrow
-batches. The rows are those of the DataFrame forms.
+A scanner is registered once in a session. Its output columns are found when a query is analysed; texts come a
+row at a time, for which Arrow has a table each to make. The rows are those of the DataFrame forms.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from .automaton import SYMBOLS, Automaton, _symbols
+from .automaton import _LETTERS, SYMBOLS, Automaton, _symbols
 
 
 def _constant(argument: AnalyzeArgument, name: str) -> str:
@@ -44,9 +45,10 @@ class PatternScanner:
         return AnalyzeResult(_columns("type", "content", more=tuple(names)))
 
     def eval(self, text: str | None, pattern: str, kind: str = "match", group: int = 0) -> Iterator[tuple]:
-        for m in re.finditer(pattern, text or ""):
+        compiled = re.compile(pattern)
+        for m in compiled.finditer(text or ""):
             if m[group]:
-                yield (kind, m[group], m.start(group), m.end(group), *[m[n] for n in re.compile(pattern).groupindex])
+                yield (kind, m[group], m.start(group), m.end(group), *[m[n] for n in compiled.groupindex])
 
 
 class PhraseScanner:
@@ -55,8 +57,11 @@ class PhraseScanner:
     Arguments: text, and the phrases as one constant, separated by ``|``.
     """
 
+    #: The cleaned form of each byte of a text.
+    LETTERS = bytes(SYMBOLS.encode()[i] for i in _LETTERS)
+
     def __init__(self) -> None:
-        self.known: tuple[str, Automaton, list[str]] | None = None
+        self.known: tuple[str, Automaton, list[str], list[bytes]] | None = None
 
     @staticmethod
     def analyze(text: AnalyzeArgument, phrases: AnalyzeArgument) -> AnalyzeResult:
@@ -68,16 +73,20 @@ class PhraseScanner:
     def eval(self, text: str | None, phrases: str) -> Iterator[tuple]:
         if self.known is None or self.known[0] != phrases:
             names = sorted(set(phrases.split("|")))
-            self.known = phrases, Automaton(names), names
-        _, automaton, names = self.known
-        body = np.frombuffer((text or "").encode(), np.uint8)
+            self.known = phrases, Automaton(names), names, [f" {n} ".encode() for n in names]
+        _, automaton, names, sought = self.known
+        content = (text or "").encode()
+        clean = b" " + b" ".join(content.translate(self.LETTERS).split()) + b" "
+        if not any(s in clean for s in sought):  # most texts: where phrases stand is found for the others only
+            return
+        body = np.frombuffer(content, np.uint8)
         symbols, origin, _ = _symbols(body, np.array([0, len(body)], np.int64))
-        found, after = automaton.found(symbols)
+        found, after = automaton.found(symbols, max(16, math.isqrt(len(symbols)) // 4))  # one text is short: many short lanes
         for p, end in sorted(zip(found.tolist(), after.tolist(), strict=True), key=lambda x: (x[1] - len(names[x[0]]), x[0])):
             yield names[p], int(origin[end - len(names[p])]), int(origin[end - 1]) + 1
 
 
 def register_scanners(spark: SparkSession) -> None:
     """Makes scan_pattern and scan_phrases known to a session's SQL."""
-    spark.udtf.register("scan_pattern", udtf(PatternScanner, useArrow=True))
-    spark.udtf.register("scan_phrases", udtf(PhraseScanner, useArrow=True))
+    spark.udtf.register("scan_pattern", udtf(PatternScanner, useArrow=False))
+    spark.udtf.register("scan_phrases", udtf(PhraseScanner, useArrow=False))
