@@ -109,11 +109,14 @@ def region(highlights: DataFrame) -> DataFrame:
 
 
 def merged_highlights(highlights: DataFrame) -> DataFrame:
-    """pfile_fk, start, end of the maximal stretches that highlights cover (S36); touching ones merge."""
+    """pfile_fk, start, end of the maximal stretches that highlights cover (S36); touching ones merge.
+
+    Equal highlights are numbered as one, so that it doesn't matter which of them comes first in either window.
+    """
     by_start = Window.partitionBy("pfile_fk").orderBy("start", "len")
     reach = F.max(F.col("start") + F.col("len")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     marked = highlights.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    grouped = marked.withColumn("_n", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = marked.withColumn("_n", F.sum("_new").over(by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return grouped.groupBy("pfile_fk", "_n").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("len")).alias("end")).drop("_n")
 
 
